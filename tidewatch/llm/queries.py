@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_lengths
+from . import minhash, mixing, token_lengths
 from .common import table
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicate documents on 2-word shingles, with its smallest id kept."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=80)
+
+
 def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact histogram of encoded lengths of all documents, with suffix sums."""
     return token_lengths.length_histogram(token_lengths.encoded_lengths(table(spark, sf_dir, "documents")))
@@ -20,8 +25,30 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_lengths": op7_token_lengths,
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op6_minhash_dedup": f"""
+        with recursive w as (select doc_id, {_WORDS.format(_LOWER)} as w from documents),
+        s as (
+            select doc_id, list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                else w end) as s from w
+        ),
+        e as (select doc_id, len(s) as n, unnest(s) as x from s),
+        link as (
+            select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id <> b.doc_id
+            group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ),
+        reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
+        comp as (select a, min(b) as b from reach group by a)
+        select doc_id, len(s) as n_shingles, least(doc_id, coalesce(b, doc_id)) as component_id,
+            doc_id = least(doc_id, coalesce(b, doc_id)) as kept
+        from s left join comp on a = doc_id
+    """,
+}

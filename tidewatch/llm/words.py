@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; a longer row is handled alone.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
