@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, token_lengths
+from . import fm_index, minhash, mixing, token_lengths
 from .common import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside 13-word windows of benchmark items."""
+    found = fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=13, share=5)
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicate documents on 2-word shingles, with its smallest id kept."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=80)
@@ -25,6 +32,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_lengths": op7_token_lengths,
     "op10_source_mixing": op10_source_mixing,
@@ -33,7 +41,32 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+_ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": f"""
+        with d as (select doc_id, {_ALNUM.format(_LOWER)} as w from documents),
+        b as (select item_id, {_ALNUM.format(_LOWER)} as w from benchmark),
+        win as (
+            select item_id, list_slice(w, i, i + least(13, len(w)) - 1) as x, least(13, len(w)) as k
+            from (select item_id, w, unnest(range(1, greatest(2, len(w) - 11))) as i from b where len(w) > 0)
+        ),
+        sizes as (select distinct k from win),
+        at as (
+            select doc_id, i, k, list_slice(w, i, i + k - 1) as x
+            from (select doc_id, w, k, unnest(range(1, greatest(1, len(w) - k + 2))) as i from d, sizes)
+        ),
+        found as (select at.doc_id, at.i, at.k, win.item_id from at join win on at.k = win.k and at.x = win.x),
+        hits as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + k)) as p from found) group by doc_id),
+        items as (
+            select doc_id, count(*) as n, string_agg(x, ',' order by x) as x
+            from (select distinct doc_id, cast(item_id as varchar) as x from found) group by doc_id
+        )
+        select d.doc_id, len(w) as n_words, coalesce(hits.n, 0) as n_hit, coalesce(items.n, 0) as n_items,
+            sha256(coalesce(items.x, '')) as items_sha256,
+            coalesce(hits.n, 0) > 0 and 20 * coalesce(hits.n, 0) >= len(w) as contaminated
+        from d left join hits using (doc_id) left join items using (doc_id)
+    """,
     "op6_minhash_dedup": f"""
         with recursive w as (select doc_id, {_WORDS.format(_LOWER)} as w from documents),
         s as (
