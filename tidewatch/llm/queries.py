@@ -52,11 +52,11 @@ ORACLES: dict[str, str] = {
             from (select item_id, w, unnest(range(1, greatest(2, len(w) - 11))) as i from b where len(w) > 0)
         ),
         sizes as (select distinct k from win),
-        at as (
+        grams as (
             select doc_id, i, k, list_slice(w, i, i + k - 1) as x
             from (select doc_id, w, k, unnest(range(1, greatest(1, len(w) - k + 2))) as i from d, sizes)
         ),
-        found as (select at.doc_id, at.i, at.k, win.item_id from at join win on at.k = win.k and at.x = win.x),
+        found as (select g.doc_id, g.i, g.k, win.item_id from grams g join win on g.k = win.k and g.x = win.x),
         hits as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + k)) as p from found) group by doc_id),
         items as (
             select doc_id, count(*) as n, string_agg(x, ',' order by x) as x
