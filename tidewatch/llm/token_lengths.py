@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialize
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-splitting pattern of the byte-level BPE vocabularies (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-BLOCK = 1024
+BLOCK = 64
 _encoders: dict[int, object] = {}
 
 
@@ -54,7 +56,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     Suffix sums go over blocks of lengths first and within a block then, so no
     single task sees every length.
     """
-    bins = lengths.groupBy("length").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    # Written once: two branches read the bins, and the texts must not be encoded for each.
+    bins = materialize(lengths.groupBy("length").agg(F.count("*").alias("n_docs")), "lengths").withColumn("block", F.floor(F.col("length") / BLOCK))
     blocks = bins.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum(F.col("n_docs") * F.col("length")).alias("block_tokens"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     total = Window.partitionBy(F.lit(1))
