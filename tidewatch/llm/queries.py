@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, minhash, mixing, token_lengths
-from .common import table
+from . import fm_index, language_id, minhash, mixing, token_lengths
+from .common import fold, table
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those whose crc32 fold is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    model = language_id.fit(docs.filter(~held_out))
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicate documents on 2-word shingles, with its smallest id kept."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=80)
@@ -33,6 +41,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_language_id": op2_language_id,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_lengths": op7_token_lengths,
     "op10_source_mixing": op10_source_mixing,
