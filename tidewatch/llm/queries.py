@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, language_id, minhash, mixing, token_lengths
+from . import fm_index, language_id, minhash, mixing, paragraphs, token_lengths
 from .common import fold, table
 
 
@@ -24,6 +24,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of documents (in words) that repeat a paragraph or passage of an earlier document, the owner."""
+    return paragraphs.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicate documents on 2-word shingles, with its smallest id kept."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=80)
@@ -42,6 +47,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_language_id": op2_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_lengths": op7_token_lengths,
     "op10_source_mixing": op10_source_mixing,
