@@ -35,7 +35,7 @@ from .words import BY_SPACE, U64, _seeded, chain, mix, split_words
 
 #: Bands of 5 minima: a pair at similarity 0.8 shares no band with odds (1 - 0.8^5)^40 = 1.3e-7.
 BANDS, ROWS = 40, 5
-BLOCK = 256
+BLOCK = 512
 
 
 def shingle_sets(column, words: int):
@@ -79,12 +79,14 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int, n_hashes: int)
 
 
 def band_keys(nodes: DataFrame, node: str, bands: int, rows: int) -> DataFrame:
+    """(key, node) for each of at most 64 bands; the low six bits of a key are its band."""
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1).astype(U64)
-            keys = [mix(chain(sig[:, k * rows : (k + 1) * rows].ravel(), rows, np.arange(batch.num_rows) * rows) + U64(k)).view(np.int64) for k in range(bands)]
+            keys = [(mix(chain(sig[:, k * rows : (k + 1) * rows].ravel(), rows, np.arange(batch.num_rows) * rows) + U64(k)) >> U64(6) << U64(6) | U64(k)).view(np.int64) for k in range(bands)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(batch.column(0).to_numpy(zero_copy_only=False), bands))], ["key", "node"])
 
     return nodes.select(F.col(node).alias("node"), "sig").mapInArrow(run, "key long, node long")
@@ -127,33 +129,39 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= similarity * union).select("a", "b")
 
 
-def mixed_bucket_pairs(rows: DataFrame, least: float) -> DataFrame:
+def mixed_bucket_pairs(rows: DataFrame, least: float, bands: int, per: int) -> DataFrame:
     """Pairs of one bucket in different components whose minima agree, found block against block.
 
-    rows: (key, node, comp, sig). Rows are dealt into blocks of about BLOCK rows, and every block
-    meets every other of its bucket, so a large bucket spreads over many tasks.
+    rows: (key, node, comp, sig). Nodes outside a bucket's largest component are its strays; blocks of
+    strays meet blocks of all its nodes, so a large bucket spreads over many tasks and nodes of the
+    largest component never meet each other. A pair is given by its first common band only.
     """
-    counted = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    dealt = rows.join(counted, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    blocks = meets.select(
-        "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "comp", "sig"
-    ).repartition("key", "x", "y")
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    buckets = buckets.select(
+        "key", F.col("top.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nx"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("ny")
+    )
+    dealt = rows.join(buckets, "key").withColumn("h", F.xxhash64("node"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod("h", F.col(n)).cast("int")
+    everyone = dealt.select("key", place("nx").alias("x"), spread("ny").alias("y"), F.lit(False).alias("stray"), "node", "comp", "sig")
+    strays = dealt.filter("comp <> main").select("key", spread("nx").alias("x"), place("ny").alias("y"), F.lit(True).alias("stray"), "node", "comp", "sig")
 
     def compare(t: pa.Table) -> pa.Table:
-        x, y = t["x"][0].as_py(), t["y"][0].as_py()
-        node, comp, mine = (t[c].to_numpy() for c in ("node", "comp", "mine"))
+        node, comp, stray = (t[c].to_numpy() for c in ("node", "comp", "stray"))
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(node), -1)
-        one, two = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+        here, all_of_them = t["key"][0].as_py() & 63, np.flatnonzero(~stray)
         out_a, out_b = [], []
-        for i in one.tolist():
-            j = two[(comp[two] != comp[i]) & ((node[two] > node[i]) if x == y else True)]
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= least] if len(j) else j
+        for i in np.flatnonzero(stray).tolist():
+            j = all_of_them[comp[all_of_them] != comp[i]]
+            same = sig[j] == sig[i]
+            first = same.reshape(len(j), bands, per).all(axis=2).argmax(axis=1) if len(j) else j
+            j = j[(same.mean(axis=1) >= least) & (first == here)]
             out_a += [node[i]] * len(j)
             out_b += node[j].tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    pairs = blocks.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
+    pairs = everyone.union(strays).groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -182,10 +190,12 @@ def near_duplicates(
     found = materialize(components(edges), "comp")
 
     labelled = crowded.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"))
+    # Of buckets of the same nodes one is enough: that of the lowest band, which holds its pairs' first common band.
+    mixed = mixed.filter("lo < hi").groupBy("n", "who", "lo", "hi").agg(F.min_by("key", F.pmod("key", F.lit(64))).alias("key")).select("key")
     rest = materialize(labelled.join(mixed, "key", "left_semi").join(nodes, "node"), "mixed")
     if not rest.isEmpty():
-        more = materialize(mixed_bucket_pairs(rest, least).join(pairs, ["a", "b"], "left_anti"), "more")
+        more = materialize(mixed_bucket_pairs(rest, least, bands, rows).join(pairs, ["a", "b"], "left_anti"), "more")
         late = materialize(confirmed(more, docs, doc_id, text, words, similarity), "late")
         if not late.isEmpty():
             found = materialize(components(edges.union(late)), "comp")
