@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, language_id, minhash, mixing, paragraphs, token_lengths
+from . import fm_index, language_id, minhash, mixing, paragraphs, snapshots, token_lengths, warc
 from .common import fold, table
 
 
@@ -39,6 +39,20 @@ def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.length_histogram(token_lengths.encoded_lengths(table(spark, sf_dir, "documents")))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read back from the archives that all pages were written to."""
+    manifest = warc.write(warc.planned(table(spark, sf_dir, "pages")), warc.archive_folder(spark))
+    found = warc.read(manifest, with_payload=False).filter("gap is null")
+    return found.select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
+def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered conversations that are no snapshot of a longer one."""
+    return snapshots.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by source weights 1, 2, 3, ... takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -50,6 +64,8 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_lengths": op7_token_lengths,
+    "op8_warc": op8_warc,
+    "op9_chat_snapshots": op9_chat_snapshots,
     "op10_source_mixing": op10_source_mixing,
 }
 
@@ -99,4 +115,24 @@ ORACLES: dict[str, str] = {
             doc_id = least(doc_id, coalesce(b, doc_id)) as kept
         from s left join comp on a = doc_id
     """,
+    "op9_chat_snapshots": """
+        with s as (
+            select conv_id, list(struct_pack(r := role, x := text) order by turn nulls first, role nulls first, text nulls first) as t
+            from conversations where conv_id is not null group by conv_id
+        )
+        select conv_id, 0 as part, len(t) as n_turns,
+            array_to_string(list_transform(t, lambda v: '<|' || coalesce(v.r, 'unknown') || '|>' || chr(10) || coalesce(v.x, '') || chr(10)), '') as text
+        from s where not exists (
+            select 1 from s o where o.conv_id <> s.conv_id and o.t[1:len(s.t)] = s.t and (len(o.t) > len(s.t) or o.conv_id < s.conv_id)
+        )
+    """,
+    "op8_warc": """
+        with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as x, min(page_id) over (partition by coalesce(html, '')) as m from pages)
+        select page_id, octet_length(encode(h)) as payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + cast((cast('0x' || substr(x, cast((i // 4) * 5 + 1 as bigint), 5) as bigint) >> cast(15 - 5 * (i % 4) as bigint)) & 31 as bigint), 1)), '') as payload_digest,
+            case when m = page_id then 'response' else 'revisit' end as record_type,
+            case when m <> page_id then m end as refers_to
+        from p
+    """,
 }
