@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, language_id, minhash, mixing, paragraphs, snapshots, token_lengths, warc
+from . import fm_index, language_id, minhash, mixing, outliers, paragraphs, snapshots, token_lengths, warc
 from .common import fold, table
 
 
@@ -24,6 +24,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document, and whether it is no robust outlier of its language and source."""
+    found = outliers.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of documents (in words) that repeat a paragraph or passage of an earlier document, the owner."""
     return paragraphs.repeats(table(spark, sf_dir, "documents"))
@@ -61,6 +67,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_language_id": op2_language_id,
+    "op3_quality_outliers": op3_quality_outliers,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_lengths": op7_token_lengths,
