@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, language_id, minhash, mixing, outliers, paragraphs, snapshots, token_lengths, warc
+from . import fm_index, hmm, language_id, minhash, mixing, outliers, paragraphs, snapshots, token_lengths, warc
 from .common import fold, table
 
 
@@ -30,6 +30,11 @@ def op3_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probability of every document, learnt from those whose crc32 fold is not 0."""
+    return hmm.score(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of documents (in words) that repeat a paragraph or passage of an earlier document, the owner."""
     return paragraphs.repeats(table(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_language_id": op2_language_id,
     "op3_quality_outliers": op3_quality_outliers,
+    "op4_hmm_scoring": op4_hmm_scoring,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_lengths": op7_token_lengths,
