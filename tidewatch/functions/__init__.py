@@ -1 +1 @@
-"""Moving-object analytics on Spark."""
+"""Column functions: geometry, grid cells, identifiers."""

@@ -4,4 +4,19 @@ from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "candidates_near_place"
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with its SQL where there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+from tidewatch.plans import movement, records  # noqa: E402,F401
