@@ -10,8 +10,9 @@
    are confirmed on full shingle sets.
 4. Components by large-star and small-star. A bucket whose nodes are now all in
    one component can add nothing. In the others, nodes of different components
-   are compared in blocks, confirmed on full sets, and the components recomputed,
-   so no link between different texts is lost to the star shape.
+   are compared in blocks, by minima first and by their PROFILE least shingle hashes
+   next (all of them, for most sets), confirmed on full sets, and the components
+   recomputed, so no link between different texts is lost to the star shape.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; a
 document of fewer words than a shingle has its whole word sequence as its only
@@ -36,6 +37,10 @@ from .words import BY_SPACE, U64, _seeded, chain, mix, split_words
 #: Bands of 5 minima: a pair at similarity 0.8 shares no band with odds (1 - 0.8^5)^40 = 1.3e-7.
 BANDS, ROWS = 40, 5
 BLOCK = 512
+#: Shingle hashes of a profile; smaller sets are compared whole.
+PROFILE = 512
+#: Up to so many ids (8 bytes each) are broadcast to pick documents; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def shingle_sets(column, words: int):
@@ -64,6 +69,11 @@ def minima(shingles: np.ndarray, n_hashes: int) -> np.ndarray:
     return (mix(least.astype(U64)) & U64(0xFFFF)).astype(np.uint16)
 
 
+def of_ids(docs: DataFrame, ids: DataFrame, node: str = "node") -> DataFrame:
+    """The rows of docs whose `node` is in ids; texts are shuffled only if the ids are too many to broadcast."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, node, "left_semi")
+
+
 def sketches(docs: DataFrame, doc_id: str, text: str, words: int, n_hashes: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -71,34 +81,34 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int, n_hashes: int)
             for _, s in shingle_sets(batch.column(1), words):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(minima(s, n_hashes).tobytes() if len(s) else None)
+                sigs.append(minima(s, n_hashes).astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def band_keys(nodes: DataFrame, node: str, bands: int, rows: int) -> DataFrame:
-    """(key, node) for each of at most 64 bands; the low six bits of a key are its band."""
+def band_keys(nodes: DataFrame, node: str, bands: int, rows: int, kind=np.uint16) -> DataFrame:
+    """(key, node) for each of at most 64 bands; the low six bits of a key are its band. kind: of the minima."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1).astype(U64)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), kind).reshape(batch.num_rows, -1).astype(U64)
             keys = [(mix(chain(sig[:, k * rows : (k + 1) * rows].ravel(), rows, np.arange(batch.num_rows) * rows) + U64(k)) >> U64(6) << U64(6) | U64(k)).view(np.int64) for k in range(bands)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(batch.column(0).to_numpy(zero_copy_only=False), bands))], ["key", "node"])
 
     return nodes.select(F.col(node).alias("node"), "sig").mapInArrow(run, "key long, node long")
 
 
-def agreement(pairs: DataFrame, least: float) -> DataFrame:
+def agreement(pairs: DataFrame, least: float, kind=np.uint16) -> DataFrame:
     """Keep pairs (a, b, sig_a, sig_b) whose minima agree often enough."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), kind).reshape(batch.num_rows, -1) for i in (2, 3))
                 ok = (a == b).mean(axis=1) >= least
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
 
@@ -116,7 +126,42 @@ def sets_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, words: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "shingles"])
 
     picked = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-    return picked.join(nodes, "node", "left_semi").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return of_ids(picked, nodes).mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def profiles(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """(node, profile): the PROFILE least shingle hashes of `nodes`, in order, as 32-bit numbers."""
+
+    def run(batches):
+        for batch in batches:
+            least = [(s[:PROFILE] >> U64(32)).astype(np.uint32).tobytes() for _, s in shingle_sets(batch.column(1), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.binary())], ["node", "profile"])
+
+    picked = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
+    return of_ids(picked, nodes).mapInArrow(run, "node long, profile binary").dropDuplicates(["node"])
+
+
+class Profiles:
+    """Profiles of many sets, to compare one with several others."""
+
+    def __init__(self, raw: list[bytes]):
+        self.values = np.frombuffer(b"".join(raw), np.uint32)
+        self.ends = np.cumsum([0, *(len(r) // 4 for r in raw)])
+        self.top = np.array([np.frombuffer(r[-4:], np.uint32)[0] if len(r) == 4 * PROFILE else 0xFFFFFFFF for r in raw], np.int64)
+
+    def similar(self, i: int, others: np.ndarray, floor: float) -> np.ndarray:
+        """Whether others may have a similarity of `floor` with i; a true one is missed with odds below one in a million."""
+        own, starts, lengths = self.values[self.ends[i] : self.ends[i + 1]], self.ends[others], self.ends[others + 1] - self.ends[others]
+        row = np.repeat(np.arange(len(others)), lengths)
+        value = self.values[np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)]
+        # Of larger sets, only hashes up to the last that both profiles cover count.
+        cut = np.minimum(self.top[i], self.top[others])
+        used = value <= cut[row]
+        shared = used & (own[np.minimum(np.searchsorted(own, value), len(own) - 1)] == value)
+        both, theirs = (np.bincount(row, x, len(others)) for x in (shared, used))
+        union = theirs + np.searchsorted(own, cut, "right") - both
+        slack = np.where(cut < 0xFFFFFFFF, 5 * (floor * (1 - floor) / np.maximum(union, 1)) ** 0.5, 0.005)
+        return both >= (floor - slack) * union
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, similarity: int) -> DataFrame:
@@ -129,12 +174,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= similarity * union).select("a", "b")
 
 
-def mixed_bucket_pairs(rows: DataFrame, least: float, bands: int, per: int) -> DataFrame:
-    """Pairs of one bucket in different components whose minima agree, found block against block.
+def mixed_bucket_pairs(rows: DataFrame, known: DataFrame, floor: float, least: float, bands: int, per: int) -> DataFrame:
+    """Pairs of one bucket in different components that may be similar, found block against block.
 
-    rows: (key, node, comp, sig). Nodes outside a bucket's largest component are its strays; blocks of
-    strays meet blocks of all its nodes, so a large bucket spreads over many tasks and nodes of the
-    largest component never meet each other. A pair is given by its first common band only.
+    rows: (key, node, comp); known: (node, sig, profile). Nodes outside a bucket's largest component are its
+    strays; blocks of strays meet blocks of all its nodes, so a large bucket spreads over many tasks and nodes
+    of the largest component never meet each other. A pair is given by its first common band only.
     """
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
@@ -144,12 +189,13 @@ def mixed_bucket_pairs(rows: DataFrame, least: float, bands: int, per: int) -> D
     dealt = rows.join(buckets, "key").withColumn("h", F.xxhash64("node"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod("h", F.col(n)).cast("int")
-    everyone = dealt.select("key", place("nx").alias("x"), spread("ny").alias("y"), F.lit(False).alias("stray"), "node", "comp", "sig")
-    strays = dealt.filter("comp <> main").select("key", spread("nx").alias("x"), place("ny").alias("y"), F.lit(True).alias("stray"), "node", "comp", "sig")
+    everyone = dealt.select("key", place("nx").alias("x"), spread("ny").alias("y"), F.lit(False).alias("stray"), "node", "comp")
+    strays = dealt.filter("comp <> main").select("key", spread("nx").alias("x"), place("ny").alias("y"), F.lit(True).alias("stray"), "node", "comp")
 
     def compare(t: pa.Table) -> pa.Table:
         node, comp, stray = (t[c].to_numpy() for c in ("node", "comp", "stray"))
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(node), -1)
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+        sets = Profiles(t["profile"].to_pylist())
         here, all_of_them = t["key"][0].as_py() & 63, np.flatnonzero(~stray)
         out_a, out_b = [], []
         for i in np.flatnonzero(stray).tolist():
@@ -157,11 +203,13 @@ def mixed_bucket_pairs(rows: DataFrame, least: float, bands: int, per: int) -> D
             same = sig[j] == sig[i]
             first = same.reshape(len(j), bands, per).all(axis=2).argmax(axis=1) if len(j) else j
             j = j[(same.mean(axis=1) >= least) & (first == here)]
+            if len(j):
+                j = j[sets.similar(i, j, floor)]
             out_a += [node[i]] * len(j)
             out_b += node[j].tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    pairs = everyone.union(strays).groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
+    pairs = everyone.union(strays).join(known, "node").groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -180,12 +228,12 @@ def near_duplicates(
     groups = materialize(groups, "groups")
     nodes = materialize(all_docs.select("doc_id", "digest", "sig").join(groups.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "sig"), "nodes")
 
-    keyed = materialize(band_keys(nodes, "node", bands, rows), "bands")
+    keyed = materialize(band_keys(nodes, "node", bands, rows, np.uint8), "bands")
     stars = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
     crowded = materialize(keyed.join(stars, "key"), "crowded")
     pairs = crowded.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     signed = lambda p: p.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
-    pairs = materialize(agreement(signed(pairs), least), "pairs")
+    pairs = materialize(agreement(signed(pairs), least, np.uint8), "pairs")
     edges = materialize(confirmed(pairs, docs, doc_id, text, words, similarity), "edges")
     found = materialize(components(edges), "comp")
 
@@ -193,9 +241,10 @@ def near_duplicates(
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"))
     # Of buckets of the same nodes one is enough: that of the lowest band, which holds its pairs' first common band.
     mixed = mixed.filter("lo < hi").groupBy("n", "who", "lo", "hi").agg(F.min_by("key", F.pmod("key", F.lit(64))).alias("key")).select("key")
-    rest = materialize(labelled.join(mixed, "key", "left_semi").join(nodes, "node"), "mixed")
+    rest = materialize(labelled.join(mixed, "key", "left_semi"), "mixed")
     if not rest.isEmpty():
-        more = materialize(mixed_bucket_pairs(rest, least, bands, rows).join(pairs, ["a", "b"], "left_anti"), "more")
+        known = nodes.join(profiles(docs, rest.select("node").distinct(), doc_id, text, words), "node")
+        more = materialize(mixed_bucket_pairs(rest, known, floor, least, bands, rows).join(pairs, ["a", "b"], "left_anti"), "more")
         late = materialize(confirmed(more, docs, doc_id, text, words, similarity), "late")
         if not late.isEmpty():
             found = materialize(components(edges.union(late)), "comp")
