@@ -69,6 +69,23 @@ def minima(shingles: np.ndarray, n_hashes: int) -> np.ndarray:
     return (mix(least.astype(U64)) & U64(0xFFFF)).astype(np.uint16)
 
 
+def minima_of_runs(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, n_hashes: int) -> np.ndarray:
+    """minima() of each run of shingles from a start to its end (none is empty), one row each."""
+    out, lengths = np.zeros((len(starts), n_hashes), np.uint16), ends - starts
+    upto = np.concatenate([[0], np.cumsum(lengths)])
+    a = (_seeded(n_hashes, 101) >> U64(32)).astype(np.uint32) | np.uint32(1)
+    b = (_seeded(n_hashes, 202) >> U64(32)).astype(np.uint32)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + 16_384, "right")) - 1)
+        at = np.arange(upto[lo], upto[hi]) + np.repeat(starts[lo:hi] - upto[lo:hi], lengths[lo:hi])
+        x = (shingles[at] >> U64(32)).astype(np.uint32)
+        least = np.minimum.reduceat(x[None, :] * a[:, None] + b[:, None], upto[lo:hi] - upto[lo], axis=1)
+        out[lo:hi] = (mix(least.T.astype(U64)) & U64(0xFFFF)).astype(np.uint16)
+        lo = hi
+    return out
+
+
 def of_ids(docs: DataFrame, ids: DataFrame, node: str = "node") -> DataFrame:
     """The rows of docs whose `node` is in ids; texts are shuffled only if the ids are too many to broadcast."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, node, "left_semi")
