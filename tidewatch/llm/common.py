@@ -49,6 +49,15 @@ def drop_materialized(*frames: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def join_ids(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """left_semi or left_anti join with a written table of ids; texts are shuffled only if the ids are too many to broadcast."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
 def fold(column: str, buckets: int):
     """crc32 of an id's text, modulo `buckets`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)

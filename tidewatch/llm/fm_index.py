@@ -28,7 +28,7 @@ from .words import BY_ALNUM, split_words
 #: Windows of test phrases in one broadcast block (13 words of 8 bytes each: about 10 MB).
 BLOCK_WINDOWS = 100_000
 #: Bytes of text in a shard, unless one document alone is longer.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 19
 SAMPLE = 8
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import join_ids, materialize
 from .components import components
 from .words import BY_SPACE, U64, _seeded, chain, mix, split_words
 
@@ -39,8 +39,6 @@ BANDS, ROWS = 40, 5
 BLOCK = 512
 #: Shingle hashes of a profile; smaller sets are compared whole.
 PROFILE = 512
-#: Up to so many ids (8 bytes each) are broadcast to pick documents; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 def shingle_sets(column, words: int):
@@ -86,11 +84,6 @@ def minima_of_runs(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, n
     return out
 
 
-def of_ids(docs: DataFrame, ids: DataFrame, node: str = "node") -> DataFrame:
-    """The rows of docs whose `node` is in ids; texts are shuffled only if the ids are too many to broadcast."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, node, "left_semi")
-
-
 def sketches(docs: DataFrame, doc_id: str, text: str, words: int, n_hashes: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -143,7 +136,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, words: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "shingles"])
 
     picked = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-    return of_ids(picked, nodes).mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return join_ids(picked, nodes, "node", "left_semi").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def profiles(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
@@ -155,7 +148,7 @@ def profiles(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, words: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.binary())], ["node", "profile"])
 
     picked = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-    return of_ids(picked, nodes).mapInArrow(run, "node long, profile binary").dropDuplicates(["node"])
+    return join_ids(picked, nodes, "node", "left_semi").mapInArrow(run, "node long, profile binary").dropDuplicates(["node"])
 
 
 class Profiles:
