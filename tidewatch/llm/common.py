@@ -49,6 +49,18 @@ def drop_materialized(*frames: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Rows of an Arrow batch of texts; Spark's own default of 10,000 holds tens of MB in the JVM and in Python, in and out.
+TEXT_ROWS = 1000
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """docs, with small Arrow batches in its session unless another size than the default is set there."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if conf.get(name) == "10000":
+        conf.set(name, str(TEXT_ROWS))
+    return docs
+
+
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 

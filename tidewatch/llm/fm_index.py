@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .words import BY_ALNUM, split_words
 
 #: Windows of test phrases in one broadcast block (13 words of 8 bytes each: about 10 MB).
@@ -213,7 +214,7 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, block) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    picked = text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return picked.mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 

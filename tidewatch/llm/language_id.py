@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import text_batches
 from .words import U64, mix, slices, text_buffers
 
 ORDER = 4
@@ -188,7 +189,7 @@ def _counted(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
     """A model of the labelled documents: at most fit_rows of each language."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+    rows = text_batches(docs).filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id).cast("string")).alias("h")
     )
     least = Window.partitionBy("lang").orderBy("h")
@@ -245,6 +246,6 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             added = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
-    docs = docs.drop(*names)
+    docs = text_batches(docs).drop(*names)
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)]))

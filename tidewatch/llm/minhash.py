@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_ids, materialize
+from .common import join_ids, materialize, text_batches
 from .components import components
 from .words import BY_SPACE, U64, _seeded, chain, mix, split_words
 
@@ -233,7 +233,7 @@ def near_duplicates(
     n_hashes = bands * rows
     floor = similarity / 100
     least = floor - 6.5 * (floor * (1 - floor) / n_hashes) ** 0.5
-    all_docs = materialize(sketches(docs, doc_id, text, words, n_hashes), "sketch")
+    all_docs = materialize(sketches(text_batches(docs), doc_id, text, words, n_hashes), "sketch")
     groups = all_docs.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"))
     groups = materialize(groups, "groups")
     nodes = materialize(all_docs.select("doc_id", "digest", "sig").join(groups.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "sig"), "nodes")
