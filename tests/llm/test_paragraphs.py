@@ -63,3 +63,39 @@ def test_segments_of_a_text_do_not_depend_on_its_neighbours():
     together = paragraphs.segment_starts(np.concatenate(rows), first)
     for row, a, b in zip(rows, first[:-1], first[1:], strict=True):
         assert (together[a:b] == paragraphs.segment_starts(row, np.array([0, len(row)]))).all()
+
+
+def test_near_lines_that_are_far_from_the_centre_of_their_buckets(spark):
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(84)]
+
+    def variant(changes, base):
+        w = list(base)
+        for at in rng.sample(range(2, 82), changes):
+            w[at] = f"v{rng.randrange(10**9)}"
+        return w
+
+    rows = []
+    for k in range(150):
+        first = variant(3, template)
+        second = list(first)
+        second[rng.randrange(2, 82)] = f"v{rng.randrange(10**9)}"
+        rows += [(2 * k, " ".join(first)), (2 * k + 1, " ".join(second))]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(80)} for i, t in rows}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sets:
+        for b in range(a):
+            if near(a, b) and root(a) != root(b):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    want = {(i, root(i)) for i in sets if root(i) != i}
+    assert 100 < len(want) < 290
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.owner) for r in paragraphs.repeated_lines(df, 25, 80).collect()}
+    assert got == want

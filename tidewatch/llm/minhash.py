@@ -184,10 +184,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= similarity * union).select("a", "b")
 
 
-def mixed_bucket_pairs(rows: DataFrame, known: DataFrame, floor: float, least: float, bands: int, per: int) -> DataFrame:
+def mixed_bucket_pairs(rows: DataFrame, known: DataFrame, floor: float, least: float, bands: int, per: int, kind=np.uint8) -> DataFrame:
     """Pairs of one bucket in different components that may be similar, found block against block.
 
-    rows: (key, node, comp); known: (node, sig, profile). Nodes outside a bucket's largest component are its
+    rows: (key, node, comp); known: (node, sig, profile); kind: of the minima. Nodes outside a bucket's largest component are its
     strays; blocks of strays meet blocks of all its nodes, so a large bucket spreads over many tasks and nodes
     of the largest component never meet each other. A pair is given by its first common band only.
     """
@@ -204,7 +204,7 @@ def mixed_bucket_pairs(rows: DataFrame, known: DataFrame, floor: float, least: f
 
     def compare(t: pa.Table) -> pa.Table:
         node, comp, stray = (t[c].to_numpy() for c in ("node", "comp", "stray"))
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), kind).reshape(len(node), -1)
         sets = Profiles(t["profile"].to_pylist())
         here, all_of_them = t["key"][0].as_py() & 63, np.flatnonzero(~stray)
         out_a, out_b = [], []

@@ -5,7 +5,8 @@ Two kinds of paragraphs are deduplicated across documents:
 * lines of at least `least_line` words: MinHash signatures over five-word shingles in
   many narrow bands (two minima each, so that recall is high), stars of colliding
   lines, exact Jaccard similarity of at least 0.8 on full sets, and clusters by
-  connected components;
+  connected components; lines of different clusters that share a bucket are then
+  compared in blocks, confirmed alike, and the clusters computed again;
 * floating paragraphs, for passages spliced into other lines: segments between local
   minima of a word-pair hash, which fall on the same words wherever a passage stands. Equal
   segments of different documents seed a match, consecutive seeds join, and the match grows
@@ -134,16 +135,29 @@ def repeated_lines(docs: DataFrame, least_line: int, similarity: int) -> DataFra
     keyed = minhash.band_keys(nodes, "node", BANDS, ROWS)
     stars = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
     stars = materialize(stars, "line-stars")
-    large = stars.filter("n > 2").select("key", "a")
-    pairs = stars.select("a", "b").union(keyed.join(large, "key").filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
-    least = similarity / 100 - 4.5 * (0.16 / (BANDS * ROWS)) ** 0.5
+    crowded = materialize(keyed.join(stars.filter("n > 2").select("key", "a"), "key"), "line-crowded")
+    pairs = stars.select("a", "b").union(crowded.filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
+    floor = similarity / 100
+    least = max(floor - 4.5 * (0.16 / (BANDS * ROWS)) ** 0.5, 0.2)
     signed = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = materialize(minhash.agreement(signed.select("a", "b", "sig_a", "sig_b"), max(least, 0.2)), "line-pairs")
-    if pairs.isEmpty():
-        clusters = nodes.select("node", F.col("node").alias("component")).limit(0)
-    else:
-        edges = minhash.confirmed(pairs, lines(docs, max(least_line, SHINGLE), text=True), "hash", "text", SHINGLE, similarity)
-        clusters = materialize(components(materialize(edges, "line-edges")), "line-clusters")
+    pairs = materialize(minhash.agreement(signed.select("a", "b", "sig_a", "sig_b"), least), "line-pairs")
+    texts = lines(docs, max(least_line, SHINGLE), text=True)
+    edges = materialize(minhash.confirmed(pairs, texts, "hash", "text", SHINGLE, similarity), "line-edges")
+    clusters = materialize(components(edges), "line-clusters")
+
+    # Near lines whose star has another centre: nodes of different components meet within their buckets.
+    labelled = crowded.join(clusters, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"))
+    # Of buckets of the same nodes one is enough: that of the lowest band, which holds its pairs' first common band.
+    mixed = mixed.filter("lo < hi").groupBy("n", "who", "lo", "hi").agg(F.min_by("key", F.pmod("key", F.lit(64))).alias("key")).select("key")
+    rest = materialize(labelled.join(mixed, "key", "left_semi"), "line-mixed")
+    if not rest.isEmpty():
+        known = nodes.join(minhash.profiles(texts, materialize(rest.select("node").distinct(), "line-strays"), "hash", "text", SHINGLE), "node")
+        more = minhash.mixed_bucket_pairs(rest, known, floor, least, BANDS, ROWS, np.uint16)
+        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "line-more")
+        late = materialize(minhash.confirmed(more, texts, "hash", "text", SHINGLE, similarity), "line-late")
+        if not late.isEmpty():
+            clusters = materialize(components(edges.union(late)), "line-clusters")
     placed = found.select("hash", "doc_id", "start", "end").join(clusters.withColumnRenamed("node", "hash"), "hash", "left")
     placed = placed.withColumn("cluster", F.coalesce("component", "hash"))
     owners = placed.groupBy("cluster").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("cluster", "owner")
