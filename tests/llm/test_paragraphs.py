@@ -99,3 +99,40 @@ def test_near_lines_that_are_far_from_the_centre_of_their_buckets(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.owner) for r in paragraphs.repeated_lines(df, 25, 80).collect()}
     assert got == want
+
+
+def test_passages_are_those_of_one_earlier_document(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = {}
+    # Phrases of the passage's ends stand in still earlier documents, in other words.
+    for k in range(20):
+        passage = words(55)
+        texts[10 * k] = words(30) + passage[:22] + words(30) + passage[33:] + words(30)
+        texts[10 * k + 1] = words(25) + passage + words(25)
+        texts[10 * k + 2] = words(35) + passage + words(9)
+    # Phrases of many documents that abut in none of them.
+    for k in range(20):
+        phrases = [words(30) for _ in range(4)]
+        for i, p in enumerate(phrases):
+            texts[1000 + 10 * k + i] = words(20) + p + words(20)
+        texts[1000 + 10 * k + 9] = words(5) + sum(phrases, []) + words(5)
+    # The bound, and a document's own repeats.
+    for k in range(20):
+        passage = words(40)
+        texts[2000 + 10 * k] = passage + words(1)
+        texts[2000 + 10 * k + 1] = words(30) + passage + words(30)
+        texts[2000 + 10 * k + 2] = words(30) + passage[1:] + words(30)
+        texts[2000 + 10 * k + 3] = passage
+    texts[3000] = words(50) * 3
+    first = {}
+    for d, t in sorted(texts.items()):
+        for i in range(len(t) - 39):
+            first.setdefault(tuple(t[i : i + 40]), d)
+    want = {(d, i + j) for d, t in texts.items() for i in range(len(t) - 39) if first[tuple(t[i : i + 40])] < d for j in range(40)}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    spans = paragraphs.repeated_passages(df, 40).collect()
+    assert {(r.doc_id, i) for r in spans for i in range(r.start, r.end)} == want
+    for r in spans:
+        run, owner = texts[r.doc_id][r.start : r.end], texts[r.owner]
+        assert r.owner < r.doc_id and len(run) >= 40 and any(owner[i : i + len(run)] == run for i in range(len(owner)))

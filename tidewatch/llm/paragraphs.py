@@ -7,10 +7,12 @@ Two kinds of paragraphs are deduplicated across documents:
   lines, exact Jaccard similarity of at least 0.8 on full sets, and clusters by
   connected components; lines of different clusters that share a bucket are then
   compared in blocks, confirmed alike, and the clusters computed again;
-* floating paragraphs, for passages spliced into other lines: segments between local
-  minima of a word-pair hash, which fall on the same words wherever a passage stands. Equal
-  segments of different documents seed a match, consecutive seeds join, and the match grows
-  word by word at both ends; it counts from `least_words` words on.
+* floating paragraphs, for passages spliced into other lines: every run of `least_words` words
+  that an earlier document has too. Anchors (runs of half as many words whose hash is the
+  least of a window) fall on the same words wherever a passage stands, and every run of
+  `least_words` words holds one. Only around anchors that several documents share are runs looked
+  up: all the words around at once where every document has the same, else run by run. So each
+  removed word lies in a run that one earlier document has in a row.
 
 A cluster's owner, the document of the smallest id, keeps its paragraph; the other
 documents lose theirs. A document's own repeats are left alone.
@@ -29,18 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import minhash
-from .common import materialize, text_batches
+from .common import join_ids, materialize, text_batches
 from .components import components
 from .words import BY_SPACE, U64, chain, mix, slices, split_words, text_buffers
 
 SHINGLE = 5
 #: 12 bands of 2 minima: at similarity 0.8 a pair shares one with odds 1 - (1 - 0.64)^12, all but 5e-6.
 BANDS, ROWS = 12, 2
-#: Half the window in which a segment boundary must be the least.
-REACH = 5
-#: A segment is at most so long; a longer run of repeated words is cut from its start on.
-LONGEST = 48
-
 _BASE = U64(0xD6E8FEB86659FD93)
 _INVERSE = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
@@ -53,50 +50,78 @@ def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
-def segment_starts(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """True at each word that begins a segment: a row's first word, and local minima of the word-pair hash."""
-    n, row = len(words), np.repeat(np.arange(len(first) - 1), np.diff(first))
-    before = np.append(U64(0), words[:-1])
-    before[first[:-1][np.diff(first) > 0]] = 0  # a row's segments don't depend on the row before it
-    pair = mix(before + mix(words)) >> U64(1)
-    padded = np.full(n + (len(first)) * REACH, U64(0xFFFFFFFFFFFFFFFF))
-    at = np.arange(n) + (row + 1) * REACH
-    padded[at] = pair
-    least = np.ones(n, bool)
-    for k in range(1, REACH + 1):
-        least &= pair < padded[at - k]
-        if k < REACH:
-            least &= pair <= padded[at + k]
-    begins = first[:-1][np.diff(first) > 0]
-    least[begins] = True
-    # Cut what is too long from its start on.
-    starts = np.flatnonzero(least)
-    length = np.diff(np.append(starts, n))
-    for s, k in zip(starts[length > LONGEST].tolist(), length[length > LONGEST].tolist(), strict=True):
-        least[s : s + k : LONGEST] = True
-    return least
-
-
-def segments(docs: DataFrame) -> DataFrame:
-    """Every floating paragraph: (hash, doc_id, seq, start, end), positions in words."""
+def _slide(values: np.ndarray, n: int, pick) -> np.ndarray:
+    """np.minimum or np.maximum of every n values in a row."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        values = pick(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def segment_starts(words: np.ndarray, first: np.ndarray, least_words: int = 40) -> np.ndarray:
+    """True at each word that begins an anchor; every run of least_words words of a row has a whole anchor in it."""
+    n, size = len(words), max(1, least_words // 2)
+    out, window = np.zeros(n, bool), least_words - size + 1
+    if n < least_words:
+        return out
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    hashes = run_hashes(words, np.arange(n - size + 1), np.arange(size, n + 1)) >> U64(1)
+    least = np.where(row[: n - least_words + 1] == row[least_words - 1 :], _slide(hashes, window, np.minimum) + U64(1), U64(0))
+    edge = np.zeros(window - 1, U64)
+    out[: n - size + 1] = _slide(np.concatenate([edge, least, edge]), window, np.maximum) == hashes + U64(1)
+    return out
+
+
+def anchors(docs: DataFrame, least_words: int) -> DataFrame:
+    """Every anchor: its hash, and hash and place in words of all runs of least_words words that hold it."""
+    size = max(1, least_words // 2)
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for w in split_words(batch.column(1), BY_SPACE):
-                if not len(w.hashes):
+                at = np.flatnonzero(segment_starts(w.hashes, w.first, least_words))
+                if not len(at):
                     continue
-                starts = np.flatnonzero(segment_starts(w.hashes, w.first))
-                ends = np.append(starts[1:], len(w.hashes))
-                row = np.searchsorted(w.first, starts, "right") - 1
-                head = np.searchsorted(starts, w.first)
+                row = np.searchsorted(w.first, at, "right") - 1
+                start, end = np.maximum(at + size - least_words, w.first[row]), np.minimum(at + least_words, w.first[row + 1])
+                around = mix(run_hashes(w.hashes, start, end) + (at - start).astype(U64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(run_hashes(w.hashes, starts, ends).view(np.int64)), pa.array(ids[w.lo + row]), pa.array((np.arange(len(starts)) - head[row]).astype(np.int32)),
-                     pa.array((starts - w.first[row]).astype(np.int32)), pa.array((ends - w.first[row]).astype(np.int32))],
-                    ["hash", "doc_id", "seq", "start", "end"],
+                    [pa.array(run_hashes(w.hashes, at, at + size).view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids[w.lo + row]),
+                     pa.array((start - w.first[row]).astype(np.int32)), pa.array((end - w.first[row]).astype(np.int32))],
+                    ["hash", "around", "doc_id", "start", "end"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, seq int, start int, end int")
+    return docs.select("doc_id", "text").mapInArrow(run, "hash long, around long, doc_id long, start int, end int")
+
+
+def runs(docs: DataFrame, places: DataFrame, least_words: int) -> DataFrame:
+    """Every run of least_words words within the places (doc_id, start, end): (hash, doc_id, start)."""
+    wanted = materialize(places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("at")), "run-places")
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.cumsum([0, *batch.column(2).value_lengths().to_pylist()])
+            at = batch.column(2).flatten()
+            start, end = (at.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+            for w in split_words(batch.column(1), BY_SPACE):
+                some = slice(upto[w.lo], upto[w.hi])
+                row = np.repeat(np.arange(w.hi - w.lo), np.diff(upto[w.lo : w.hi + 1]))
+                a, b = w.first[row] + start[some], np.minimum(w.first[row] + end[some], w.first[row + 1]) - least_words + 1
+                a, b, n = a[b > a], b[b > a], len(w.hashes) + 1
+                begins = np.flatnonzero(np.cumsum(np.bincount(a, minlength=n) - np.bincount(b, minlength=n)) > 0)
+                if len(begins):
+                    row = np.searchsorted(w.first, begins, "right") - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(run_hashes(w.hashes, begins, begins + least_words).view(np.int64)), pa.array(ids[w.lo + row]), pa.array((begins - w.first[row]).astype(np.int32))],
+                        ["hash", "doc_id", "start"],
+                    )
+
+    picked = join_ids(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id", "left_semi").join(wanted, "doc_id")
+    return picked.mapInArrow(run, "hash long, doc_id long, start int")
 
 
 def lines(docs: DataFrame, least: int, text: bool) -> DataFrame:
@@ -165,77 +190,28 @@ def repeated_lines(docs: DataFrame, least_line: int, similarity: int) -> DataFra
 
 
 def repeated_passages(docs: DataFrame, least_words: int) -> DataFrame:
-    """Spans (doc_id, start, end, owner) of passages that an earlier document has too."""
-    found = materialize(segments(docs), "segments")
-    owners = found.groupBy("hash").agg(F.min(F.struct("doc_id", "seq", "start", "end")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
-    seeds = found.join(owners.select("hash", "first"), "hash").filter(F.col("doc_id") != F.col("first.doc_id"))
-    # Neighbouring seeds on one diagonal (same owner, same distance in words) are one run.
-    seeds = seeds.select("doc_id", "seq", "start", "end", F.col("first.doc_id").alias("owner"), F.col("first.start").alias("o_start"), F.col("first.end").alias("o_end"))
-    by_place = Window.partitionBy("doc_id").orderBy("seq", "start")
-    follows = (
-        (F.lag("end").over(by_place) == F.col("start")) & (F.lag("owner").over(by_place) == F.col("owner")) & (F.lag("o_end").over(by_place) == F.col("o_start"))
-    )
-    runs = seeds.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_place))
-    runs = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.first("owner").alias("owner"), F.min("o_start").alias("o_start"), F.max("o_end").alias("o_end")
-    )
-    runs = materialize(runs.drop("run"), "runs")
-    here = runs.select("doc_id", "start", "end")
-    there = runs.select(F.col("owner").alias("doc_id"), F.col("o_start").alias("start"), F.col("o_end").alias("end"))
-    around = materialize(surroundings(docs, here.union(there).distinct()), "around")
-    mine = around.select("doc_id", "start", "end", F.col("left").alias("l"), F.col("right").alias("r"))
-    other = around.select(F.col("doc_id").alias("owner"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("left").alias("ol"), F.col("right").alias("or"))
-    grown = runs.join(mine, ["doc_id", "start", "end"]).join(other, ["owner", "o_start", "o_end"])
-    grown = grown.select(
-        "doc_id", (F.col("start") - _common(F.col("l"), F.col("ol"))).alias("start"), (F.col("end") + _common(F.col("r"), F.col("or"))).alias("end"), "owner"
-    )
-    # Runs that grew together (an owner may change between two seeds) are judged as one passage.
-    by_start = Window.partitionBy("doc_id").orderBy("start", "end")
-    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    joined = grown.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by_start))
-    joined = joined.groupBy("doc_id", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.min("owner").alias("owner"))
-    return joined.filter(F.col("end") - F.col("start") >= least_words).select("doc_id", "start", "end", "owner")
-
-
-def _common(a, b):
-    """Length of the common beginning of two arrays."""
-    same = F.zip_with(a, b, lambda x, y: x == y)
-    differs = F.array_position(F.transform(same, lambda s: F.coalesce(s, F.lit(False))), False)
-    return F.when(differs > 0, differs - 1).otherwise(F.size(same)).cast("int")
-
-
-def surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """Word hashes to the left (nearest first) and to the right of each (doc_id, start, end), LONGEST at most."""
-    wanted = places.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at"))
-
-    def run(batches):
-        for batch in batches:
-            ids, at = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            out = [[], [], [], [], []]
-            for w in split_words(batch.column(1), BY_SPACE):
-                short = (w.hashes >> U64(32)).astype(np.uint32).view(np.int32)
-                for r in range(w.hi - w.lo):
-                    own = short[w.first[r] : w.first[r + 1]]
-                    for p in at[w.lo + r]:
-                        s, e = p["start"], p["end"]
-                        for column, value in zip(out, (ids[w.lo + r], s, e, own[max(0, s - LONGEST) : s][::-1], own[e : e + LONGEST]), strict=True):
-                            column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "start", "end", "left", "right"])
+    """Spans (doc_id, start, end, owner) of least_words words or more that the owner, an earlier document, has in a row."""
+    found = materialize(anchors(docs, least_words), "anchors")
+    groups = found.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min("around").alias("lo"), F.max("around").alias("hi"))
+    groups = materialize(groups.filter("owner < last").select("hash", "owner", (F.col("lo") == F.col("hi")).alias("alike")), "anchor-groups")
+    shared = materialize(found.join(groups, "hash").filter("not alike or doc_id <> owner").select("doc_id", "start", "end", "owner", "alike"), "shared-anchors")
+    alike = shared.filter("alike").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "owner")
 
-    picked = docs.select("doc_id", "text").join(wanted, "doc_id")
-    return picked.mapInArrow(run, "doc_id long, start int, end int, left array<int>, right array<int>").dropDuplicates(["doc_id", "start", "end"])
+    each = materialize(runs(docs, shared.filter("not alike").select("doc_id", "start", "end"), least_words), "runs")
+    firsts = each.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("hash", "owner")
+    again = each.join(materialize(firsts, "run-owners"), "hash").filter("doc_id <> owner")
+    return alike.union(again.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + least_words).cast("long").alias("end"), "owner"))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_line: int = 25, least_words: int = 40, similarity: int = 80) -> DataFrame:
     """Spans to remove, merged: (doc_id, start, end, owner, n_words), positions in words of the text."""
     docs = text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
-    spans = materialize(repeated_lines(docs, least_line, similarity).union(repeated_passages(docs, least_words)), "spans")
+    spans = repeated_lines(docs, least_line, similarity).union(repeated_passages(docs, least_words))
     by_start = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     joined = spans.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by_start))
     merged = joined.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("owner").alias("owner"))
-    return merged.select("doc_id", "start", "end", "owner", (F.col("end") - F.col("start")).alias("n_words"))
+    return materialize(merged.select("doc_id", "start", "end", "owner", (F.col("end") - F.col("start")).alias("n_words")), "spans")
 
 
 def remove(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
