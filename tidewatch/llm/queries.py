@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fm_index, hmm, language_id, minhash, mixing, outliers, paragraphs, snapshots, token_lengths, warc
-from .common import fold, table
+from .common import fold, materialize, table
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +51,14 @@ def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records read back from the archives that all pages were written to."""
-    manifest = warc.write(warc.planned(table(spark, sf_dir, "pages")), warc.archive_folder(spark))
-    found = warc.read(manifest, with_payload=False).filter("gap is null")
-    return found.select(
-        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    """Records read back from the archives that all pages were written to; gaps, if any, are logged beside the archives."""
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.archive_folder(spark)
+    found = materialize(warc.read(warc.write(warc.planned(pages), folder), with_payload=False), "records")
+    warc.quarantine(found, folder)
+    kind = pages.schema["page_id"].dataType
+    return found.filter("gap is null").select(
+        F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
     )
 
 
@@ -144,8 +147,8 @@ ORACLES: dict[str, str] = {
         select page_id, octet_length(encode(h)) as payload_bytes,
             array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                 1 + cast((cast('0x' || substr(x, cast((i // 4) * 5 + 1 as bigint), 5) as bigint) >> cast(15 - 5 * (i % 4) as bigint)) & 31 as bigint), 1)), '') as payload_digest,
-            case when m = page_id then 'response' else 'revisit' end as record_type,
-            case when m <> page_id then m end as refers_to
+            case when m is null or m is not distinct from page_id then 'response' else 'revisit' end as record_type,
+            case when m is distinct from page_id then m end as refers_to
         from p
     """,
 }
