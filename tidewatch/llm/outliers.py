@@ -8,13 +8,17 @@ covariance next. Two starts (medians with MADs, means with covariances) run side
 side, and the smaller determinant wins. Documents beyond a chi-square quantile of
 the Mahalanobis distance are rejected.
 
+A covariance of few documents says little. So a document of a language and source with fewer than
+LEAST documents that pass the base rules is judged by the estimate of its whole language, and if that has
+fewer too by the estimate of the whole table, found in the same way. Every document that passes the
+base rules has a distance.
+
 Only sums, histograms and one row of estimates a group move between tasks, so a hot group costs
 no more than its rows.
 
 Defined cases: null and empty texts have no words and fail the base rules; null languages and
-sources are groups of their own; a group of fewer than LEAST documents that pass the
-base rules rejects nobody; repeated rows are documents of their own; an empty table gives no
-rows; further columns are dropped. Repeats are exact for texts of up to 2^24 words.
+sources are groups of their own; documents that fail the base rules have no distance; repeated rows are
+documents of their own; an empty table gives no rows; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, materialize
 
+#: Least documents of an estimate of their own.
 LEAST = 40
 COVER = 0.75
 STEPS = 6
@@ -35,7 +40,6 @@ ALPHA = 1e-6
 FLOORS = (0.08, 0.25, 0.15, 0.15)
 SYMBOLS = "#*$%&|<>"
 P = len(FLOORS)
-_INDEX_BITS = 24
 
 
 def chi2_cdf(x: float, df: int) -> float:
@@ -73,18 +77,17 @@ def base_statistics(docs: DataFrame, *keep: str, text: str = "text") -> DataFram
         *keep, "word_chars", "n_symbols", "_w", F.size("_w").cast("long").alias("n_words"), F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
     )
-    w, top = F.col("_w"), (1 << _INDEX_BITS) - 1
-    window = lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])
-    packed = F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: window(i).bitwiseAND(F.lit(~top)).bitwiseOR(i.cast("long")))
+    w = F.col("_w")
+    hashed = F.when(F.size(w) < 3, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i")))
     )
-    rows = rows.withColumn("_h", F.sort_array(packed))
-    at = lambda v: v.bitwiseAND(F.lit(top)).cast("int")
+    rows = rows.withColumn("_h", F.sort_array(hashed))
+    at = lambda v: v["i"]
 
     def same(a: Column, b: Column) -> Column:
         """Equal hashes first: words are compared for few neighbours only."""
         i, j = at(a), at(b)
-        return (F.shiftright(a, _INDEX_BITS) == F.shiftright(b, _INDEX_BITS)) & (w[i] == w[j]) & (w[i + 1] == w[j + 1]) & (w[i + 2] == w[j + 2])
+        return (a["h"] == b["h"]) & (w[i] == w[j]) & (w[i + 1] == w[j + 1]) & (w[i + 2] == w[j + 2])
 
     h = F.col("_h")
     again = F.filter(h, lambda v, k: ((k > 0) & same(v, h[F.greatest(k - 1, F.lit(0))])) | ((k < F.size(h) - 1) & same(v, h[F.least(k + 1, F.size(h) - 1)])))
@@ -147,32 +150,51 @@ def _concentrate(rows: DataFrame, now: DataFrame) -> DataFrame:
     return _estimates(near.join(cut, ["g", "start"]).filter("bin <= cut"), ["g", "start"])
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept."""
-    group = F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s")))
-    named = docs.select(F.col(doc_id).alias("doc_id"), group.alias("g"), F.col(text).alias("_text"))
-    stats = base_statistics(named, "doc_id", "g", text="_text").withColumn("base_failed", base_failed())
-    stats = materialize(stats.select("*", *(x.alias(n) for x, n in zip(vector(), _X, strict=True))), "stats")
+def _levels(stats: DataFrame) -> DataFrame:
+    """By group g: `judge`, the estimate that its documents are judged by, and `count`, those that they count in."""
+    sizes = stats.groupBy("g").agg(F.first("l").alias("l"), F.count_if(~F.col("base_failed")).alias("n"))
+    langs = sizes.groupBy("l").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    both = materialize(sizes.join(langs, "l"), "groups")
+    some = both.agg(F.min("n_lang").alias("n")).first()
+    small, apart = F.col("n") < LEAST, F.col("n_lang") < LEAST
+    judge = F.when(~small, F.concat(F.lit("s"), "g")).when(~apart, F.concat(F.lit("l"), "l")).otherwise(F.lit("a"))
+    counted = F.array(
+        F.when(~small, F.concat(F.lit("s"), "g")), F.when(~apart & (F.col("least") < LEAST), F.concat(F.lit("l"), "l")),
+        F.when(F.lit(some.n is not None and some.n < LEAST), F.lit("a")),
+    )
+    return both.select("g", judge.alias("judge"), F.array_compact(counted).alias("count"))
+
 
-    passed = stats.filter(~F.col("base_failed")).select("g", *_X)
-    medians = passed.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 2000).alias(m) for x, m in zip(_X, _M, strict=True))).filter(F.col("n") >= LEAST)
+def estimates(passed: DataFrame) -> DataFrame:
+    """MCD estimate by g over rows of g and the transformed statistics."""
+    medians = passed.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 2000).alias(m) for x, m in zip(_X, _M, strict=True)))
     medians = materialize(medians, "medians")
     mads = passed.join(medians, "g").groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, 2000).alias(f"a{i}") for i, (x, m) in enumerate(zip(_X, _M, strict=True))))
     diagonal = [(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _S]
     first = _cholesky(medians.join(mads, "g").select("g", F.lit(0).alias("start"), "n", *_M, *diagonal), ["g", "start"])
-    judged = passed.join(medians.select("g"), "g")
-    second = _estimates(judged.withColumn("start", F.lit(1)), ["g", "start"])
+    second = _estimates(passed.withColumn("start", F.lit(1)), ["g", "start"])
     now = materialize(first.unionByName(second), "mcd")
 
-    both = judged.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = passed.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(STEPS):
         now = materialize(_concentrate(both, now), "mcd")
-    best = now.groupBy("g").agg(F.min(F.struct("log_det", "start", *_M, *(f"l{i}{j}" for i, j in _S))).alias("e")).select("g", "e.*")
+    return now.groupBy("g").agg(F.min(F.struct("log_det", "start", *_M, *(f"l{i}{j}" for i, j in _S))).alias("e")).select("g", "e.*")
+
+
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept."""
+    l, g = F.to_json(F.struct(F.col(lang).alias("l"))), F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s")))
+    named = docs.select(F.col(doc_id).alias("doc_id"), l.alias("l"), g.alias("g"), F.col(text).alias("_text"))
+    stats = base_statistics(named, "doc_id", "l", "g", text="_text").withColumn("base_failed", base_failed())
+    stats = materialize(stats.select("*", *(x.alias(n) for x, n in zip(vector(), _X, strict=True))), "stats")
+
+    levels = materialize(_levels(stats), "levels")
+    passed = stats.filter(~F.col("base_failed")).select("g", *_X).join(levels, "g").select(F.explode("count").alias("g"), *_X)
+    best = estimates(passed).withColumnRenamed("g", "judge")
     # The nearest share's covariance is too small by a known factor for normal data.
     scale = COVER / chi2_cdf(chi2_quantile(COVER, P), P + 2)
     limit = scale * chi2_quantile(1 - ALPHA, P)
-    out = distance(stats.join(best, "g", "left"))
+    out = distance(stats.join(levels.select("g", "judge"), "g").join(best, "judge", "left")).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2") / scale))
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.col("d2") / scale).alias("d2"),
-        (~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))).alias("kept"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", (~F.col("base_failed") & (F.col("d2") <= limit / scale)).alias("kept")
     )
