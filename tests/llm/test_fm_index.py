@@ -46,7 +46,7 @@ def test_suffix_array_and_locate_against_sorting():
         assert fm_index.suffix_array(np.array(full)).tolist() == sorted(range(n + 1), key=lambda i: full[i:])
         index = fm_index.FmIndex(text, k)
         pattern = text[n // 2 : n // 2 + 3]
-        live, low, high = index.search(pattern[None, :], np.array([len(pattern)]))
+        live, low, high = index.search(pattern, np.array([0]), np.array([len(pattern)]))
         got = sorted(index.locate(np.arange(low[0], high[0])).tolist())
         assert got == [i for i in range(n) if full[i : i + len(pattern)] == pattern.tolist()]
 
@@ -64,12 +64,36 @@ def test_matches_brute_force(spark):
     check(spark, *make(3), 4)
 
 
+def by_row(docs, items, k):
+    """brute() of rows one by one, for ids that repeat."""
+    return sorted((str(i), *map(str, brute([(i, t)], items, k)[i])) for i, t in docs)
+
+
+def found_rows(spark, docs, items, k, kind="long"):
+    d, b = spark.createDataFrame(docs, f"doc_id {kind}, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = fm_index.contamination(d, b, words=k).collect()
+    for r in rows:
+        assert sum(s.end - s.start for s in r.spans) == r.n_hit and all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
+    return sorted((str(r.doc_id), str(r.n_words), str(r.n_hit), str(list(r.items)), str(r.contaminated)) for r in rows)
+
+
 def test_blocks_of_phrases_merge(spark, monkeypatch):
-    monkeypatch.setattr(fm_index, "BLOCK_WINDOWS", 5)
     docs, items = make(4)
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items * 90, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r.items), r.contaminated) for r in fm_index.contamination(d, b, words=4).collect()}
-    assert got == brute(docs, items, 4)
+    docs = docs + [(1, docs[5][1]), (1, docs[5][1]), (None, docs[6][1]), (None, docs[7][1]), (3, docs[8][1])]
+    docs += [(500, "a b c x y z"), (500, "p q r s t u")]
+    items = items + [(50, "a b c x"), (51, "p q r s")]
+    want = by_row(docs, items, 4)
+    assert found_rows(spark, docs, items, 4) == want
+    monkeypatch.setattr(fm_index, "BLOCK_WORDS", 40)
+    assert found_rows(spark, docs, items, 4) == want
+    assert found_rows(spark, [(f"d{i}", t) for i, t in docs], items, 4, "string") == by_row([(f"d{i}", t) for i, t in docs], items, 4)
+
+
+def test_long_items_and_documents_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(fm_index, "PIECE_WORDS", 7)
+    docs, items = make(6)
+    items += [(20, " ".join(t for _, t in items[:9] if t))]
+    assert found_rows(spark, docs, items, 4) == by_row(docs, items, 4)
 
 
 def test_empty_tables(spark):

@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and every executor see: spark.checkpoint.dir.
 
-    Only where the cluster names none (unit tests in local mode) a temporary
+    Only where it names none and Spark runs on this machine alone (unit tests), a temporary
     folder of this machine is set instead.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         found = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -70,6 +72,32 @@ def join_ids(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+#: Name of the column that tells rows of one id apart.
+ROW = "row_key"
+
+
+def row_key(text: str | F.Column) -> F.Column:
+    """A hash of the text. With the id it names a row: rows equal in both are copies of one document."""
+    return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
+
+
+def _same_row(docs: DataFrame, rows: DataFrame, doc_id: str) -> F.Column:
+    return docs[doc_id].eqNullSafe(rows["doc_id"]) & (docs[ROW] == rows[ROW])
+
+
+def with_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs (with doc_id and row_key) and, where found, the other columns of `rows`, which has one row a (doc_id, row_key)."""
+    few = F.broadcast(rows) if rows.count() <= BROADCAST_IDS // 4 else rows
+    return docs.join(few, _same_row(docs, few, "doc_id"), "left").select(*(docs[c] for c in docs.columns), *(few[c] for c in rows.columns if c not in ("doc_id", ROW)))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs but the rows that the written table `gone` (doc_id, row_key) names; texts are shuffled only if these are too many to broadcast."""
+    keyed = docs.withColumn(ROW, row_key(text))
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return keyed.join(few, _same_row(keyed, few, doc_id), "left_anti").select(*docs.columns)
+
+
 def fold(column: str, buckets: int):
     """crc32 of an id's text, modulo `buckets`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)
