@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tidewatch.llm import components, minhash
 
 
@@ -62,9 +64,48 @@ def test_large_mixed_bucket_is_compared_in_blocks(spark, monkeypatch):
 
 def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (None, None)], "doc_id long, text string")
-    got = sorted((r.doc_id is None, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, words=2).collect() if r.doc_id)
-    assert got == [(False, 2, 1, True)]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash.near_duplicates(df, words=2).collect())
+    assert got == [("1", 2, "1", True), ("None", 0, "None", True), ("None", 2, "None", True)]
     assert minhash.near_duplicates(df.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(df, similarity=79)
+
+
+def brute_rows(rows, k):
+    """By row: (id, set size, smallest id of its component, kept), every row judged by its own text."""
+    by_text = {}
+    for i, t in rows:
+        if i is not None:
+            by_text.setdefault(word_sets(t, k), []).append(i)
+    sets = [s for s in by_text if s]
+    up = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = up[a], up[b]
+                up = [y if u == x else u for u in up]
+    owner = {}
+    for s, u in zip(sets, up, strict=True):
+        owner[u] = min([*by_text[s], *([owner[u]] if u in owner else [])])
+    of = {s: owner[u] for s, u in zip(sets, up, strict=True)}
+    out = []
+    for i, t in rows:
+        s = word_sets(t, k)
+        c = None if i is None else of.get(s, i)
+        out.append((str(i), len(s), str(c), i is None or c == i))
+    return sorted(out)
+
+
+def test_rows_that_share_an_id(spark):
+    texts = [t for _, t in corpus(60)]
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), t) for t in texts] + [(None, texts[0]), (1, texts[0]), (1, texts[0]), (200, texts[0])]
+    rows += [(501, "a b c d e"), (501, "p q r s t"), (502, "a b c d e"), (503, "p q r s t")]
+    for kind in ("long", "string"):
+        typed = [(i if kind == "long" or i is None else f"d{i:04}", t) for i, t in rows]
+        got = minhash.near_duplicates(spark.createDataFrame(typed, f"doc_id {kind}, text string"), words=2).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute_rows(typed, 2)
 
 
 def test_components_of_a_long_chain_and_a_star(spark):

@@ -2,7 +2,8 @@
 
 1. One pass over the texts gives each document's shingle count, a 128-bit digest
    of its shingle set and the minima of many universal hashes. Documents with
-   equal digests are one node from here on, its representative the smallest id.
+   equal digests are one node from here on, numbered as it is written; its
+   smallest id owns it, and a text of that id stands for it.
 2. Bands of minima are hashed; every bucket with two or more nodes is a star
    around its smallest node. Stars, not all pairs, are verified.
 3. Candidates whose minima agree too rarely go (the bound lies so far below the
@@ -16,8 +17,9 @@
 
 Defined cases: null or wordless texts have an empty set and link with nothing; a
 document of fewer words than a shingle has its whole word sequence as its only
-shingle; a null id is kept, with a null component; rows that share an id are
-judged each by its own text; an empty table gives no rows; further columns are dropped.
+shingle; a null id is kept, with a null component, and links nothing; rows that share an id are
+judged each by its own text (`row_key` tells them apart), rows equal in both stay or go together; ids may be of any
+type that has an order; an empty table gives no rows; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_ids, materialize, text_batches
+from .common import ROW, drop_materialized, join_ids, materialize, row_key, text_batches
 from .components import components
 from .words import BY_SPACE, U64, _seeded, chain, mix, split_words
 
@@ -39,6 +41,8 @@ BANDS, ROWS = 40, 5
 BLOCK = 512
 #: Shingle hashes of a profile; smaller sets are compared whole.
 PROFILE = 512
+#: Nodes that are broadcast with their ids and digests (some 40 bytes each); more are joined by a shuffle.
+BROADCAST_NODES = 1_000_000
 
 
 def shingle_sets(column, words: int):
@@ -84,18 +88,22 @@ def minima_of_runs(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, n
     return out
 
 
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, doc_id: str, text: str, words: int, n_hashes: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids, sizes, digests, sigs = batch.column(0), [], [], []
-            for _, s in shingle_sets(batch.column(1), words):
+            sizes, digests, sigs = [], [], []
+            for _, s in shingle_sets(batch.column(2), words):
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digests.append(digest_of(s) if len(s) else None)
                 sigs.append(minima(s, n_hashes).astype(np.uint8).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", ROW, "n_shingles", "digest", "sig"])
 
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    picked = docs.select(F.col(doc_id).alias("doc_id"), row_key(text).alias(ROW), F.col(text).cast("string").alias("text"))
+    return picked.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, {ROW} long, n_shingles long, digest binary, sig binary")
 
 
 def band_keys(nodes: DataFrame, node: str, bands: int, rows: int, kind=np.uint16) -> DataFrame:
@@ -125,30 +133,43 @@ def agreement(pairs: DataFrame, least: float, kind=np.uint16) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(text, node, digest) of every row that has the id of one of `nodes` (node, doc_id, digest)."""
+    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return picked.join(few, "doc_id").select("text", "node", "digest")
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(node, shingles) for the documents that represent `nodes`."""
+    """(node, shingles) of `nodes` (node, doc_id, digest)."""
 
     def run(batches):
         for batch in batches:
-            sets = [s.view(np.int64) for _, s in shingle_sets(batch.column(1), words)]
+            sets, at = [], []
+            for (row, s), digest in zip(shingle_sets(batch.column(0), words), batch.column(2).to_pylist(), strict=True):
+                if digest_of(s) == digest:
+                    sets.append(s.view(np.int64))
+                    at.append(row)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int32())), pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "shingles"])
 
-    picked = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-    return join_ids(picked, nodes, "node", "left_semi").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return _texts(docs, nodes, doc_id, text).mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def profiles(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(node, profile): the PROFILE least shingle hashes of `nodes`, in order, as 32-bit numbers."""
+    """(node, profile): the PROFILE least shingle hashes of `nodes` (node, doc_id, digest), in order, as 32-bit numbers."""
 
     def run(batches):
         for batch in batches:
-            least = [(s[:PROFILE] >> U64(32)).astype(np.uint32).tobytes() for _, s in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.binary())], ["node", "profile"])
+            least, at = [], []
+            for (row, s), digest in zip(shingle_sets(batch.column(0), words), batch.column(2).to_pylist(), strict=True):
+                if digest_of(s) == digest:
+                    least.append((s[:PROFILE] >> U64(32)).astype(np.uint32).tobytes())
+                    at.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int32())), pa.array(least, pa.binary())], ["node", "profile"])
 
-    picked = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-    return join_ids(picked, nodes, "node", "left_semi").mapInArrow(run, "node long, profile binary").dropDuplicates(["node"])
+    return _texts(docs, nodes, doc_id, text).mapInArrow(run, "node long, profile binary").dropDuplicates(["node"])
 
 
 class Profiles:
@@ -174,14 +195,24 @@ class Profiles:
         return both >= (floor - slack) * union
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= similarity * union, on full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(sets_of(docs, ids, doc_id, text, words), "sets")
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+def confirmed(pairs: DataFrame, sets, similarity: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= similarity * union, on full sets. sets: gives (node, shingles) of a table of nodes."""
+    found = materialize(sets(materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")), "sets")
+    left, right = (found.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - both
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= similarity * union).select("a", "b")
+    out = materialize(pairs.join(left, "a").join(right, "b").filter(100 * both >= similarity * union).select("a", "b"), "edges")
+    drop_materialized(found)
+    return out
+
+
+def unsettled(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, comp) of the buckets that hold nodes of several components, to be compared by mixed_bucket_pairs."""
+    labelled = crowded.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"))
+    # Of buckets of the same nodes one is enough: that of the lowest band, which holds its pairs' first common band.
+    mixed = mixed.filter("lo < hi").groupBy("n", "who", "lo", "hi").agg(F.min_by("key", F.pmod("key", F.lit(64))).alias("key")).select("key")
+    return labelled.join(mixed, "key", "left_semi")
 
 
 def mixed_bucket_pairs(rows: DataFrame, known: DataFrame, floor: float, least: float, bands: int, per: int, kind=np.uint8) -> DataFrame:
@@ -226,41 +257,44 @@ def mixed_bucket_pairs(rows: DataFrame, known: DataFrame, floor: float, least: f
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest id reachable), kept.
+    """One row a document: doc_id, row_key, n_shingles, component_id (smallest id reachable), kept.
 
-    similarity: least Jaccard similarity of linked documents, in hundredths (80 or more).
+    similarity: least Jaccard similarity of linked documents, in hundredths (80 or more, else ValueError).
     """
+    if not 80 <= similarity <= 100:
+        raise ValueError("similarity must be 80 to 100: the bands are tuned for that")
     n_hashes = bands * rows
     floor = similarity / 100
     least = floor - 6.5 * (floor * (1 - floor) / n_hashes) ** 0.5
     all_docs = materialize(sketches(text_batches(docs), doc_id, text, words, n_hashes), "sketch")
-    groups = all_docs.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("node"))
-    groups = materialize(groups, "groups")
-    nodes = materialize(all_docs.select("doc_id", "digest", "sig").join(groups.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "sig"), "nodes")
+    groups = all_docs.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    nodes = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    owners, signed_nodes = nodes.select("node", "doc_id", "digest"), nodes.select("node", "sig")
 
-    keyed = materialize(band_keys(nodes, "node", bands, rows, np.uint8), "bands")
+    keyed = materialize(band_keys(signed_nodes, "node", bands, rows, np.uint8), "bands")
     stars = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
     crowded = materialize(keyed.join(stars, "key"), "crowded")
+    drop_materialized(keyed)
     pairs = crowded.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    signed = lambda p: p.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
-    pairs = materialize(agreement(signed(pairs), least, np.uint8), "pairs")
-    edges = materialize(confirmed(pairs, docs, doc_id, text, words, similarity), "edges")
+    signed = pairs.join(signed_nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(signed_nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+    pairs = materialize(agreement(signed.select("a", "b", "sig_a", "sig_b"), least, np.uint8), "pairs")
+    of = lambda ids: join_ids(owners, ids, "node", "left_semi")
+    sets = lambda ids: sets_of(docs, materialize(of(ids), "owners"), doc_id, text, words)
+    edges = confirmed(pairs, sets, similarity)
     found = materialize(components(edges), "comp")
 
-    labelled = crowded.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"))
-    # Of buckets of the same nodes one is enough: that of the lowest band, which holds its pairs' first common band.
-    mixed = mixed.filter("lo < hi").groupBy("n", "who", "lo", "hi").agg(F.min_by("key", F.pmod("key", F.lit(64))).alias("key")).select("key")
-    rest = materialize(labelled.join(mixed, "key", "left_semi"), "mixed")
+    rest = materialize(unsettled(crowded, found), "mixed")
+    drop_materialized(crowded)
     if not rest.isEmpty():
-        known = nodes.join(profiles(docs, rest.select("node").distinct(), doc_id, text, words), "node")
+        known = signed_nodes.join(profiles(docs, materialize(of(materialize(rest.select("node").distinct(), "strays")), "owners"), doc_id, text, words), "node")
         more = materialize(mixed_bucket_pairs(rest, known, floor, least, bands, rows).join(pairs, ["a", "b"], "left_anti"), "more")
-        late = materialize(confirmed(more, docs, doc_id, text, words, similarity), "late")
+        late = confirmed(more, sets, similarity)
         if not late.isEmpty():
             found = materialize(components(edges.union(late)), "comp")
+    drop_materialized(rest)
 
-    groups = groups.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = all_docs.join(groups, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
-    )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = owners.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups = placed.join(smallest, "component").select("digest", "component_id")
+    out = all_docs.join(groups, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.select("doc_id", ROW, "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -42,7 +42,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicate documents on 2-word shingles, with its smallest id kept."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=80)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
