@@ -1,6 +1,11 @@
 import random
 
 from tidewatch.llm import paragraphs
+from tidewatch.llm.common import ROW, row_key
+
+
+def keyed(df):
+    return df.withColumn(ROW, row_key("text"))
 
 
 def corpus():
@@ -26,7 +31,7 @@ def corpus():
 
 def test_spliced_passages_and_near_lines(spark):
     rows, passages, planted = corpus()
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int")
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, row_key int")
     spans = paragraphs.repeats(df)
     found = spans.collect()
     texts = dict(rows)
@@ -96,7 +101,7 @@ def test_near_lines_that_are_far_from_the_centre_of_their_buckets(spark):
                 up[max(root(a), root(b))] = min(root(a), root(b))
     want = {(i, root(i)) for i in sets if root(i) != i}
     assert 100 < len(want) < 290
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = keyed(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {(r.doc_id, r.owner) for r in paragraphs.repeated_lines(df, 25, 80).collect()}
     assert got == want
 
@@ -130,9 +135,49 @@ def test_passages_are_those_of_one_earlier_document(spark):
         for i in range(len(t) - 39):
             first.setdefault(tuple(t[i : i + 40]), d)
     want = {(d, i + j) for d, t in texts.items() for i in range(len(t) - 39) if first[tuple(t[i : i + 40])] < d for j in range(40)}
-    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    df = keyed(spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string"))
     spans = paragraphs.repeated_passages(df, 40).collect()
     assert {(r.doc_id, i) for r in spans for i in range(r.start, r.end)} == want
     for r in spans:
         run, owner = texts[r.doc_id][r.start : r.end], texts[r.owner]
         assert r.owner < r.doc_id and len(run) >= 40 and any(owner[i : i + len(run)] == run for i in range(len(owner)))
+
+
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(21)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    first, second, own = words(60), words(45), words(50)
+    rows = [
+        (1, words(30) + " " + first), (2, first + " " + words(200)), (2, "short"), (2, words(20) + "\n" + second),
+        (3, second), (3, words(300) + " " + first + "\n" + words(5)), (4, own), (4, own + " " + words(30)), (None, first), (5, None),
+    ]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame([(i if i is None or kind == "long" else f"d{i}", t, k) for k, (i, t) in enumerate(rows)], f"doc_id {kind}, text string, cuts int")
+        spans = paragraphs.repeats(df)
+        got = {r.cuts: r.text for r in paragraphs.remove(df, spans).collect()}
+        want = {k: t for k, (_, t) in enumerate(rows)}
+        want[1] = want[1][len(first) :]
+        want[4] = ""
+        want[5] = want[5].replace(first, "")
+        assert got == want
+
+
+def test_lines_of_a_crowded_family(spark):
+    """Lines with 86 of 100 words in common, of which some have a copy with one word changed."""
+    rng = random.Random(31)
+    common = [f"t{i}" for i in range(86)]
+    rows = []
+    for i in range(500):
+        w = list(common)
+        for at in sorted(rng.sample(range(86), 14)):
+            w.insert(at, f"v{rng.randrange(10**9)}")
+        rows.append((i, w))
+        if i < 60:
+            copy = list(w)
+            copy[rng.randrange(3, 97)] = f"v{rng.randrange(10**9)}"
+            rows.append((10_000 + i, copy))
+    df = keyed(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    got = {(r.doc_id, r.owner) for r in paragraphs.repeated_lines(df, 25, 80).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(96)} for i, w in rows}
+    want = {(10_000 + i, i) for i in range(60) if 100 * len(sets[i] & sets[10_000 + i]) >= 80 * len(sets[i] | sets[10_000 + i])}
+    assert len(want) > 50 and got == want

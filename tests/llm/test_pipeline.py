@@ -57,3 +57,22 @@ def test_stages_against_brute_force(spark, tmp_path):
     for s in ("s0", "s1", "s2"):
         own = [r for r in mixed.values() if r.source == s]
         assert abs(sum(r.taken for r in own) - own[0].target) <= 200
+
+
+def test_rows_that_share_an_id_are_judged_each_by_itself(spark, tmp_path):
+    docs, items = rows(40)
+    bad = docs[-4][1]
+    assert items[2][1] in bad
+    extra = [(1, docs[0][1]), (5, docs[0][1]), (5, docs[7][1] + " tail"), (None, bad), (2, bad), (2, docs[9][1].replace("e", "f")), (None, docs[11][1].replace("a", "b"))]
+    full = [(i, t, "en", "s0", 1, "x") for i, t in [(d[0], d[1]) for d in docs if d[0] < 40] + extra]
+    df = spark.createDataFrame(full, f"doc_id long, text string, lang string, source string, n_chars long, {corpus_pipeline.ROW} string")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = lambda d: sorted((str(r.doc_id), r.text) for r in d.collect())
+    all_of_them = sorted((str(r[0]), r[1]) for r in full)
+    stages = dict(corpus_pipeline.STAGES)
+    # Row (1, text of 0) and row (5, text of 0) go; (5, ...), equal to 7's text but for a word, goes as well.
+    gone = sorted([("1", docs[0][1]), ("5", docs[0][1]), ("7", docs[7][1])])
+    near = stages["near_dedup"](spark, df, str(tmp_path))
+    assert near.columns == df.columns and texts(near) == [r for r in all_of_them if r not in gone]
+    clean = stages["decontamination"](spark, df, str(tmp_path))
+    assert clean.columns == df.columns and texts(clean) == [r for r in all_of_them if r[1] != bad]

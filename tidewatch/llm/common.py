@@ -81,21 +81,20 @@ def row_key(text: str | F.Column) -> F.Column:
     return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
 
 
-def _same_row(docs: DataFrame, rows: DataFrame, doc_id: str) -> F.Column:
-    return docs[doc_id].eqNullSafe(rows["doc_id"]) & (docs[ROW] == rows[ROW])
+def _same_row(doc_id: F.Column, key: F.Column, rows: DataFrame) -> F.Column:
+    return doc_id.eqNullSafe(rows["doc_id"]) & (key == rows[ROW])
 
 
 def with_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs (with doc_id and row_key) and, where found, the other columns of `rows`, which has one row a (doc_id, row_key)."""
     few = F.broadcast(rows) if rows.count() <= BROADCAST_IDS // 4 else rows
-    return docs.join(few, _same_row(docs, few, "doc_id"), "left").select(*(docs[c] for c in docs.columns), *(few[c] for c in rows.columns if c not in ("doc_id", ROW)))
+    return docs.join(few, _same_row(docs["doc_id"], docs[ROW], few), "left").select(*(docs[c] for c in docs.columns), *(few[c] for c in rows.columns if c not in ("doc_id", ROW)))
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs but the rows that the written table `gone` (doc_id, row_key) names; texts are shuffled only if these are too many to broadcast."""
-    keyed = docs.withColumn(ROW, row_key(text))
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return keyed.join(few, _same_row(keyed, few, doc_id), "left_anti").select(*docs.columns)
+    return docs.join(few, _same_row(docs[doc_id], row_key(docs[text]), few), "left_anti")
 
 
 def fold(column: str, buckets: int):

@@ -72,8 +72,8 @@ def minima(shingles: np.ndarray, n_hashes: int) -> np.ndarray:
 
 
 def minima_of_runs(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, n_hashes: int) -> np.ndarray:
-    """minima() of each run of shingles from a start to its end (none is empty), one row each."""
-    out, lengths = np.zeros((len(starts), n_hashes), np.uint16), ends - starts
+    """Whole minima, as minima() has halves of, of each run of shingles from a start to its end (none is empty), one row each."""
+    out, lengths = np.zeros((len(starts), n_hashes), np.uint32), ends - starts
     upto = np.concatenate([[0], np.cumsum(lengths)])
     a = (_seeded(n_hashes, 101) >> U64(32)).astype(np.uint32) | np.uint32(1)
     b = (_seeded(n_hashes, 202) >> U64(32)).astype(np.uint32)
@@ -83,7 +83,7 @@ def minima_of_runs(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, n
         at = np.arange(upto[lo], upto[hi]) + np.repeat(starts[lo:hi] - upto[lo:hi], lengths[lo:hi])
         x = (shingles[at] >> U64(32)).astype(np.uint32)
         least = np.minimum.reduceat(x[None, :] * a[:, None] + b[:, None], upto[lo:hi] - upto[lo], axis=1)
-        out[lo:hi] = (mix(least.T.astype(U64)) & U64(0xFFFF)).astype(np.uint16)
+        out[lo:hi] = least.T
         lo = hi
     return out
 

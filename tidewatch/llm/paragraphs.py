@@ -3,7 +3,7 @@
 Two kinds of paragraphs are deduplicated across documents:
 
 * lines of at least `least_line` words: MinHash signatures over five-word shingles in
-  many narrow bands (two minima each, so that recall is high), stars of colliding
+  many narrow bands (two minima of 32 bits each, so that recall is high and strangers seldom meet), stars of colliding
   lines, exact Jaccard similarity of at least 0.8 on full sets, and clusters by
   connected components; lines of different clusters that share a bucket are then
   compared in blocks, confirmed alike, and the clusters computed again;
@@ -17,8 +17,12 @@ Two kinds of paragraphs are deduplicated across documents:
 A cluster's owner, the document of the smallest id, keeps its paragraph; the other
 documents lose theirs. A document's own repeats are left alone.
 
+Lines of fewer than `least_line` words and runs of fewer than `least_words` are left alone, exact copies
+included: short lines recur in honest documents.
+
 Defined cases: null and empty texts have no paragraphs; rows with a null id are left
-alone; rows that share an id are one owner and do not lose paragraphs to each other; an empty
+alone; rows that share an id are one owner and do not lose paragraphs to each other, and each
+loses its own spans (`row_key` tells them apart); ids may be of any type that has an order; an empty
 table gives no rows; further columns pass through `remove` and are not read otherwise.
 """
 
@@ -31,9 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import minhash
-from .common import join_ids, materialize, text_batches
+from .common import ROW, drop_materialized, materialize, row_key, text_batches
 from .components import components
-from .words import BY_SPACE, U64, chain, mix, slices, split_words, text_buffers
+from .words import BY_SPACE, U64, Words, chain, mix, slices, split_words, text_buffers
 
 SHINGLE = 5
 #: 12 bands of 2 minima: at similarity 0.8 a pair shares one with odds 1 - (1 - 0.64)^12, all but 5e-6.
@@ -74,90 +78,125 @@ def segment_starts(words: np.ndarray, first: np.ndarray, least_words: int = 40)
     return out
 
 
+def _id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def anchors(docs: DataFrame, least_words: int) -> DataFrame:
     """Every anchor: its hash, and hash and place in words of all runs of least_words words that hold it."""
     size = max(1, least_words // 2)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for w in split_words(batch.column(1), BY_SPACE):
+            for w in split_words(batch.column(2), BY_SPACE):
                 at = np.flatnonzero(segment_starts(w.hashes, w.first, least_words))
                 if not len(at):
                     continue
                 row = np.searchsorted(w.first, at, "right") - 1
                 start, end = np.maximum(at + size - least_words, w.first[row]), np.minimum(at + least_words, w.first[row + 1])
                 around = mix(run_hashes(w.hashes, start, end) + (at - start).astype(U64))
+                of = pa.array(w.lo + row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(run_hashes(w.hashes, at, at + size).view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids[w.lo + row]),
+                    [pa.array(run_hashes(w.hashes, at, at + size).view(np.int64)), pa.array(around.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of),
                      pa.array((start - w.first[row]).astype(np.int32)), pa.array((end - w.first[row]).astype(np.int32))],
-                    ["hash", "around", "doc_id", "start", "end"],
+                    ["hash", "around", "doc_id", ROW, "start", "end"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "hash long, around long, doc_id long, start int, end int")
+    return docs.select("doc_id", ROW, "text").mapInArrow(run, f"hash long, around long, doc_id {_id_type(docs)}, {ROW} long, start int, end int")
+
+
+def _places(docs: DataFrame, places: DataFrame, kind: str) -> DataFrame:
+    """doc_id, row_key, text and `at` (list of kind) of the documents that `places` (doc_id, row_key, and the fields of kind) names."""
+    wanted = materialize(places.groupBy("doc_id", ROW).agg(F.collect_list(F.struct(*kind.split())).alias("at")), "places")
+    return docs.select("doc_id", ROW, "text").join(wanted, ["doc_id", ROW])
+
+
+def _placed(column: pa.Array, w: Words, upto: np.ndarray, *fields: str) -> tuple[np.ndarray, ...]:
+    """Row in w, and the fields, of the places of w's rows. upto: places before each row of the batch."""
+    some = column.flatten().slice(int(upto[w.lo]), int(upto[w.hi] - upto[w.lo]))
+    row = np.repeat(np.arange(w.hi - w.lo), np.diff(upto[w.lo : w.hi + 1]))
+    return row, *(some.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)
 
 
 def runs(docs: DataFrame, places: DataFrame, least_words: int) -> DataFrame:
-    """Every run of least_words words within the places (doc_id, start, end): (hash, doc_id, start)."""
-    wanted = materialize(places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("at")), "run-places")
+    """Every run of least_words words within the places (doc_id, row_key, start, end): (hash, doc_id, row_key, start)."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            upto = np.cumsum([0, *batch.column(2).value_lengths().to_pylist()])
-            at = batch.column(2).flatten()
-            start, end = (at.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
-            for w in split_words(batch.column(1), BY_SPACE):
-                some = slice(upto[w.lo], upto[w.hi])
-                row = np.repeat(np.arange(w.hi - w.lo), np.diff(upto[w.lo : w.hi + 1]))
-                a, b = w.first[row] + start[some], np.minimum(w.first[row] + end[some], w.first[row + 1]) - least_words + 1
+            upto = np.cumsum([0, *batch.column(3).value_lengths().to_pylist()])
+            for w in split_words(batch.column(2), BY_SPACE):
+                row, start, end = _placed(batch.column(3), w, upto, "start", "end")
+                a, b = w.first[row] + start, np.minimum(w.first[row] + end, w.first[row + 1]) - least_words + 1
                 a, b, n = a[b > a], b[b > a], len(w.hashes) + 1
                 begins = np.flatnonzero(np.cumsum(np.bincount(a, minlength=n) - np.bincount(b, minlength=n)) > 0)
                 if len(begins):
                     row = np.searchsorted(w.first, begins, "right") - 1
+                    of = pa.array(w.lo + row)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(run_hashes(w.hashes, begins, begins + least_words).view(np.int64)), pa.array(ids[w.lo + row]), pa.array((begins - w.first[row]).astype(np.int32))],
-                        ["hash", "doc_id", "start"],
+                        [pa.array(run_hashes(w.hashes, begins, begins + least_words).view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array((begins - w.first[row]).astype(np.int32))],
+                        ["hash", "doc_id", ROW, "start"],
                     )
 
-    picked = join_ids(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id", "left_semi").join(wanted, "doc_id")
-    return picked.mapInArrow(run, "hash long, doc_id long, start int")
+    return _places(docs, places, "start end").mapInArrow(run, f"hash long, doc_id {_id_type(docs)}, {ROW} long, start int")
 
 
-def lines(docs: DataFrame, least: int, text: bool) -> DataFrame:
-    """Every line of at least `least` words: its hash and either place and signature, or text."""
+def lines(docs: DataFrame, least: int) -> DataFrame:
+    """Every line of at least `least` words: its hash, place in words, and signature."""
 
-    def some(ids: list, texts: list) -> pa.RecordBatch:
+    def some(texts: list):
         split = [(t or "").split("\n") for t in texts]
-        parts = [x for p in split for x in p]
-        ws = list(split_words(pa.array(parts, pa.string()), BY_SPACE))
+        ws = list(split_words(pa.array([x for p in split for x in p], pa.string()), BY_SPACE))
         hashes, counts = np.concatenate([w.hashes for w in ws]), np.concatenate([w.counts for w in ws])
         first = np.concatenate([[0], np.cumsum(counts)])
         long = np.flatnonzero(counts >= least)
         start, end = first[long], first[long + 1]
-        keys = pa.array(run_hashes(hashes, start, end).view(np.int64))
-        if text:
-            return pa.RecordBatch.from_arrays([keys, pa.array([parts[i] for i in long.tolist()], pa.string())], ["hash", "text"])
         n_lines = [len(p) for p in split]
-        doc = np.repeat(np.arange(len(ids)), n_lines)[long]
+        doc = np.repeat(np.arange(len(texts)), n_lines)[long]
         begin = first[np.cumsum([0, *n_lines])[:-1]][doc]
         sigs = minhash.minima_of_runs(chain(hashes, SHINGLE), start, end - SHINGLE + 1, BANDS * ROWS)
-        return pa.RecordBatch.from_arrays([keys, pa.array(np.array(ids, np.int64)[doc]), pa.array(start - begin), pa.array(end - begin), pa.array([s.tobytes() for s in sigs], pa.binary())], ["hash", "doc_id", "start", "end", "sig"])
+        return run_hashes(hashes, start, end).view(np.int64), doc, start - begin, end - begin, sigs
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in slices(text_buffers(batch.column(2))[1]):
+                keys, doc, start, end, sigs = some(batch.column(2).slice(lo, hi - lo).to_pylist())
+                of = pa.array(lo + doc)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), batch.column(0).take(of), batch.column(1).take(of), pa.array(start), pa.array(end), pa.array([s.tobytes() for s in sigs], pa.binary())],
+                    ["hash", "doc_id", ROW, "start", "end", "sig"],
+                )
+
+    return docs.select("doc_id", ROW, "text").mapInArrow(run, f"hash long, doc_id {_id_type(docs)}, {ROW} long, start long, end long, sig binary")
+
+
+def line_sets(docs: DataFrame, found: DataFrame, nodes: DataFrame, profile: bool = False) -> DataFrame:
+    """(node, shingles) or (node, profile) of the lines `nodes` (node: a hash), each cut out of one document that has it."""
+    one = found.select(F.col("hash").alias("node"), "doc_id", ROW, "start", "end").join(nodes, "node", "left_semi")
+    one = one.groupBy("node").agg(F.min(F.struct("doc_id", ROW, "start", "end")).alias("p")).select("node", "p.*")
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for lo, hi in slices(text_buffers(batch.column(1))[1]):
-                yield some(ids[lo:hi], batch.column(1).slice(lo, hi - lo).to_pylist())
+            upto = np.cumsum([0, *batch.column(3).value_lengths().to_pylist()])
+            for w in split_words(batch.column(2), BY_SPACE):
+                row, node, start, end = _placed(batch.column(3), w, upto, "node", "start", "end")
+                whole = chain(w.hashes, SHINGLE)
+                sets = [np.unique(whole[a:b]) for a, b in zip((w.first[row] + start).tolist(), (w.first[row] + end - SHINGLE + 1).tolist(), strict=True)]
+                if profile:
+                    out = pa.array([(s[: minhash.PROFILE] >> U64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())
+                else:
+                    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                    out = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(s.view(np.int64) for s in sets)])))
+                yield pa.RecordBatch.from_arrays([pa.array(node), out], ["node", "profile" if profile else "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "hash long, text string" if text else "hash long, doc_id long, start long, end long, sig binary")
+    return _places(docs, one, "node start end").mapInArrow(run, "node long, profile binary" if profile else "node long, shingles array<long>")
 
 
 def repeated_lines(docs: DataFrame, least_line: int, similarity: int) -> DataFrame:
-    """Spans (doc_id, start, end, owner) of lines whose cluster has an earlier document."""
-    found = materialize(lines(docs, max(least_line, SHINGLE), text=False), "lines")
-    nodes = materialize(found.select(F.col("hash").alias("node"), "sig").dropDuplicates(["node"]), "line-nodes")
-    keyed = minhash.band_keys(nodes, "node", BANDS, ROWS)
+    """Spans (doc_id, row_key, start, end, owner) of lines whose cluster has an earlier document."""
+    signed_lines = materialize(lines(docs, max(least_line, SHINGLE)), "lines")
+    nodes = materialize(signed_lines.select(F.col("hash").alias("node"), "sig").dropDuplicates(["node"]), "line-nodes")
+    found = signed_lines.drop("sig")
+    keyed = minhash.band_keys(nodes, "node", BANDS, ROWS, np.uint32)
     stars = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
     stars = materialize(stars, "line-stars")
     crowded = materialize(keyed.join(stars.filter("n > 2").select("key", "a"), "key"), "line-crowded")
@@ -165,61 +204,69 @@ def repeated_lines(docs: DataFrame, least_line: int, similarity: int) -> DataFra
     floor = similarity / 100
     least = max(floor - 4.5 * (0.16 / (BANDS * ROWS)) ** 0.5, 0.2)
     signed = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = materialize(minhash.agreement(signed.select("a", "b", "sig_a", "sig_b"), least), "line-pairs")
-    texts = lines(docs, max(least_line, SHINGLE), text=True)
-    edges = materialize(minhash.confirmed(pairs, texts, "hash", "text", SHINGLE, similarity), "line-edges")
+    pairs = materialize(minhash.agreement(signed.select("a", "b", "sig_a", "sig_b"), least, np.uint32), "line-pairs")
+    drop_materialized(stars)
+    sets = lambda ids: line_sets(docs, found, ids)
+    edges = minhash.confirmed(pairs, sets, similarity)
     clusters = materialize(components(edges), "line-clusters")
 
     # Near lines whose star has another centre: nodes of different components meet within their buckets.
-    labelled = crowded.join(clusters, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"))
-    # Of buckets of the same nodes one is enough: that of the lowest band, which holds its pairs' first common band.
-    mixed = mixed.filter("lo < hi").groupBy("n", "who", "lo", "hi").agg(F.min_by("key", F.pmod("key", F.lit(64))).alias("key")).select("key")
-    rest = materialize(labelled.join(mixed, "key", "left_semi"), "line-mixed")
+    rest = materialize(minhash.unsettled(crowded, clusters), "line-mixed")
+    drop_materialized(crowded)
     if not rest.isEmpty():
-        known = nodes.join(minhash.profiles(texts, materialize(rest.select("node").distinct(), "line-strays"), "hash", "text", SHINGLE), "node")
-        more = minhash.mixed_bucket_pairs(rest, known, floor, least, BANDS, ROWS, np.uint16)
+        known = nodes.join(line_sets(docs, found, materialize(rest.select("node").distinct(), "line-strays"), profile=True), "node")
+        more = minhash.mixed_bucket_pairs(rest, known, floor, least, BANDS, ROWS, np.uint32)
         more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "line-more")
-        late = materialize(minhash.confirmed(more, texts, "hash", "text", SHINGLE, similarity), "line-late")
+        late = minhash.confirmed(more, sets, similarity)
         if not late.isEmpty():
             clusters = materialize(components(edges.union(late)), "line-clusters")
-    placed = found.select("hash", "doc_id", "start", "end").join(clusters.withColumnRenamed("node", "hash"), "hash", "left")
-    placed = placed.withColumn("cluster", F.coalesce("component", "hash"))
+    placed = found.join(clusters.withColumnRenamed("node", "hash"), "hash", "left").withColumn("cluster", F.coalesce("component", "hash"))
     owners = placed.groupBy("cluster").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("cluster", "owner")
-    return placed.join(owners, "cluster").filter("doc_id <> owner").select("doc_id", "start", "end", "owner")
+    spans = materialize(placed.join(owners, "cluster").filter("doc_id <> owner").select("doc_id", ROW, "start", "end", "owner"), "line-spans")
+    drop_materialized(signed_lines, nodes, rest)
+    return spans
 
 
 def repeated_passages(docs: DataFrame, least_words: int) -> DataFrame:
-    """Spans (doc_id, start, end, owner) of least_words words or more that the owner, an earlier document, has in a row."""
+    """Spans (doc_id, row_key, start, end, owner) of least_words words or more that the owner, an earlier document, has in a row."""
     found = materialize(anchors(docs, least_words), "anchors")
     groups = found.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min("around").alias("lo"), F.max("around").alias("hi"))
     groups = materialize(groups.filter("owner < last").select("hash", "owner", (F.col("lo") == F.col("hi")).alias("alike")), "anchor-groups")
-    shared = materialize(found.join(groups, "hash").filter("not alike or doc_id <> owner").select("doc_id", "start", "end", "owner", "alike"), "shared-anchors")
-    alike = shared.filter("alike").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "owner")
+    shared = materialize(found.join(groups, "hash").filter("not alike or doc_id <> owner").select("doc_id", ROW, "start", "end", "owner", "alike"), "shared-anchors")
+    drop_materialized(found, groups)
+    alike = shared.filter("alike").select("doc_id", ROW, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "owner")
 
-    each = materialize(runs(docs, shared.filter("not alike").select("doc_id", "start", "end"), least_words), "runs")
+    each = materialize(runs(docs, shared.filter("not alike").select("doc_id", ROW, "start", "end"), least_words), "runs")
     firsts = each.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("hash", "owner")
     again = each.join(materialize(firsts, "run-owners"), "hash").filter("doc_id <> owner")
-    return alike.union(again.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + least_words).cast("long").alias("end"), "owner"))
+    again = again.select("doc_id", ROW, F.col("start").cast("long").alias("start"), (F.col("start") + least_words).cast("long").alias("end"), "owner")
+    spans = materialize(alike.union(again), "passage-spans")
+    drop_materialized(each, shared)
+    return spans
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_line: int = 25, least_words: int = 40, similarity: int = 80) -> DataFrame:
-    """Spans to remove, merged: (doc_id, start, end, owner, n_words), positions in words of the text."""
-    docs = text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
-    spans = repeated_lines(docs, least_line, similarity).union(repeated_passages(docs, least_words))
-    by_start = Window.partitionBy("doc_id").orderBy("start", "end")
+    """Spans to remove, merged: (doc_id, row_key, start, end, owner, n_words), positions in words of the text."""
+    docs = text_batches(docs).select(F.col(doc_id).alias("doc_id"), row_key(text).alias(ROW), F.col(text).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
+    by_line, by_run = repeated_lines(docs, least_line, similarity), repeated_passages(docs, least_words)
+    by_start = Window.partitionBy("doc_id", ROW).orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    joined = spans.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by_start))
-    merged = joined.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("owner").alias("owner"))
-    return materialize(merged.select("doc_id", "start", "end", "owner", (F.col("end") - F.col("start")).alias("n_words")), "spans")
+    joined = by_line.union(by_run).withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by_start))
+    merged = joined.groupBy("doc_id", ROW, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("owner").alias("owner"))
+    out = materialize(merged.select("doc_id", ROW, "start", "end", "owner", (F.col("end") - F.col("start")).alias("n_words")), "spans")
+    drop_materialized(by_line, by_run)
+    return out
 
 
 def remove(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the spans' words, and what stands between them, cut out of the text."""
-    by_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut_spans")).withColumnRenamed("doc_id", doc_id)
-    joined = text_batches(docs).join(by_doc, doc_id, "left")
-    at = docs.columns.index(text)
-    place = joined.columns.index(text)
+    cut = "cuts"
+    while cut in docs.columns:
+        cut += "_"
+    by_row = spans.groupBy("doc_id", ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cut))
+    same = (docs[doc_id] == by_row["doc_id"]) & (row_key(docs[text]) == by_row[ROW])
+    joined = text_batches(docs).join(by_row, same, "left").select(*(docs[c] for c in docs.columns), by_row[cut])
+    place, names = docs.columns.index(text), docs.columns
 
     def run(batches):
         for batch in batches:
@@ -234,7 +281,6 @@ def remove(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str
                     done = w.ends[s["end"] - 1]
                 texts[i] = b"".join([*out, raw[done:]]).decode()
             columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    assert at >= 0
-    return joined.mapInArrow(run, joined.drop("cut_spans").schema).select(*docs.columns)
+    return joined.mapInArrow(run, docs.schema)

@@ -37,7 +37,7 @@ def op4_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of documents (in words) that repeat a paragraph or passage of an earlier document, the owner."""
-    return paragraphs.repeats(table(spark, sf_dir, "documents"))
+    return paragraphs.repeats(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "owner", "n_words")
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
