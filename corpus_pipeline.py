@@ -3,8 +3,9 @@
 Every stage but the last takes and returns the columns of `documents`; the last
 returns how many words the mix takes of each remaining document.
 
-Rows with a null id pass the near-duplicate and substring stages untouched; an
-empty table gives no rows.
+Every decision holds for a row, named by its id and text: of rows that share an id, only those go that a
+stage rejects, and rows equal in id and text stay or go together. Rows with a null id pass the near-duplicate and
+substring stages untouched and are judged by the others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import fm_index, language_id, minhash, mixing, paragraphs
-from tidewatch.llm.common import join_ids, materialize, table
+from tidewatch.llm.common import ROW, materialize, table, without_rows
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +25,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): that of the smallest id."""
-    gone = materialize(minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near")
-    return join_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id", ROW).distinct(), "near")
+    return without_rows(docs, gone)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated: fewer than 5 % of their words lie in 13-word windows of benchmark items."""
     found = fm_index.contamination(docs, table(spark, sf_dir, "benchmark"), words=13, share=5)
-    gone = materialize(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return join_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(found.filter("contaminated").select("doc_id", ROW).distinct(), "contaminated")
+    return without_rows(docs, gone)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
