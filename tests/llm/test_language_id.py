@@ -69,3 +69,36 @@ def test_edge_cases_and_rejection(spark):
     nothing = li.fit(docs.limit(0))
     assert [r.lang_pred for r in li.identify(odd, nothing).collect()] == ["und"] * 5
     assert li.identify(odd.limit(0), model).collect() == []
+
+
+def test_an_unseen_language_is_rejected_and_known_ones_are_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = li.fit(docs.filter("lang <> 'fr' and crc32(cast(doc_id as string)) % 4 <> 2"))
+    assert "fr" not in model.languages
+    rows = li.identify(docs.filter("length(text) > 100"), model).select("lang", "rejected").collect()
+    strange, known = [r.rejected for r in rows if r.lang == "fr"], [r.rejected for r in rows if r.lang != "fr"]
+    assert sum(strange) > 0.9 * len(strange) > 20 and sum(known) <= 0.005 * len(known)
+
+
+def test_sample_is_bounded_and_copies_teach_once(spark):
+    rows = [(i, "le chat et le chien " + "abcdefgh"[i % 8] * (i % 5 + 1), "fr") for i in range(400)] + [(None, "der hund", "de")] * 50 + [(7, "x" * 5000, "en"), (7, "the dog", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    counted = li._counted
+
+    def watch(sample):
+        seen.append({r.lang: (r["n"], r["c"]) for r in sample.groupBy("lang").agg({"*": "count", "text": "max"}).toDF("lang", "n", "c").collect()})
+        return counted(sample)
+
+    li._counted = watch
+    try:
+        li.fit(docs, fit_rows=50, fit_chars=1000)
+    finally:
+        li._counted = counted
+    assert 20 <= seen[0]["fr"][0] <= 50 and seen[0].get("de", (1,))[0] == 1 and seen[0].get("en", (1,))[0] == 1
+
+
+def test_letters_beyond_the_basic_plane_have_codes_of_their_own():
+    keys, _ = li.grams([chr(0x10330) + "a"])
+    high = int(keys[0]) & 0xFFFF
+    assert 0xD800 <= high < 0xF900 and int(keys[1]) == high << 16 | ord("a")

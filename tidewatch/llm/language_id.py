@@ -2,13 +2,15 @@
 
 One model of 4-grams for each language, its tables being sorted arrays of hashes;
 a document gets the language of the lowest cross-entropy a character. It is
-rejected if even that is worse than a calibrated limit: the larger of a high
-quantile of held-back labelled documents and the entropy of guessing characters
-blindly.
+rejected if even that is worse than a calibrated limit: a high quantile of held-back labelled documents, with a
+margin, and more for short texts, whose cross-entropy spreads more; where a language has too few held-back
+documents, the entropy of guessing characters blindly.
 
 The classifier is fitted on at most FIT_ROWS whole labelled documents of each
-language, those with the least hashes of their ids; that bounds the model, which is
-broadcast. Everything is scored.
+language and FIT_CHARS characters of them, those with the least hashes of id and text (copies of a row teach once);
+that bounds the model, which is broadcast. Everything is scored.
+
+Letters are their code points; those beyond U+FFFF share 8,448 codes that no letter has, by a hash.
 
 Defined cases: null texts and texts without a letter are `und`, with score 0, and
 rejected; with nothing to learn from every document is `und`; rows with a null
@@ -26,14 +28,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import text_batches
+from .common import materialize, text_batches
 from .words import U64, mix, slices, text_buffers
 
 ORDER = 4
 FIT_ROWS = 2000
+#: Characters of these documents; one that would go beyond is left out of the sample.
+FIT_CHARS = 20_000_000
 #: One in so many documents of the sample calibrates and is not counted.
 CALIBRATE = 5
 QUANTILE = 0.999
+#: Nats a character above the quantile.
+MARGIN = 0.25
+#: Held-back documents of LONG characters that a limit needs.
+LEAST_HELD, LONG = 30, 200
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 _letters: list[np.ndarray] = []
@@ -58,7 +66,9 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keep = letter.copy()
     keep[1:] |= letter[:-1] & (row[1:] == row[:-1])
     symbols, row, letter = codes[keep], row[keep], letter[keep]
-    symbols = np.where(letter, symbols & 0xFFFF, 0).astype(U64)
+    # 0xD800 to 0xF8FF are surrogates and private codes: no letters.
+    symbols = np.where(symbols > 0xFFFF, 0xD800 + symbols * np.uint32(2654435761) % np.uint32(0x2100), symbols)
+    symbols = np.where(letter, symbols, 0).astype(U64)
     pad = ORDER - 1
     at = np.arange(len(symbols)) + (row + 1) * pad
     padded = np.zeros(len(symbols) + len(texts) * pad, U64)
@@ -136,6 +146,8 @@ class Model:
     known: SortedHashes
     logs: np.ndarray
     limits: np.ndarray
+    #: Added to a limit for a text of n characters: spread / sqrt(n).
+    spreads: np.ndarray
 
     @staticmethod
     def of(languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -144,7 +156,7 @@ class Model:
         known = SortedHashes(keys)
         keys = keys[known.order]
         logs = np.stack([np.log(m.probability(keys)) for m in models], axis=1) if models else np.zeros((0, 0))
-        return Model(languages, models, known, logs, np.full(len(languages), np.inf))
+        return Model(languages, models, known, logs, np.full(len(languages), np.inf), np.zeros(len(languages)))
 
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(characters a row, nats a character by row and language)."""
@@ -187,18 +199,23 @@ def _counted(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return {x: (keys[langs == x], n[langs == x]) for x in sorted(set(langs))}
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
-    """A model of the labelled documents: at most fit_rows of each language."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
+    """A model of the labelled documents: at most fit_rows of each language, and fit_chars characters of them (a tenth in one)."""
     rows = text_batches(docs).filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id).cast("string")).alias("h")
+        F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text).cast("string")).alias("h")
     )
-    least = Window.partitionBy("lang").orderBy("h")
-    ranked = rows.select("lang", "h").withColumn("r", F.row_number().over(least)).filter(F.col("r") <= fit_rows)
-    cut = ranked.groupBy("lang").agg(F.max("h").alias("cut")).limit(MAX_LANGUAGES + 1).collect()
-    if len(cut) > MAX_LANGUAGES:
+    totals = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    cuts = docs.sparkSession.createDataFrame([(r.lang, r.cut) for r in cut], "lang string, cut long")
-    sample = rows.join(F.broadcast(cuts), "lang").filter("h <= cut")
+    # Hashes are even: four times the share that is wanted holds it all but surely, and is small whatever the table's size.
+    most = (1 << 64) - 1
+    edges = [(r.lang, int(min(1.0, 4 * fit_rows / r.n) * most) - (1 << 63) if r.n > 4 * fit_rows else (1 << 63) - 1) for r in totals]
+    near = rows.join(F.broadcast(docs.sparkSession.createDataFrame(edges, "lang string, edge long")), "lang").filter("h <= edge")
+    least = Window.partitionBy("lang").orderBy("h")
+    ranked = near.groupBy("lang", "h").agg(F.max(F.length("text")).alias("size")).withColumn("rank", F.row_number().over(least)).filter(F.col("rank") <= fit_rows)
+    ranked = ranked.filter(F.col("size") <= fit_chars // 10).withColumn("chars", F.sum("size").over(least)).filter(F.col("chars") <= fit_chars)
+    picked = materialize(ranked.select("lang", "h"), "language-sample")
+    sample = materialize(rows.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"]), "language-texts")
     held_back = F.pmod("h", F.lit(CALIBRATE)) == 0
     counts = _counted(sample.filter(~held_back))
     model = Model.of(sorted(counts), counts)
@@ -215,8 +232,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     t = sample.filter(held_back).select("lang", "text").mapInArrow(measure, "lang long, n long, h double").toArrow()
     best, n, h = (t[c].to_numpy() for c in ("lang", "n", "h"))
     for k, m in enumerate(model.models):
-        own = h[(best == k) & (n >= 20)]
-        model.limits[k] = max([np.log(m.symbols), *([np.quantile(own, QUANTILE)] if len(own) else [])])
+        own, length = h[(best == k) & (n >= 20)], n[(best == k) & (n >= 20)]
+        long = own[length >= LONG]
+        if len(long) < LEAST_HELD:
+            model.limits[k] = max([np.log(m.symbols), *([np.quantile(own, QUANTILE)] if len(own) else [])])
+            continue
+        model.limits[k] = np.quantile(long, QUANTILE) + MARGIN
+        over = ((own - model.limits[k]) * np.sqrt(length))[length < LONG]
+        model.spreads[k] = max([4.0, *([np.quantile(over, QUANTILE)] if len(over) else [])])
     return model
 
 
@@ -242,7 +265,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                     pred.append(UNDETERMINED if none[k] else m.languages[best[k]])
                     score.append(0.0 if none[k] else float(1 / odds[k]))
                     entropy.append(None if none[k] else float(low[k]))
-                    rejected.append(bool(none[k] or low[k] > m.limits[best[k]]))
+                    rejected.append(bool(none[k] or low[k] > m.limits[best[k]] + m.spreads[best[k]] / n[k] ** 0.5))
             added = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
