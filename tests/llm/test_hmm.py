@@ -50,13 +50,12 @@ def lower(t):
     return "".join(c.lower() if c.isascii() else c for c in t or "").split()
 
 
-def test_base_scores_and_totals(spark, monkeypatch):
-    monkeypatch.setattr(hmm, "VOCABULARY", 12)
+def test_base_scores_and_totals(spark):
     rng = random.Random(1)
     words = [f"W{i}é" for i in range(40)]
     rows = [(i, " ".join(rng.choice(words[: 5 + i % 36]) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(100, None), (101, ""), (102, "never seen"), (103, "w1é " * 600)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, base int")
-    out = {r.doc_id: r for r in hmm.score(df, F.col("doc_id") % 5 == 2).collect()}
+    out = {r.doc_id: r for r in hmm.score(df, F.col("doc_id") % 5 == 2, vocabulary=12).collect()}
     c = Counter()
     for i, t in rows:
         if i % 5 != 2:
@@ -78,11 +77,10 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert r.s > r.b + 0.05 * r.n
 
 
-def test_probabilities_of_all_tokens_sum_to_one(spark, monkeypatch):
-    monkeypatch.setattr(hmm, "VOCABULARY", 3)
+def test_probabilities_of_all_tokens_sum_to_one(spark):
     df = spark.createDataFrame([(1, "a a a b b c c d e f ax bx")], "doc_id long, text string")
     counts = hmm.token_counts(df)
-    known = hmm.summary(counts)
+    known = hmm.summary(counts, 3)
     rare = [r for r in counts.collect() if r["class"] >= 0 and r.hash not in set(known.hashes.tolist())]
     for k in range(hmm.CLASSES):
         mine = sum(r.c + 0.1 for r in rare if r["class"] == k)
@@ -96,3 +94,55 @@ def test_empty_and_untrained(spark):
     assert hmm.score(df.limit(0), F.lit(False)).collect() == []
     (r,) = hmm.score(df, F.lit(True)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0)
+
+
+def plain_round(model, sequences, prior):
+    """One Baum-Welch round from the definition, in double precision, one sequence at a time."""
+    k = len(model.start)
+    start, move, emit = np.full(k, 0.1), np.full((k, k), 0.1), np.repeat(prior[:, None], k, axis=1)
+    for seq in sequences:
+        a, b, n = [model.start * model.emit[seq[0]]], [np.ones(k)], len(seq)
+        for s in seq[1:]:
+            a.append((a[-1] @ model.move) * model.emit[s])
+        for s in seq[:0:-1]:
+            b.append(model.move @ (model.emit[s] * b[-1]))
+        b.reverse()
+        total = a[-1].sum()
+        for t in range(n):
+            gamma = a[t] * b[t] / total
+            emit[seq[t]] += gamma
+            if t == 0:
+                start += gamma
+            if t + 1 < n:
+                move += a[t][:, None] * model.move * (model.emit[seq[t + 1]] * b[t + 1])[None, :] / total
+    return hmm.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+
+
+def test_scores_against_a_plain_model(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(words[: 4 + i % 27]) for _ in range(rng.randint(0, 25)))) for i in range(50)] + [(90, None), (91, "unseen w1 w29"), (92, "w2 " * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 4 == 1
+    got = {r.doc_id: r.score for r in hmm.score(df, held, states=3, rounds=3, vocabulary=9).collect()}
+
+    counts = hmm.token_counts(df.filter(~held))
+    known = hmm.summary(counts, 9)
+    by_hash = {r.hash: r.c for r in counts.collect()}
+    import pyarrow as pa
+
+    def parts(text):
+        (found,) = hmm.tokens(pa.array([text or ""]))
+        symbols, frequent = known.encode(found[1], found[2])
+        within = sum(math.log10((by_hash.get(h, 0) + 0.1) / (known.class_mass[c] + 0.1)) for h, c, f in zip(found[1].tolist(), found[2].tolist(), frequent.tolist(), strict=True) if not f)
+        return [*symbols.tolist(), known.n_symbols - 1], within
+
+    model = hmm.Hmm.first(known, 3)
+    for _ in range(3):
+        model = plain_round(model, [parts(t)[0] for i, t in rows if i % 4 != 1], 0.1 * (known.symbol_counts() + 0.1) / 3)
+    for i, t in rows:
+        symbols, within = parts(t)
+        a = model.start * model.emit[symbols[0]]
+        for s in symbols[1:]:
+            a = (a @ model.move) * model.emit[s]
+        assert math.isclose(got[i], math.log10(a.sum()) + within, rel_tol=2e-4, abs_tol=1e-4)

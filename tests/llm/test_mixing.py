@@ -1,3 +1,7 @@
+import itertools
+import random
+import time
+
 import pytest
 
 from tidewatch.llm import mixing
@@ -54,3 +58,40 @@ def test_overlapping_sources_and_empty_table(spark):
     assert got[1].sources == got[3].sources == ["x", "y"]
     assert got[2].sources == [None]
     assert mixing.mix(docs.limit(0)).collect() == []
+
+
+def exhaustive(patterns, quotas, repeats):
+    """(most words that can be routed, least cost of routing them) over all whole amounts."""
+    names, best = list(patterns), None
+    fits = lambda some, used: sum(used[p] for p in some) <= sum(quotas[s] for s in {s for p in some for s in p})
+    subsets = [c for k in range(1, len(names) + 1) for c in itertools.combinations(names, k)]
+    for amounts in itertools.product(*(range(patterns[p] * repeats + 1) for p in names)):
+        used = dict(zip(names, amounts, strict=True))
+        if all(fits(c, used) for c in subsets):  # Hall's condition: these amounts can be routed
+            cost = sum(k * k * min(max(used[p] - k * patterns[p], 0), patterns[p]) for p in names for k in range(repeats))
+            if best is None or (-sum(amounts), cost) < best:
+                best = -sum(amounts), cost
+    return -best[0], best[1]
+
+
+def test_flow_against_exhaustive_minima():
+    rng = random.Random(4)
+    for _ in range(40):
+        sources = "abc"[: rng.randint(1, 3)]
+        sets = [c for k in range(1, len(sources) + 1) for c in itertools.combinations(sources, k)]
+        patterns = {p: rng.randint(1, 4) for p in rng.sample(sets, min(len(sets), rng.randint(1, 4)))}
+        quotas = {s: rng.randint(0, 9) for s in sources}
+        used = mixing.route(patterns, quotas, 3)
+        cost = sum(k * k * min(max(used[p] - k * n, 0), n) for p, n in patterns.items() for k in range(3))
+        assert (sum(used.values()), cost) == exhaustive(patterns, quotas, 3)
+
+
+def test_flow_of_many_patterns_ends_soon():
+    rng = random.Random(6)
+    patterns = {tuple(sorted(rng.sample(range(40), rng.randint(1, 4)))): rng.randint(1, 10**6) for _ in range(1500)}
+    sizes = {s: sum(n for p, n in patterns.items() if s in p) for s in range(40)}
+    quotas = mixing.targets(sizes, {s: s % 3 + 1 for s in sizes}, sum(patterns.values()), 3)
+    began = time.time()
+    used = mixing.route(patterns, quotas, 3)
+    assert time.time() - began < 60
+    assert abs(sum(used.values()) - sum(patterns.values())) <= len(sizes)

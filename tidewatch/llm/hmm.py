@@ -54,6 +54,11 @@ class Counts:
     def n_symbols(self) -> int:
         return len(self.hashes) + CLASSES + 1
 
+    @property
+    def kind(self) -> type:
+        """Of a stored symbol."""
+        return np.uint16 if self.n_symbols <= 1 << 16 else np.uint32
+
     def symbol_counts(self) -> np.ndarray:
         return np.concatenate([self.counts, self.class_tokens, [self.end]]).astype(float)
 
@@ -89,8 +94,8 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "hash long, class short, c long").groupBy("hash").agg(F.first("class").alias("class"), F.sum("c").alias("c"))
 
 
-def summary(counts: DataFrame) -> Counts:
-    top = counts.filter("class >= 0").orderBy(F.desc("c"), "hash").limit(VOCABULARY).toArrow()
+def summary(counts: DataFrame, vocabulary: int) -> Counts:
+    top = counts.filter("class >= 0").orderBy(F.desc("c"), "hash").limit(vocabulary).toArrow()
     hashes, c, cls = (top[k].to_numpy() for k in ("hash", "c", "class"))
     order = np.argsort(hashes)
     mass, rare = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -107,7 +112,7 @@ def summary(counts: DataFrame) -> Counts:
 
 
 def encoded(docs: DataFrame, counts: Counts) -> DataFrame:
-    """One row a document: symbols (16-bit), counts and base score of its frequent tokens, hashes of its rarer ones."""
+    """One row a document: symbols (16 bits each, or 32), counts and base score of its frequent tokens, hashes of its rarer ones."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     names = ["doc_id", "held_out", "rid", "symbols", "n_tokens", "known", "base", "within", "rare"]
 
@@ -123,7 +128,7 @@ def encoded(docs: DataFrame, counts: Counts) -> DataFrame:
                 sums = lambda v: np.diff(np.concatenate([[0.0], np.cumsum(v)])[w.first])  # noqa: E731,B023
                 n = w.counts
                 base = sums(np.where(frequent, base_of[np.minimum(symbol, len(base_of) - 1)], -scale)) + np.log10(m.end + ADD) - scale
-                ends = np.insert(symbol.astype(np.uint16), w.first[1:], np.uint16(m.n_symbols - 1))
+                ends = np.insert(symbol.astype(m.kind), w.first[1:], m.kind(m.n_symbols - 1))
                 where = w.first + np.arange(len(w.first))
                 out[0] += [ends[a:b].tobytes() for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)]
                 out[1].append(n + 1)
@@ -149,6 +154,10 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray  # symbols x states
 
+    @property
+    def kind(self) -> type:
+        return np.uint16 if len(self.emit) <= 1 << 16 else np.uint32
+
     @staticmethod
     def first(counts: Counts, states: int, seed: int = 5) -> Hmm:
         """Unigrams, tilted by a seeded hash for each state; states tend to stay."""
@@ -206,7 +215,7 @@ def groups(sequences: list[np.ndarray], most: int = GROUP):
         part = order[at : at + max(1, most // max(1, longest))]
         at += len(part)
         lengths = np.array([len(sequences[i]) for i in part])
-        matrix = np.zeros((longest, len(part)), np.uint16)
+        matrix = np.zeros((longest, len(part)), sequences[0].dtype)
         for k, i in enumerate(part):
             matrix[: lengths[k], k] = sequences[i]
         yield part, matrix, lengths
@@ -215,7 +224,7 @@ def groups(sequences: list[np.ndarray], most: int = GROUP):
 def baum_welch(symbols: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
     """One round over all training sequences. prior: pseudo-counts of each symbol."""
     shared = symbols.sparkSession.sparkContext.broadcast(model)
-    states = len(model.start)
+    states, kind = len(model.start), model.kind
     columns = [f"s{i}" for i in range(states)]
 
     def run(batches):
@@ -224,7 +233,7 @@ def baum_welch(symbols: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
         for batch in batches:
             pieces = []
             for raw in batch.column(0).to_pylist():
-                s = np.frombuffer(raw, np.uint16)
+                s = np.frombuffer(raw, kind)
                 pieces += [s[i : i + PIECE] for i in range(0, len(s), PIECE)]
             for _, matrix, lengths in groups(pieces):
                 a, b, c = m.expected(matrix, lengths)
@@ -249,27 +258,30 @@ def baum_welch(symbols: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
 
 def likelihoods(table: DataFrame, model: Hmm) -> DataFrame:
     """table's doc_id, held_out, rid, n_tokens, known, base, within, with hmm: log10 probability of the symbols."""
-    shared = table.sparkSession.sparkContext.broadcast(model)
+    shared, kind = table.sparkSession.sparkContext.broadcast(model), model.kind
 
     def run(batches):
         m: Hmm = shared.value
         for batch in batches:
-            sequences = [np.frombuffer(raw, np.uint16) for raw in batch.column(0).to_pylist()]
+            sequences = [np.frombuffer(raw, kind) for raw in batch.column(0).to_pylist()]
             logs = np.zeros(len(sequences))
             for places, matrix, lengths in groups(sequences):
                 logs[places] = m.forward(matrix, lengths)[0]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(logs / np.log(10))], [*batch.schema.names[1:], "hmm"])
 
     picked = table.select("symbols", "doc_id", "held_out", "rid", "n_tokens", "known", "base", "within")
-    kind = table.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, held_out boolean, rid long, n_tokens long, known long, base double, within double, hmm double")
+    id_type = table.schema["doc_id"].dataType.simpleString()
+    return picked.mapInArrow(run, f"doc_id {id_type}, held_out boolean, rid long, n_tokens long, known long, base double, within double, hmm double")
+
 
+def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, vocabulary: int = VOCABULARY) -> DataFrame:
+    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
-    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column."""
+    held_out: a boolean column. vocabulary: tokens that are symbols; the model is a table of vocabulary x states numbers.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("string").alias("text"))
     counts = materialize(token_counts(rows.filter(~F.col("held_out"))), "token-counts")
-    known = summary(counts)
+    known = summary(counts, vocabulary)
     table = materialize(encoded(rows, known), "symbols")
     model = Hmm.first(known, states)
     prior = ADD * (known.symbol_counts() + ADD) / states

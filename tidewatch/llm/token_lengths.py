@@ -79,3 +79,27 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
         (F.col("tokens") - tokens_ge + F.col("length") * docs_ge).cast("long").alias("truncated_total"),
         (1 - (docs_ge - F.col("n_docs")) / F.col("docs")).alias("quantile"),
     )
+
+
+def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """One row for each context limit, of any size: docs_within, docs_over, tokens, tokens_kept (texts cut at the limit), tokens_lost.
+
+    histogram: of `length_histogram`. One pass with partial aggregation; an empty histogram gives zeros.
+    """
+    over = lambda n: F.col("length") > n
+    # The least length above the limit holds the suffix sums; below it all is kept.
+    found = histogram.agg(
+        F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("length")).alias("tokens"),
+        *(F.min(F.when(over(n), F.struct("length", "docs_at_least", "tokens_at_least"))).alias(f"after{k}") for k, n in enumerate(limits)),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    rows = F.array(*(F.struct(F.lit(n).cast("long").alias("limit"), zero(F.col(f"after{k}.docs_at_least")).alias("docs_over"), zero(F.col(f"after{k}.tokens_at_least")).alias("above")) for k, n in enumerate(limits)))
+    out = found.select(zero(F.col("docs")).alias("docs"), zero(F.col("tokens")).alias("tokens"), F.explode(rows).alias("r")).select("docs", "tokens", "r.*")
+    lost = F.col("above") - F.col("limit") * F.col("docs_over")
+    return out.select("limit", (F.col("docs") - F.col("docs_over")).alias("docs_within"), "docs_over", "tokens", (F.col("tokens") - lost).alias("tokens_kept"), lost.alias("tokens_lost"))
+
+
+def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, length): the least length that at least that share of all documents has or stays under; shares above 0, up to 1."""
+    found = histogram.agg(*(F.min(F.when(F.col("quantile") >= q - 1e-12, F.col("length"))).alias(f"q{k}") for k, q in enumerate(shares)))
+    return found.select(F.explode(F.array(*(F.struct(F.lit(float(q)).alias("share"), F.col(f"q{k}").alias("length")) for k, q in enumerate(shares)))).alias("r")).select("r.*")
