@@ -61,18 +61,19 @@ def contradictions(checks: Column) -> Column:
     return F.when(F.size(checks) > 0, F.least(F.lit(0.97), F.array_max(checks) + 0.05 * (F.size(checks) - 1)))
 
 
-def activity(n: str, hours: str, median_sog: str, turn_rate: str, straightness: str, spread_m: str, waiting: str, legs: str, reciprocals: str) -> Column:
-    """Activity by ordered rules over rounded features; `unclassified` with too few fixes."""
+def activity(n: str, minutes: str, median_sog: str, turn_rate: str, straightness: str, spread_m: str, waiting: str, legs: str, reciprocals: str, reciprocal_fraction: str) -> Column:
+    """Activity by ordered rules over rounded features, the most distinctive first; `unclassified` with too few fixes."""
     c = F.col
+    per_hour = c(legs) / F.greatest(c(minutes) / 60, F.lit(1e-6))
     rules = [
-        ((c(n) < 4) | (c(hours) < 0.5), "unclassified"),
+        ((c(n) < 4) | (c(minutes) < 30), "unclassified"),
         ((c(median_sog) <= 2) & c(waiting) & (c(spread_m) <= 800), "anchored"),
-        ((c(legs) >= 4) & (c(reciprocals) >= 3) & (c(reciprocals) / F.greatest(c(legs), F.lit(1)) >= 0.5) & (c(legs) / c(hours) >= 0.1) & (c(straightness) < 0.35) & (c(median_sog) >= 1.5), "survey_pattern"),
+        ((c(legs) >= 4) & (c(reciprocals) >= 3) & (c(reciprocal_fraction) >= 0.5) & (per_hour >= 0.1) & (c(straightness) < 0.35) & (c(median_sog) >= 1.5), "survey_pattern"),
         (c(median_sog).between(1.5, 5) & (c(turn_rate) >= 4) & (c(straightness) < 0.5), "fishing"),
         ((c(median_sog) >= 6) & (c(turn_rate) <= 1.5), "transiting"),
         ((c(median_sog) <= 1.5) & (c(spread_m) > 800), "drifting"),
         ((c(median_sog) <= 2) & ~c(waiting), "loitering"),
-        ((c(turn_rate) >= 8) & (c(straightness) < 0.35), "erratic"),
+        ((c(turn_rate) >= 8) & (c(straightness) < 0.35), "manoeuvring_erratically"),
     ]
     return when_chain(rules, "unclassified")
 

@@ -27,10 +27,10 @@ def deltas(points: DataFrame, key: str = "key", order: tuple = ("t", "point_id")
     )
 
 
-def gaps(points: DataFrame, key: str = "key", least_s: float = 900.0, times_median: float = 3.0) -> DataFrame:
-    """Silences longer than both `least_s` and `times_median` times the key's median interval."""
+def gaps(points: DataFrame, key: str = "key", least_s: float = 900.0, times_median: float = 3.0, carry: tuple = ()) -> DataFrame:
+    """Silences longer than both `least_s` and `times_median` times the key's median interval; `carry`: columns to take from both ends."""
     w = _by(key, "t", "point_id")
-    ahead = points.select(key, "point_id", "t", "lat", "lon", F.lead("t").over(w).alias("t_end"), F.lead("lat").over(w).alias("lat_end"), F.lead("lon").over(w).alias("lon_end"))
+    ahead = points.select(key, "point_id", "t", "lat", "lon", F.lead("t").over(w).alias("t_end"), F.lead("lat").over(w).alias("lat_end"), F.lead("lon").over(w).alias("lon_end"), *carry, *(F.lead(c).over(w).alias(f"{c}_end") for c in carry))
     ahead = ahead.filter(F.col("t_end").isNotNull()).withColumn("dt", F.col("t_end") - F.col("t"))
     cadence = ahead.groupBy(key).agg(F.percentile("dt", 0.5).alias("median_s"))
     limit = F.greatest(F.lit(least_s), times_median * F.greatest("median_s", F.lit(1.0)))

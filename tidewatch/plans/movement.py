@@ -292,13 +292,6 @@ def contact_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.associate(scored, contacts)
 
 
-@query(f"""{WITH} select key, case when m < 8 then 'slow' when m >= 12 then 'fast' else 'unclassified' end as label, n from (select key, quantile_cont(sog, 0.5) as m, count(*) as n from pos group by key)""")
-def activity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered rules over a key's features."""
-    f = positions(spark, sf_dir).groupBy("key").agg(F.percentile("sog", 0.5).alias("m"), F.count("*").alias("n"))
-    return f.select("key", aggregates.when_chain([(F.col("m") < 8, "slow"), (F.col("m") >= 12, "fast")], "unclassified").alias("label"), "n")
-
-
 @query(f"""{WITH} select rule, count(*) as n, round(sum(score), 4) as total from (
     select 'loitering_sensitive' as rule, 0.5 + 0.3 * (sog / 20) + 0.1 * least(sog / 6, 1.0) as score from pos where kind = 'view'
     union all select 'dark_rendezvous', least(1.0, 0.35 + 0.35 * (sog / 20) + 0.25 * (point_id % 2) + 0.1 * (point_id % 3 = 0)::int) from pos where kind = 'error')
@@ -309,22 +302,3 @@ def detector_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = p.filter("kind = 'view'").select(F.lit("loitering_sensitive").alias("rule"), F.col("point_id").cast("string").alias("subject"), "t", detectors.loitering_score("c", "sog").alias("score"))
     two = p.filter("kind = 'error'").select(F.lit("dark_rendezvous").alias("rule"), F.col("point_id").cast("string").alias("subject"), "t", detectors.rendezvous_score("c", "two", "three").alias("score"))
     return detectors.alerts(one, two).groupBy("rule").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
-
-
-@query(f"""{WITH}, g as (select point_id, (point_id % 10) / 10.0 as mean_ter, (point_id % 7) / 7.0 as sat_cov, (point_id % 4) as n_passes, (point_id % 5 = 0) as spoof, (point_id % 11) / 11.0 as mean_any from pos)
-    select case when (sat_cov >= 0.5 or mean_ter >= 0.6) and n_passes >= 2 and not spoof then 'INTENTIONAL_SILENCE' when n_passes = 0 then 'COVERAGE_GAP' when sat_cov >= 0.5 then 'SAT_PASS_GAP' else 'COVERAGE_GAP' end as gap_type, count(*) as n from g group by 1""")
-def gap_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decision tree over sampled coverage."""
-    i = F.col("point_id")
-    g = positions(spark, sf_dir).select("point_id", (i % 10 / 10).alias("mean_ter"), (i % 7 / 7).alias("sat_cov"), (i % 4).alias("n_passes"), (i % 5 == 0).alias("spoof_near"), (i % 11 / 11).alias("mean_any"), F.lit(5760.0).alias("period_s"), F.lit(20_000.0).alias("dt"), F.lit(0.5).alias("covered_fraction"))
-    return detectors.gap_type(g).groupBy("gap_type").agg(F.count("*").alias("n"))
-
-
-@query(f"""{WITH}, c as (select (point_id % 9 = 0) as spoof, (point_id % 7 = 0) as stat, (point_id % 5 <> 0) as iso, point_id % 6 as looks, (point_id % 10) / 10.0 as h, case when point_id % 8 = 0 then null else point_id % 60 end as len, (point_id % 13) / 13.0 as s from pos)
-    select case when spoof then 'suppressed_spoof_ambiguity' when stat then 'suppressed_static' when not iso then 'suppressed_not_isolated' when looks < 2 then 'suppressed_transient' when h < 0.5 then 'suppressed_coverage'
-        when len is null or len < 20 then 'suppressed_size' when s >= 0.5 then 'dark_candidate' else 'suppressed_score' end as status, count(*) as n from c group by 1""")
-def dark_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered cascade."""
-    i = F.col("point_id")
-    c = positions(spark, sf_dir).select((i % 9 == 0).alias("spoof_near"), (i % 7 == 0).alias("static_near"), (i % 5 != 0).alias("isolated"), (i % 6).alias("n_looks"), F.lit(2).alias("min_looks"), (i % 10 / 10).alias("hearable"), F.when(i % 8 != 0, i % 60).alias("length_m"), (i % 13 / 13).alias("dark_score"))
-    return detectors.dark_verdict(c).groupBy("status").agg(F.count("*").alias("n"))

@@ -19,4 +19,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tidewatch.plans import movement, records  # noqa: E402,F401
+from tidewatch.plans import behaviour, movement, records  # noqa: E402,F401
