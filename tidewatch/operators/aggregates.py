@@ -9,19 +9,42 @@ from pyspark.sql.window import Window
 from tidewatch.functions import geo, grid
 
 
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], width: float = 0.25) -> DataFrame:
+    """keys and one column a share: exact quantiles with linear interpolation between ranks, of non-null values.
+
+    Values are counted first, then bins of `width` find where each rank lies; only those bins are sorted, each by itself, so no
+    group's values come together in one task.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_bin", F.floor(F.col("_v") / width))
+    bins = counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_k"))
+    up, whole = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_k").over(up), F.lit(0))).withColumn("_all", F.sum("_k").over(whole))
+    rank = {n: (F.col("_all") - 1) * q for n, q in shares.items()}
+    held = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_k"))
+    wanted = F.lit(False)
+    for r in rank.values():
+        wanted = wanted | held(F.floor(r)) | held(F.ceil(r))
+    within = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    part = counted.join(bins.filter(wanted).select(*keys, "_bin", "_before", "_all"), [*keys, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
+    at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
+    ends = part.groupBy(*keys).agg(F.first("_all").alias("_all"), *(at(F.floor(r)).alias(f"_lo_{n}") for n, r in rank.items()), *(at(F.ceil(r)).alias(f"_hi_{n}") for n, r in rank.items()))
+    return ends.select(*keys, *((F.col(f"_lo_{n}") + (r - F.floor(r)) * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n, r in rank.items()))
+
+
 def baseline(points: DataFrame, cell: str = "cell", value: str = "sog", key: str = "key", least: int = 100) -> DataFrame:
     """Distribution of a value by cell: percentiles, moments, keys, keys a day, course concentration; `insufficient` below `least` rows."""
     rows = points.filter(F.col(value).isNotNull())
-    days = rows.groupBy(cell, F.to_date("ts").alias("day")).agg(F.count_distinct(key).alias("k"))
-    daily = days.groupBy(cell).agg(F.round(F.avg("k"), 2).alias("keys_a_day"))
+    seen = rows.groupBy(cell, F.to_date("ts").alias("day"), key).agg(F.lit(1).alias("_1"))
+    daily = seen.groupBy(cell, "day").agg(F.count("*").alias("k")).groupBy(cell).agg(F.round(F.avg("k"), 2).alias("keys_a_day"))
     c = F.radians("cog")
     stats = rows.groupBy(cell).agg(
-        F.count("*").alias("n"), F.count_distinct(key).alias("n_keys"), F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"),
-        F.round(F.avg(value), 3).alias("mean"), F.round(F.stddev_pop(value), 3).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"),
+        F.count("*").alias("n"), F.round(F.avg(value), 3).alias("mean"), F.round(F.stddev_pop(value), 3).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"),
         F.round(F.sqrt(F.pow(F.avg(F.cos(c)), 2) + F.pow(F.avg(F.sin(c)), 2)), 3).alias("course_r"),
     )
-    return stats.join(daily, cell).select(
-        cell, "n", "n_keys", *(F.round(F.col("p")[i], 3).alias(n) for i, n in enumerate(("p50", "p95", "p99"))), "mean", "std", "least", "most", "course_r", "keys_a_day",
+    keys = rows.groupBy(cell).agg(F.count_distinct(key).alias("n_keys"))
+    quantiles = exact_quantiles(rows, [cell], value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return stats.join(daily, cell).join(keys, cell).join(quantiles, cell).select(
+        cell, "n", "n_keys", *(F.round(n, 3).alias(n) for n in ("p50", "p95", "p99")), "mean", "std", "least", "most", "course_r", "keys_a_day",
         F.when(F.col("n") < least, "insufficient").otherwise("usable").alias("status"),
     )
 
@@ -37,20 +60,6 @@ def density(events: DataFrame, res: int = 5) -> DataFrame:
     return events.groupBy(grid.cell("lat", "lon", res).alias("cell"), "kind").agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
-def coverage(points: DataFrame, res: int = 4, receiver: str = "receiver") -> DataFrame:
-    """Keys heard by cell, hour and kind of receiver (`ter` or `sat` before a colon, pipe-separated)."""
-    heard = points.withColumn("rx", F.explode(F.split(receiver, r"\|"))).withColumn("rx", F.split("rx", ":")[0])
-    return heard.groupBy(grid.cell("lat", "lon", res).alias("cell"), F.floor(F.col("t") / 3600).alias("hour"), "rx").agg(F.collect_set("key").alias("keys"))
-
-
-def p_heard(cover: DataFrame, res: int = 4) -> DataFrame:
-    """Probability of being heard on land by cell and hour, over the cells around and the hours before and after."""
-    spread = cover.select(F.explode(grid.disk("cell", 1, res)).alias("cell"), "hour", "rx", "keys")
-    spread = spread.select("cell", F.explode(F.array(*(F.col("hour") + i for i in (-1, 0, 1)))).alias("hour"), "rx", F.explode("keys").alias("key"))
-    both = spread.groupBy("cell", "hour").agg(F.count_distinct(F.when(F.col("rx") == "ter", F.col("key"))).alias("ter"), F.count_distinct("key").alias("n"))
-    return both.select("cell", "hour", "n", (F.col("ter") / F.col("n") * (1 - F.exp(-F.col("n").cast("double")))).alias("p_ter"))
-
-
 def noisy_or(rows: DataFrame, key: str, strength: str) -> DataFrame:
     """Each row with its key's noisy-OR score and its share of it (points add up to the score)."""
     w = Window.partitionBy(key)
@@ -68,16 +77,30 @@ def merged_repeats(rows: DataFrame, keys: list[str], confidence: str, top: int =
     )
 
 
-def risk(alerts: DataFrame, as_of, key: str = "subject", half_life_days: float = 30.0, weights=(0.45, 0.30, 0.15, 0.10)) -> DataFrame:
-    """Risk of each subject at a given time. alerts: subject, score, age source `ts`, disposition; and optional parts.
+#: Weights of the four components of risk, and what an alert that nobody has judged counts (fixed values).
+RISK_WEIGHTS = {"anomaly": 0.45, "sanctions": 0.30, "flag": 0.15, "ownership": 0.10}
+UNJUDGED = 0.6
+
+
+def anomaly_part(alerts: DataFrame, as_of, key: str = "subject", half_life_days: float = 30.0) -> DataFrame:
+    """By subject: anomaly, what its alerts up to a time add up to, each halving with its age. alerts: subject, score, ts, disposition.
 
-    Dismissed alerts are out, confirmed count fully, others 0.6.
+    Dismissed alerts are out, confirmed ones count fully.
     """
     age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(86_400e6)
     live = alerts.filter((F.coalesce("disposition", F.lit("")) != "dismiss") & (age >= 0))
-    weight = F.col("score") * F.when(F.col("disposition") == "confirm", 1.0).otherwise(0.6)
-    anomaly = live.groupBy(key).agg((1 - F.exp(-F.sum(geo.decayed(weight, age, F.lit(half_life_days))))).alias("anomaly"), F.count("*").alias("n_alerts"))
-    return anomaly.withColumn("risk", weights[0] * F.col("anomaly"))
+    weight = F.col("score") * F.when(F.col("disposition") == "confirm", 1.0).otherwise(UNJUDGED)
+    return live.groupBy(key).agg((1 - F.exp(-F.sum(geo.decayed(weight, age, F.lit(half_life_days))))).alias("anomaly"), F.count("*").alias("n_alerts"))
+
+
+def risk(parts: dict[str, DataFrame], key: str = "subject") -> DataFrame:
+    """The weighted sum of the components, each a frame of key and a column of its name (0 to 1); a missing one is 0. Ranked, most risk first."""
+    out = None
+    for name, frame in parts.items():
+        one = frame.select(key, F.col(name).cast("double").alias(name))
+        out = one if out is None else out.join(one, key, "full")
+    total = sum((w * (F.coalesce(F.col(n), F.lit(0.0)) if n in parts else F.lit(0.0)) for n, w in RISK_WEIGHTS.items()), F.lit(0.0))
+    return out.fillna(0.0, list(parts)).withColumn("risk", total)
 
 
 def best_threshold(labelled: DataFrame, kind: str = "anomaly_type", score: str = "score", label: str = "label", least: int = 6, recall: float = 0.5) -> DataFrame:

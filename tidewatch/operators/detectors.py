@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import ident
+from tidewatch.operators import proximity
 from tidewatch.operators.aggregates import when_chain
 
 #: Least score of an alert by rule (fixed values).
@@ -40,7 +41,9 @@ def rendezvous_score(confidence, has_party, on_footprint) -> Column:
 
 def identity_then_anomaly(changes: DataFrame, anomalies: DataFrame, days: int = 14) -> DataFrame:
     """A hull that changed identity and acted oddly within `days` after. changes, anomalies: subject, t (epoch seconds)."""
-    near = changes.select("subject", F.col("t").alias("_c")).join(anomalies.select("subject", "t"), "subject")
+    spans = changes.select("subject", F.col("t").alias("t_start"), (F.col("t") + days * 86_400).alias("t_end"))
+    met = proximity.overlaps(spans, anomalies.select("subject", "t", F.col("t").alias("r_start"), F.col("t").alias("r_end")), "subject", bucket_s=7 * 86_400.0)
+    near = met.withColumn("_c", F.col("t_start"))
     lag = (F.col("t") - F.col("_c")) / 86_400
     return near.filter((lag >= 0) & (lag <= days)).groupBy("subject", "t").agg(F.min(lag).alias("d")).select(
         F.lit("identity_then_anomaly").alias("rule"), "subject", "t", (0.6 + 0.4 * (1 - F.col("d") / days)).alias("score")

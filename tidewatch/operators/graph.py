@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import geo
+from tidewatch.sources.staging import cut
 
 #: Half-lives in days by edge type; others do not decay (fixed values).
 HALF_LIFE_DAYS = {"owned-by": 365.0, "operated-by": 270.0, "flagged-to": 730.0, "docked-at": 2.0}
@@ -124,3 +125,22 @@ def checksum(edges: DataFrame, columns: list[str]) -> DataFrame:
     """Order-free digest of a table: count, and the exclusive-or and sum of row hashes."""
     h = F.xxhash64(*columns)
     return edges.agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum(F.shiftrightunsigned(h, 16)).alias("sum"))
+
+
+def connected(pairs: DataFrame, scope: str, a: str, b: str) -> DataFrame:
+    """(scope, node, label): the least node of each connected component of pairs within a scope. a and b share one space of names.
+
+    Each round takes the least label over the edges and then the label's own label, so a chain halves with every round.
+    """
+    edges = cut(pairs.select(scope, F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    now = edges.select(scope, F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    while True:
+        of = lambda end, name: now.select(scope, F.col("node").alias(end), F.col("label").alias(name))  # noqa: E731,B023
+        met = edges.join(of("a", "la"), [scope, "a"]).join(of("b", "lb"), [scope, "b"]).withColumn("m", F.least("la", "lb"))
+        least = met.select(scope, F.explode(F.array("a", "b")).alias("node"), "m").groupBy(scope, "node").agg(F.min("m").alias("m"))
+        own = now.select(scope, F.col("node").alias("m"), F.col("label").alias("lm"))
+        following = cut(least.join(own, [scope, "m"], "left").join(now, [scope, "node"]).select(scope, "node", F.least("m", F.coalesce("lm", "m"), "label").alias("label"), F.col("label").alias("before")))
+        still = following.filter("label <> before").isEmpty()
+        now = following.drop("before")
+        if still:
+            return now

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from tidewatch.functions import geo, grid
 
 
+#: Cells of places that are broadcast; more are joined by a shuffle of the points on their cell.
+BROADCAST_CELLS = 200_000
+
+
 def within_radius(points: DataFrame, lat: float, lon: float, radius_m: float) -> DataFrame:
-    """Rows within a radius of a place, with distance_m; a box goes first, and reaches the scan."""
+    """Rows within a radius of a place, with distance_m; rows outside its latitudes go before the distance is found."""
     pad = radius_m / 111_000 * 1.01
     box = F.col("lat").between(lat - pad, lat + pad)
     return points.filter(box).withColumn("distance_m", geo.haversine("lat", "lon", lat, lon)).filter(F.col("distance_m") <= radius_m)
@@ -18,15 +22,18 @@ def within_radius(points: DataFrame, lat: float, lon: float, radius_m: float) ->
 def nearest_place(points: DataFrame, places: DataFrame, radius_m: float, name: str = "port") -> DataFrame:
     """Each point's nearest place within a radius (null if none), distance_m with it.
 
-    Places go by the cells that their radius touches, so any number of them is an equi-join.
+    Places go by the cells that their radius touches, one row a cell with all its places, so every point meets one row
+    at most: the points are neither grouped nor joined back.
     """
     res = next(r for r in sorted(grid.EDGE, reverse=True) if grid.EDGE[r] * 111_000 >= radius_m / 2 or r == 4)
     pad = radius_m / 111_000 * 1.05
     wide = pad / F.greatest(F.cos(F.radians(F.abs(F.col(f"{name}_lat")) + pad)), F.lit(0.01))
     covered = places.withColumn("_cell", F.explode(grid.cover_box(F.col(f"{name}_lat") - pad, F.col(f"{name}_lon") - wide, F.col(f"{name}_lat") + pad, F.col(f"{name}_lon") + wide, res)))
-    near = points.select("point_id", "lat", "lon", grid.cell("lat", "lon", res).alias("_cell")).join(covered, "_cell").withColumn("d", geo.haversine("lat", "lon", f"{name}_lat", f"{name}_lon"))
-    best = near.filter(F.col("d") <= radius_m).groupBy("point_id").agg(F.min(F.struct("d", name)).alias("b"))
-    return points.join(best.select("point_id", F.col(f"b.{name}").alias(name), F.col("b.d").alias("distance_m")), "point_id", "left")
+    by_cell = covered.groupBy("_cell").agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col(f"{name}_lat").alias("lat"), F.col(f"{name}_lon").alias("lon"))).alias("_places"))
+    met = points.withColumn("_cell", grid.cell("lat", "lon", res)).join(F.broadcast(by_cell) if by_cell.count() <= BROADCAST_CELLS else by_cell, "_cell", "left")
+    far = F.transform("_places", lambda p: F.struct(geo.haversine("lat", "lon", p["lat"], p["lon"]).alias("d"), p["name"].alias("name")))
+    best = F.array_min(F.filter(far, lambda p: p["d"] <= radius_m))
+    return met.withColumn("_best", best).withColumn(name, F.col("_best.name")).withColumn("distance_m", F.col("_best.d")).drop("_cell", "_places", "_best")
 
 
 def encounters(grid_points: DataFrame, key: str = "key", step_s: int = 300, radius_m: float = 500.0, max_sog: float = 2.0, least_samples: int = 3, res: int = 7) -> DataFrame:
@@ -76,9 +83,9 @@ def receipts_between(intervals: DataFrame, points: DataFrame, key: str = "key")
     """
     from pyspark.sql.window import Window
 
-    ids = intervals.withColumn("_id", F.monotonically_increasing_id())
-    marks = ids.select(key, "_id", F.col("t_start").alias("_t"), F.lit(0).alias("_o"), F.lit(-1).alias("_s")).union(ids.select(key, "_id", F.col("t_end").alias("_t"), F.lit(2).alias("_o"), F.lit(1).alias("_s")))
-    both = marks.unionByName(points.select(key, F.lit(None).cast("long").alias("_id"), F.col("t").alias("_t"), F.lit(1).alias("_o"), F.lit(0).alias("_s")))
+    asked = intervals.select(key, "t_start", "t_end").distinct()
+    marks = asked.select("*", F.explode(F.array(F.struct(F.col("t_start").alias("_t"), F.lit(0).alias("_o"), F.lit(-1).alias("_s")), F.struct(F.col("t_end").alias("_t"), F.lit(2).alias("_o"), F.lit(1).alias("_s")))).alias("_m"))
+    both = marks.select(key, "t_start", "t_end", "_m.*").unionByName(points.select(key, F.col("t").alias("_t"), F.lit(1).alias("_o"), F.lit(0).alias("_s")), allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_c", F.sum(F.when(F.col("_s") == 0, 1).otherwise(0)).over(w)).filter("_s <> 0")
-    return ids.join(seen.groupBy("_id").agg(F.sum(F.col("_s") * F.col("_c")).alias("n_receipts")), "_id").drop("_id")
+    return intervals.join(seen.groupBy(key, "t_start", "t_end").agg(F.sum(F.col("_s") * F.col("_c")).alias("n_receipts")), [key, "t_start", "t_end"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import geo, grid
-from tidewatch.operators import aggregates, detectors, kernels, proximity, sequences
+from tidewatch.operators import aggregates, detectors, kernels, proximity, sequences, silence
 from tidewatch.plans.registry import query
 from tidewatch.sources.bindings import PORTS_SQL, POSITIONS_SQL, cell_sql, haversine_sql, ports, positions
 
@@ -209,14 +209,18 @@ def event_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: distinct keys heard by cell, hour and receiver kind."""
     p = positions(spark, sf_dir).withColumn("receiver", F.when(F.col("point_id") % 3 == 0, "ter:a").when(F.col("point_id") % 3 == 1, "sat:b").otherwise("ter:a|sat:c"))
-    return aggregates.coverage(p).select("cell", "hour", "rx", F.size("keys").cast("long").alias("n_keys"))
+    return silence.heard(p).groupBy("cell", "hour", "rx").agg(F.count("*").alias("n_keys"))
 
 
-@query()
+@query(f"""{WITH}, h as (select distinct floor((lat + 90) / 0.4::double)::bigint as cr, floor((lon + 180) / 0.4::double)::bigint as cc, floor(t / 3600)::bigint as hour, case when point_id % 3 = 0 then 'ter' else 'sat' end as rx, key from pos),
+    w as (select distinct cr, cc, hour from h),
+    j as (select w.cr, w.cc, w.hour, count(distinct key) filter (where rx = 'ter') as ter, count(distinct key) as n from w join h on abs(h.cr - w.cr) <= 1 and abs(h.cc - w.cc) <= 1 and abs(h.hour - w.hour) <= 1 group by all)
+    select hour, count(*) as n_cells, round(sum(ter / n * (1 - exp(-n::double))), 6) as p_ter from j group by hour""")
 def heard_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4: chance of being heard over the cells and hours around."""
+    """A4: chance of being heard by land over the cells and hours around, summed up by hour."""
     p = positions(spark, sf_dir).withColumn("receiver", F.when(F.col("point_id") % 3 == 0, "ter:a").otherwise("sat:b"))
-    return aggregates.p_heard(aggregates.coverage(p))
+    rows = silence.heard(p)
+    return silence.around(rows.select("cell", "hour").distinct(), rows).groupBy("hour").agg(F.count("*").alias("n_cells"), r6(F.sum("p_ter")).alias("p_ter"))
 
 
 @query(f"""{WITH}, e as (select key, cast(floor((us - (select min(us) from pos)) / 900e6) as bigint) as epoch, us, point_id, (us - (select min(us) from pos)) / 900e6 as x from pos),

@@ -161,7 +161,7 @@ def subject_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decayed alerts of each subject."""
     p = positions(spark, sf_dir).filter("kind = 'error'")
     a = p.select(F.col("key").alias("subject"), (F.col("sog") / 20).alias("score"), "ts", F.when(F.col("point_id") % 5 == 0, "dismiss").when(F.col("point_id") % 5 == 1, "confirm").alias("disposition"))
-    return aggregates.risk(a, "2024-02-01 00:00:00").select("subject", r6("anomaly").alias("anomaly"), "n_alerts")
+    return aggregates.anomaly_part(a, "2024-02-01 00:00:00").select("subject", r6("anomaly").alias("anomaly"), "n_alerts")
 
 
 @query(f"""{WITH}, l as (select kind, round(sog / 20, 2) as score, case when point_id % 3 = 0 then 'confirm' else 'dismiss' end as label from pos),
@@ -264,10 +264,11 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter("k > 90")
 
 
-@query("""with n as (select c_custkey, trim(regexp_replace(upper('mv ' || c_name || '-' || c_mktsegment), '[^A-Z0-9]+', ' ', 'g')) as x from customer) select c_custkey, regexp_replace(x, '^((M T|M V|FV|F V|MSV|TUG|MT|MV|SS) )+', '') as name from n""")
+@query("""with n as (select c_custkey, trim(regexp_replace(upper(case c_custkey % 4 when 0 then 'mv ' when 1 then 'ex m/v ' when 2 then 'the-vessel: ' else 'tug ' end || c_name || '-' || c_mktsegment), '[^A-Z0-9]+', ' ', 'g')) as x from customer) select c_custkey, regexp_replace(x, '^((VESSEL|MOPU|MSV|THE|AKA|M V|M T|M S|S S|F V|MV|MT|MS|SS|FV|EX) )+', '') as name from n""")
 def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names without signs and prefixes."""
-    return table(spark, sf_dir, "customer").select("c_custkey", ident.normalise_name(F.concat(F.lit("mv "), "c_name", F.lit("-"), "c_mktsegment")).alias("name"))
+    before = F.when(F.col("c_custkey") % 4 == 0, "mv ").when(F.col("c_custkey") % 4 == 1, "ex m/v ").when(F.col("c_custkey") % 4 == 2, "the-vessel: ").otherwise("tug ")
+    return table(spark, sf_dir, "customer").select("c_custkey", ident.normalise_name(F.concat(before, "c_name", F.lit("-"), "c_mktsegment")).alias("name"))
 
 
 _DIGIT = "substr(d, {}, 1)::int"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,20 +65,33 @@ def merge_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def land(new: DataFrame, path: str, keys: list[str], time: str) -> DataFrame:
-    """Upsert into a table partitioned by day; only touched days are read and rewritten. Returns rows by day."""
+    """Upsert into a table partitioned by day; only touched days are read and rewritten. Returns rows by day.
+
+    Rows without a time have no day and are refused (`valid_positions` tells them apart). Writers stage under names of their
+    own, but two that touch one day must not run at once: the later one would not see the earlier one's rows.
+    """
     spark = new.sparkSession
     missing = [c for c in ENVELOPE[:5] if c not in new.columns]
     if missing:
         raise ValueError(f"rows without envelope: {missing}")
+    if not new.filter(F.col(time).isNull()).isEmpty():
+        raise ValueError(f"rows without {time}")
     new = new.withColumn("day", F.date_format(time, "yyyy-MM-dd"))
     days = [r.day for r in new.select("day").distinct().collect()]
     old = read_table(spark, path, new.schema).filter(F.col("day").isin(days))
     merged = merge_rows(old, new, keys)
-    staged = f"{path}.staging"
-    merged.write.mode("overwrite").partitionBy("day").parquet(staged)
+    staged = f"{path}.staging-{uuid.uuid4().hex[:12]}"
+    merged.write.partitionBy("day").parquet(staged)
     ready = spark.read.schema(merged.schema).parquet(staged)
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day").parquet(path)
-    return ready.groupBy("day").agg(F.count("*").alias("partition_rows"))
+    remove(spark, staged)
+    return spark.read.schema(merged.schema).parquet(path).filter(F.col("day").isin(days)).groupBy("day").agg(F.count("*").alias("partition_rows"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on the file system it names."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
