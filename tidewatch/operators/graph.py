@@ -144,3 +144,48 @@ def connected(pairs: DataFrame, scope: str, a: str, b: str) -> DataFrame:
         now = following.drop("before")
         if still:
             return now
+
+
+def merged_nodes(assertions: DataFrame) -> DataFrame:
+    """One row a node: its type, properties merged in order of time (a later value replaces an earlier one), real if any assertion is.
+
+    assertions: id, type, at, props (map of strings), is_synthetic.
+    """
+    each = assertions.select("id", "at", F.explode_outer("props").alias("k", "v")).groupBy("id", "k").agg(F.max_by("v", "at").alias("v"))
+    props = each.filter("k is not null").groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
+    kinds = assertions.groupBy("id").agg(F.max_by("type", "at").alias("type"), F.bool_and(F.coalesce("is_synthetic", F.lit(False))).alias("is_synthetic"))
+    return kinds.join(props, "id", "left")
+
+
+def closed(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """Assertions that close edges: the latest assertion of each (edge_type, src, dst) in `ends`, said again with its t_end and observed_at."""
+    now = latest_assertions(edges).drop("t_end", "observed_at")
+    return now.join(ends.select("edge_type", "src", "dst", "t_end", "observed_at"), ["edge_type", "src", "dst"]).select(*edges.columns)
+
+
+def emitted_once(queue: DataFrame, events: DataFrame, key: str = "event_key") -> DataFrame:
+    """New events whose key the queue does not hold, one a key: the earliest."""
+    first = events.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("at", "event_id"))).filter("_i = 1").drop("_i")
+    return first.join(queue.select(key), key, "left_anti")
+
+
+def merged_authorities(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with nodes of one type and label as one, the least id, and edges led there, each once."""
+    lead = nodes.groupBy("type", "label").agg(F.min("id").alias("lead"))
+    of = nodes.join(lead, ["type", "label"]).select("id", "lead")
+    to = edges.join(of.select(F.col("id").alias("src"), F.col("lead").alias("_s")), "src", "left").join(of.select(F.col("id").alias("dst"), F.col("lead").alias("_d")), "dst", "left")
+    moved = to.select("edge_type", F.coalesce("_s", "src").alias("src"), F.coalesce("_d", "dst").alias("dst")).distinct()
+    return lead.select(F.col("lead").alias("id"), "type", "label"), moved
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Symmetric relations stored in both directions."""
+    return edges.unionByName(edges.withColumn("_s", F.col("src")).withColumn("src", F.col("dst")).withColumn("dst", F.col("_s")).drop("_s")).distinct()
+
+
+def ordered_digest(rows: DataFrame, columns: list[str], parts: int = 4096) -> DataFrame:
+    """One row, digest: sha256 over the digests of parts in order, each over its rows' digests in order; so no task sorts all rows."""
+    row = F.sha2(F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in columns)), {"ignoreNullFields": "false"}), 256)
+    each = rows.select(row.alias("h")).withColumn("part", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % parts)
+    by = each.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
+    return by.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.sum("n").alias("n"))

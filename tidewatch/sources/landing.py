@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,3 +107,45 @@ def receipts(rows: DataFrame) -> DataFrame:
     """Several receipts of one report as one: first non-null kinematics, receivers in order, their number."""
     first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
     return rows.groupBy("mmsi", "ts", "lat", "lon").agg(first("sog"), first("cog"), F.array_join(F.array_sort(F.collect_set("receiver")), "|").alias("receiver"), F.count("*").alias("n_receipts"))
+
+
+def land_hourly(new: DataFrame, path: str, key: Column, time: str = "ts") -> DataFrame:
+    """Upsert into a table partitioned by hour, by a key column: for positions `position_key()`, for detections their id."""
+    keyed = new.withColumn("_key", key).withColumn("hour", F.date_format(time, "yyyy-MM-dd'T'HH"))
+    if not keyed.filter(F.col(time).isNull()).isEmpty():
+        raise ValueError(f"rows without {time}")
+    spark = new.sparkSession
+    hours = [r.hour for r in keyed.select("hour").distinct().collect()]
+    old = read_table(spark, path, keyed.schema).filter(F.col("hour").isin(hours))
+    merged = merge_rows(old, keyed, ["_key"])
+    staged = f"{path}.staging-{uuid.uuid4().hex[:12]}"
+    merged.write.partitionBy("hour").parquet(staged)
+    ready = spark.read.schema(merged.schema).parquet(staged)
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("hour").parquet(path)
+    remove(spark, staged)
+    return spark.read.schema(merged.schema).parquet(path).filter(F.col("hour").isin(hours)).groupBy("hour").agg(F.count("*").alias("partition_rows"))
+
+
+def land_raw(spark: SparkSession, folder: str, name: str, content: bytes) -> str:
+    """Keep an artifact as it came; the same bytes again change nothing, other bytes under its name are refused. Its sha256."""
+    digest = hashlib.sha256(content).hexdigest()
+    fs = spark._jvm.org.apache.hadoop.fs
+    target = fs.Path(f"{folder}/{name}")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(target):
+        held = spark.read.format("binaryFile").load(f"{folder}/{name}").select(F.sha2("content", 256)).first()[0]
+        if held != digest:
+            raise ValueError(f"{name} is there with other content")
+        return digest
+    part = fs.Path(f"{folder}/.{name}.{uuid.uuid4().hex[:12]}")
+    out = system.create(part, False)
+    out.write(bytearray(content))
+    out.close()
+    if not system.rename(part, target):
+        raise OSError(f"{name} could not be put in place")
+    return digest
+
+
+def registered(table: DataFrame, name: str, time: str) -> DataFrame:
+    """One row for the register of artifacts: table, rows, and the time range of its rows."""
+    return table.agg(F.count("*").alias("n_rows"), F.min(time).alias("t_start"), F.max(time).alias("t_end")).select(F.lit(name).alias("artifact"), "n_rows", "t_start", "t_end")

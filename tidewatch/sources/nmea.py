@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.functions import geo
 
@@ -25,12 +26,21 @@ def sentences(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def assembled(parsed: DataFrame, ts: str = "ts", window_s: int = 60) -> DataFrame:
-    """Whole payloads: single sentences, and fragments of one sequence and channel within a time window."""
+    """Whole payloads: single sentences, and fragments of one sequence and channel whose first part is at most window_s old.
+
+    A first part begins a message, wherever minutes end; later parts join the latest one begun. Repeated parts count once.
+    """
     ok = parsed.filter("ok")
     whole = ok.filter("n_parts = 1").select(ts, "channel", "payload")
-    parts = ok.filter("n_parts > 1").withColumn("_w", F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / window_s))
-    joined = parts.groupBy("_w", "seq", "channel").agg(F.max("n_parts").alias("n"), F.count_distinct("part").alias("k"), F.min(ts).alias(ts), F.array_sort(F.collect_set(F.struct("part", "payload"))).alias("p"))
-    joined = joined.filter("n = k").select(ts, "channel", F.array_join(F.col("p.payload"), "").alias("payload"))
+    w = Window.partitionBy("seq", "channel", "n_parts", "_day").orderBy(ts, "part")
+    # A message may straddle midnight: its parts are looked for on both days, and the first part's day keeps it.
+    at = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    days = F.array_distinct(F.array(F.floor(at / 86_400), F.floor((at - window_s) / 86_400)))
+    parts = ok.filter("n_parts > 1").withColumn("_at", at).withColumn("_day", F.explode(days))
+    parts = parts.withColumn("_first", F.last(F.when(F.col("part") == 1, F.struct(F.col("_at").alias("t"), F.col("payload").alias("i"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    live = parts.filter((F.col("_at") - F.col("_first.t") <= window_s) & (F.floor(F.col("_first.t") / 86_400) == F.col("_day")))
+    joined = live.groupBy("_first", "_day", "seq", "channel", "n_parts").agg(F.count_distinct("part").alias("k"), F.min(ts).alias(ts), F.array_sort(F.collect_set(F.struct("part", "payload"))).alias("p"))
+    joined = joined.filter("n_parts = k").select(ts, "channel", F.array_join(F.col("p.payload"), "").alias("payload"))
     return whole.unionByName(joined)
 
 
@@ -69,3 +79,21 @@ def from_json(lines: DataFrame, column: str = "line") -> DataFrame:
     pick = lambda c: F.coalesce(*(F.get_json_object(F.col(column), f"$.{n}") for n in names[c]))
     out = lines.select(*(pick(c).cast("timestamp" if c == "ts" else "long" if c == "mmsi" else "double").alias(c) for c in names))
     return out.withColumns({c: geo.nulled(c, c) for c in ("lat", "lon", "sog", "cog")}).filter("lat is not null and lon is not null")
+
+
+def text(b: Column, start: int, n: int) -> Column:
+    """Six-bit characters as text; padding goes, and an empty text is null."""
+    codes = F.transform(F.sequence(F.lit(start), F.lit(start + n - 6), F.lit(6)), lambda i: F.conv(F.substr(b, i + 1, F.lit(6)), 2, 10).cast("int"))
+    chars = F.transform(codes, lambda c: F.char(F.when(c < 32, c + 64).otherwise(c)))
+    out = F.trim(F.replace(F.array_join(chars, ""), F.lit("@"), F.lit("")))
+    return F.when(out != "", out)
+
+
+def static_reports(payloads: DataFrame) -> DataFrame:
+    """Voyage reports (type 5, at least 420 bits): identity, number, call sign, name, type and length."""
+    b = payloads.withColumn("b", bits("payload")).filter((unsigned(F.col("b"), 0, 6) == 5) & (F.length("b") >= 420))
+    u = lambda start, n: unsigned(F.col("b"), start, n)
+    return b.select(
+        "ts", u(8, 30).alias("mmsi"), F.when(u(40, 30) > 0, u(40, 30)).alias("imo"), text(F.col("b"), 70, 42).alias("call_sign"), text(F.col("b"), 112, 120).alias("name"), u(232, 8).alias("ship_type"),
+        F.when(u(240, 9) + u(249, 9) > 0, u(240, 9) + u(249, 9)).alias("length_m"),
+    )
