@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import geo, grid
-from tidewatch.operators import aggregates, detectors, kernels, proximity, sequences, silence
+from tidewatch.operators import aggregates, kernels, proximity, sequences, silence
 from tidewatch.plans.registry import query
 from tidewatch.sources.bindings import PORTS_SQL, POSITIONS_SQL, cell_sql, haversine_sql, ports, positions
 
@@ -294,15 +294,3 @@ def contact_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = contacts.join(tracks, ["scene_id", "cell"]).withColumn("d", geo.haversine("lat", "lon", "lat2", "lon2")).filter("d <= 40000")
     scored = near.groupBy("scene_id", "contact_id", "track_id").agg(F.max(geo.association_score("d", 12_000.0) + 9.0).alias("score"))
     return kernels.associate(scored, contacts)
-
-
-@query(f"""{WITH} select rule, count(*) as n, round(sum(score), 4) as total from (
-    select 'loitering_sensitive' as rule, 0.5 + 0.3 * (sog / 20) + 0.1 * least(sog / 6, 1.0) as score from pos where kind = 'view'
-    union all select 'dark_rendezvous', least(1.0, 0.35 + 0.35 * (sog / 20) + 0.25 * (point_id % 2) + 0.1 * (point_id % 3 = 0)::int) from pos where kind = 'error')
-    where score >= case rule when 'loitering_sensitive' then 0.60 else 0.50 end group by rule""")
-def detector_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X3, X4 and the thresholds: alerts of two detectors in one table."""
-    p = positions(spark, sf_dir).withColumn("c", F.col("sog") / 20).withColumn("two", F.col("point_id") % 2 == 1).withColumn("three", F.col("point_id") % 3 == 0)
-    one = p.filter("kind = 'view'").select(F.lit("loitering_sensitive").alias("rule"), F.col("point_id").cast("string").alias("subject"), "t", detectors.loitering_score("c", "sog").alias("score"))
-    two = p.filter("kind = 'error'").select(F.lit("dark_rendezvous").alias("rule"), F.col("point_id").cast("string").alias("subject"), "t", detectors.rendezvous_score("c", "two", "three").alias("score"))
-    return detectors.alerts(one, two).groupBy("rule").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
