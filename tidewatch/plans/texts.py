@@ -224,3 +224,17 @@ def radar_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.col("m") / F.col("n")
     rules = [(F.col("n") < 3, "transient"), (F.col("m") == 0, "dark"), ((F.col("silent_tail") >= 3) & (share >= 0.2), "correlated_then_dark"), (share >= 0.3, "correlated")]
     return tail.join(quiet, "key").select("key", F.col("n").alias("n_epochs"), r6(share).alias("support"), "silent_tail", aggregates.when_chain(rules, "ambiguous").alias("status"))
+
+
+def _sql_of(name: str, rule: str) -> str:
+    from tidewatch.plans.registry import ORACLES
+
+    return f"select '{rule}' as rule, count(*) as n, round(sum(score), 3) as total from ({ORACLES[name]})"
+
+
+@query(" union all ".join(_sql_of(n, r) for n, r in (("loitering_alerts", "loitering_sensitive"), ("rendezvous_alerts", "dark_rendezvous"), ("spoofing_alerts", "ais_spoofing"))))
+def detector_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of three detectors in one table, by rule."""
+    named = lambda d, rule: d.select(F.lit(rule).alias("rule"), "score")
+    found = named(loitering_alerts(spark, sf_dir), "loitering_sensitive").unionByName(named(rendezvous_alerts(spark, sf_dir), "dark_rendezvous")).unionByName(named(spoofing_alerts(spark, sf_dir), "ais_spoofing"))
+    return found.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"))
