@@ -206,3 +206,63 @@ def test_streams(spark, tmp_path):
     assert windows[at(1), "view"] == 3 and windows[at(2), "view"] == 1
     sessions = sorted((r.key, r.n_points) for r in run(ingest.live_sessions(stream()), "sessions", "complete"))
     assert sessions == [("1", 3), ("2", 1), ("3", 1)]
+
+
+def test_fragments_and_rules_on_streams(spark, tmp_path):
+    schema = "seq string, channel string, n_parts int, part int, payload string, ts timestamp"
+
+    def drop(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in/{name}")
+
+    def run(name):
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(f"{tmp_path}/in")
+        q = ingest.assembled_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(r.payload for r in spark.read.schema("payload string").parquet(f"{tmp_path}/out").collect())
+
+    drop("a", [("1", "A", 2, 1, "ab", at(1, 0, 50)), ("2", "A", 2, 2, "lost", at(1, 0, 51)), ("3", "B", 3, 1, "x", at(1)), ("3", "B", 3, 3, "z", at(1, 0, 2)), ("3", "B", 3, 2, "y", at(1, 0, 1))])
+    assert run("one") == ["xyz"]
+    drop("b", [("1", "A", 2, 2, "cd", at(1, 1, 5)), ("2", "A", 2, 1, "new", at(1, 2))])
+    assert run("two") == ["abcd", "xyz"]
+
+    ownership = spark.createDataFrame([("v2", "owner", 0.9)], "src string, dst string, confidence double")
+    sanctions = spark.createDataFrame([("owner", 0.0, None, 0.8)], "entity string, t_start double, t_end double, confidence double")
+    spark.createDataFrame([("v1", "v2", 5.0, 0.7), ("v1", "v3", 5.0, 0.7)], "subject string, counterpart string, t double, confidence double").write.json(f"{tmp_path}/met")
+    met = spark.readStream.schema("subject string, counterpart string, t double, confidence double").json(f"{tmp_path}/met")
+    ingest.rules_on_stream(met, ownership, sanctions, f"{tmp_path}/alerts", f"{tmp_path}/marks2").awaitTermination()
+    (a,) = spark.read.parquet(f"{tmp_path}/alerts").collect()
+    assert (a.subject, a.entity, a.score) == ("v1", "owner", 0.7)
+
+
+def test_mirror_views_and_satellites(spark, tmp_path):
+    spark.createDataFrame([(1, "2024-01-05T01"), (2, "2024-01-05T02"), (3, "2024-01-05T03")], "a int, hour string").write.partitionBy("hour").parquet(f"{tmp_path}/t")
+    (tmp_path / "copy").mkdir()
+    assert ingest.mirror_closed(spark, f"file://{tmp_path}/t", f"file://{tmp_path}/copy", "2024-01-05T03") == ["hour=2024-01-05T01", "hour=2024-01-05T02"]
+    assert ingest.mirror_closed(spark, f"file://{tmp_path}/t", f"file://{tmp_path}/copy", "2024-01-05T03") == []
+    assert sorted(r.a for r in spark.read.parquet(f"{tmp_path}/copy").collect()) == [1, 2]
+    spark.createDataFrame([(5, "x")], "a int, b string").write.parquet(f"{tmp_path}/u")
+    landing.united_view(spark, [f"{tmp_path}/u", f"{tmp_path}/t/hour=2024-01-05T01", f"{tmp_path}/none"], "both_of_them")
+    assert sorted((r.a, r.b, r.filename is not None) for r in spark.sql("select * from both_of_them").collect()) == [(1, None, True), (5, "x", True)]
+    assert landing.united_view(spark, [f"{tmp_path}/none"], "nothing").count() == 0
+    assert landing.landed_report(5, 10, 12) == {"built": 5, "landed": 2, "merged": 3} and landing.landed_report(2, 10, 5) == {"built": 2, "landed": 0, "merged": 2}
+    lines = [(json.dumps({"mmsi": 7, "timestamp": "2024-01-01T00:00:00Z", "position": {"latitude": 10.0, "longitude": 66.0, "speed": 102.3}, "satellite": "s1"}),), ("{}",)]
+    (m,) = feeds.satellite_messages(spark.createDataFrame(lines, "line string")).collect()
+    assert (m.mmsi, m.lat, m.sog, m.receiver) == (7, 10.0, None, "sat:s1")
+    passes = [(json.dumps({"satellite": "s", "start": "1970-01-01T00:01:00Z", "end": "1970-01-01T00:11:00Z"}),), (json.dumps({"satellite": "s", "start": "1970-01-01T00:11:00Z", "end": "1970-01-01T00:01:00Z"}),)]
+    assert [(r.r_start, r.r_end) for r in feeds.pass_predictions(spark.createDataFrame(passes, "line string")).collect()] == [(60.0, 660.0)]
+    (g,) = feeds.gridded_counts(spark.createDataFrame([(json.dumps({"lat": 10.0, "lon": 66.0, "date": "2024-01-01", "detections": 3}),)], "line string")).collect()
+    assert g.n_detections == 3 and g.is_aggregate
+
+
+def test_sql_functions_agree_with_the_columns(spark):
+    from tidewatch.functions import geo, grid, ident, registered
+
+    names = registered.register(spark)
+    assert len(names) == len(registered.FUNCTIONS)
+    rows = [(10.0, 60.0, 12.5, 66.25, 350.0, 20.0, "9074729", "ex M/V Sea-Star 2"), (-5.0, 179.9, 5.0, -179.9, 10.0, 200.0, "9074728", "M/V"), (0.0, 0.0, 0.0, 180.0, 0.0, 180.0, "x", None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double, i string, n string")
+    df.createOrReplaceTempView("legs")
+    said = spark.sql("select tw_haversine(a, b, c, d), tw_bearing(a, b, c, d), tw_turn(e, f), tw_cell_r4(a, b), tw_cell_r9(c, d), tw_imo_valid(i), tw_name(n) from legs").collect()
+    want = df.select(geo.haversine("a", "b", "c", "d"), geo.bearing("a", "b", "c", "d"), geo.turn("e", "f"), grid.cell("a", "b", 4), grid.cell("c", "d", 9), ident.imo_valid("i"), ident.normalise_name("n")).collect()
+    for x, y in zip(said, want, strict=True):
+        assert [pytest.approx(v) if isinstance(v, float) else v for v in x] == list(y)

@@ -182,3 +182,26 @@ def zones(lines: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
 def stamped_cells(rows: DataFrame, resolutions: tuple = (4, 5, 6, 7, 8, 9)) -> DataFrame:
     """rows with a cell of every resolution; without a position they stay null."""
     return rows.withColumns({f"cell_r{r}": grid.cell("lat", "lon", r) for r in resolutions})
+
+
+def satellite_messages(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Positions heard by satellite from JSON text, receivers named `sat:`, sentinels nulled."""
+    got = lambda *names: F.coalesce(*(F.get_json_object(line, f"$.{n}") for n in names))
+    n = lambda kind, *names: geo.nulled(got(*names).try_cast("double"), kind)
+    out = lines.select(
+        got("mmsi", "vessel.mmsi").try_cast("long").alias("mmsi"), instant(got("timestamp", "position.timestamp")).alias("ts"), n("lat", "latitude", "position.latitude").alias("lat"), n("lon", "longitude", "position.longitude").alias("lon"),
+        n("sog", "speed", "position.speed").alias("sog"), n("cog", "course", "position.course").alias("cog"), F.concat(F.lit("sat:"), F.coalesce(got("satellite", "collection_type"), F.lit("unknown"))).alias("receiver"),
+    )
+    return out.filter("mmsi is not null and ts is not null and lat is not null and lon is not null")
+
+
+def pass_predictions(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Passes as intervals of epoch seconds; those that end before they begin are left out."""
+    at = lambda n: F.unix_micros(instant(F.get_json_object(line, f"$.{n}"))) / 1e6
+    return lines.select(F.get_json_object(line, "$.satellite").alias("satellite"), at("start").alias("r_start"), at("end").alias("r_end")).filter("r_end >= r_start")
+
+
+def gridded_counts(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Counts of detections by grid cell and day; aggregates, not contacts, and marked as such."""
+    g = lines.select(F.from_json(line, "lat double, lon double, date string, detections double, flag string, geartype string").alias("g")).select("g.*")
+    return g.filter(geo.in_box("lat", "lon")).select("lat", "lon", F.to_date("date").alias("day"), F.col("detections").cast("long").alias("n_detections"), "flag", F.col("geartype").alias("gear"), F.lit(True).alias("is_aggregate"))

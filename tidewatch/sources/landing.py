@@ -149,3 +149,27 @@ def land_raw(spark: SparkSession, folder: str, name: str, content: bytes) -> str
 def registered(table: DataFrame, name: str, time: str) -> DataFrame:
     """One row for the register of artifacts: table, rows, and the time range of its rows."""
     return table.agg(F.count("*").alias("n_rows"), F.min(time).alias("t_start"), F.max(time).alias("t_end")).select(F.lit(name).alias("artifact"), "n_rows", "t_start", "t_end")
+
+
+def united_view(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
+    """A temporary view over tables of unlike columns, by name, with the file of each row; folders that are not there are left out, none gives no view."""
+    found = []
+    for p in paths:
+        try:
+            found.append(spark.read.option("mergeSchema", "true").parquet(p).withColumn("filename", F.col("_metadata.file_path")))
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    out = None
+    for f in found:
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], "filename string")
+    out.createOrReplaceTempView(name)
+    return out
+
+
+def landed_report(built: int, before: int, after: int) -> dict[str, int]:
+    """What a landing did: rows built, rows new to the table, and rows merged into ones it had; never negative."""
+    new = max(0, after - before)
+    return {"built": built, "landed": min(built, new), "merged": max(0, built - new)}
