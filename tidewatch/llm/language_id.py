@@ -40,6 +40,8 @@ CALIBRATE = 5
 QUANTILE = 0.999
 #: Nats a character above the quantile.
 MARGIN = 0.25
+#: Least addition for a text of n characters, nats times the root of n: a number or a key among few words is no other language.
+SPREAD = 8.0
 #: Held-back documents of LONG characters that a limit needs.
 LEAST_HELD, LONG = 30, 200
 MAX_LANGUAGES = 1000
@@ -239,7 +241,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             continue
         model.limits[k] = np.quantile(long, QUANTILE) + MARGIN
         over = ((own - model.limits[k]) * np.sqrt(length))[length < LONG]
-        model.spreads[k] = max([4.0, *([np.quantile(over, QUANTILE)] if len(over) else [])])
+        model.spreads[k] = max([SPREAD, *([np.quantile(over, QUANTILE)] if len(over) else [])])
     return model
 
 
