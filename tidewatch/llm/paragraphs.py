@@ -40,6 +40,8 @@ from .components import components
 from .words import BY_SPACE, U64, Words, chain, mix, slices, split_words, text_buffers
 
 SHINGLE = 5
+#: Rows named by id and text hash (16 bytes) that are broadcast; of more, all texts are shuffled to meet them.
+BROADCAST_ROWS = 1_000_000
 #: 12 bands of 2 minima: at similarity 0.8 a pair shares one with odds 1 - (1 - 0.64)^12, all but 5e-6.
 BANDS, ROWS = 12, 2
 _BASE = U64(0xD6E8FEB86659FD93)
@@ -108,7 +110,10 @@ def anchors(docs: DataFrame, least_words: int) -> DataFrame:
 def _places(docs: DataFrame, places: DataFrame, kind: str) -> DataFrame:
     """doc_id, row_key, text and `at` (list of kind) of the documents that `places` (doc_id, row_key, and the fields of kind) names."""
     wanted = materialize(places.groupBy("doc_id", ROW).agg(F.collect_list(F.struct(*kind.split())).alias("at")), "places")
-    return docs.select("doc_id", ROW, "text").join(wanted, ["doc_id", ROW])
+    texts = docs.select("doc_id", ROW, "text")
+    if wanted.count() <= BROADCAST_ROWS:  # only the texts that are wanted are shuffled, if any
+        texts = texts.join(F.broadcast(wanted.select("doc_id", ROW)), ["doc_id", ROW], "left_semi")
+    return texts.join(wanted, ["doc_id", ROW])
 
 
 def _placed(column: pa.Array, w: Words, upto: np.ndarray, *fields: str) -> tuple[np.ndarray, ...]:
