@@ -28,6 +28,12 @@ def cell(lat, lon, res: int) -> Column:
     return pack(res, F.floor((_c(lat) + 90) / EDGE[res]), F.floor((_c(lon) + 180) / EDGE[res]))
 
 
+def cell_sql(lat: str, lon: str, res: int) -> str:
+    """`cell` as SQL text."""
+    e = EDGE[res]
+    return f"shiftleft({res}L, {_SHIFT}) | shiftleft(bigint(floor(({lat} + 90) / {e}D)), {_ROW}) | bigint(floor(({lon} + 180) / {e}D))"
+
+
 def row_of(c) -> Column:
     return F.shiftright(_c(c), _ROW).bitwiseAND(F.lit((1 << _ROW) - 1))
 

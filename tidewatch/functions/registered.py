@@ -14,9 +14,7 @@ FUNCTIONS = {
     f"tw_haversine({_PLACE}) RETURNS DOUBLE": f"2 * {geo.EARTH_M}D * asin(sqrt(least(1D, power(sin((radians(lat2) - radians(lat1)) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * power(sin((radians(lon2) - radians(lon1)) / 2), 2))))",
     f"tw_bearing({_PLACE}) RETURNS DOUBLE": "pmod(degrees(atan2(sin(radians(lon2) - radians(lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2) - radians(lon1)))), 360D)",
     "tw_turn(before DOUBLE, after DOUBLE) RETURNS DOUBLE": "abs(pmod(after - before + 180D, 360D) - 180D)",
-    **{
-        f"tw_cell_r{r}(lat DOUBLE, lon DOUBLE) RETURNS BIGINT": f"shiftleft({r}L, 58) | shiftleft(bigint(floor((lat + 90) / {e}D)), 29) | bigint(floor((lon + 180) / {e}D))" for r, e in grid.EDGE.items()
-    },
+    **{f"tw_cell_r{r}(lat DOUBLE, lon DOUBLE) RETURNS BIGINT": grid.cell_sql("lat", "lon", r) for r in grid.EDGE},
     "tw_imo_valid(imo STRING) RETURNS BOOLEAN": f"coalesce(imo rlike '^[0-9]{{7}}$', false) and coalesce(({_NUMBER}) % 10 = int(substring(imo, 7, 1)), false)",
     "tw_name(name STRING) RETURNS STRING": f"nullif(regexp_replace(regexp_replace(trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ')), '^(?:(?:{_PREFIX}) )+', ''), '^(?:{_PREFIX})$', ''), '')",
 }
