@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, hmm, language_id, minhash, mixing, outliers, paragraphs, snapshots, token_lengths, warc
+from . import fm_index, hmm, hnsw, language_id, merkle, minhash, mixing, outliers, paragraphs, snapshots, token_lengths, warc, whitening
 from .common import fold, materialize, table
 
 
@@ -73,6 +73,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First four whitened components of every embedding, fitted on the distinct vectors."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that the tampered document would give."""
+    return merkle.verified(merkle.documents_manifest(table(spark, sf_dir, "documents"), fanout=8))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest embeddings, by cosine, of every 50th one, from a navigable graph per shard."""
+    return hnsw.every_nth(table(spark, sf_dir, "embeddings"), nth=50, nearest=5)
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_language_id": op2_language_id,
@@ -84,6 +100,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_chat_snapshots": op9_chat_snapshots,
     "op10_source_mixing": op10_source_mixing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -91,7 +110,57 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 _ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_FIELD = "coalesce(octet_length(encode(cast({0} as varchar))) || ':' || {0}, '-')"
+_CRC32 = """xor(4294967295, list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ord(c) as bigint)),
+    lambda a, c: list_reduce(range(8), lambda b, i: xor(b >> 1, 3988292384 * (b & 1)), xor(a, c)), 4294967295))"""
+
+
+def _levels(name: str, nodes: str) -> str:
+    """Levels of a tree above `nodes` (g, i, n, h), siblings of their nodes, as SQL."""
+    return f"""
+        {name}(l, g, i, n, h) as (
+            select 0, g, i, n, h from {nodes}
+            union all
+            select l + 1, g, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from {name} where n > 1 group by l, g, i // 8, n
+        ),
+        {name}_near as (
+            select l, g, i,
+                coalesce(string_agg(h, '') over (partition by l, g, i // 8 order by i rows between unbounded preceding and 1 preceding), '') as b,
+                coalesce(string_agg(h, '') over (partition by l, g, i // 8 order by i rows between 1 following and unbounded following), '') as a
+            from {name} where n > 1
+        ),
+        {name}_walk(doc_id, l, g, i, x, s) as (
+            select doc_id, 0, g, i, x, s from {nodes}_starts
+            union all
+            select w.doc_id, w.l + 1, w.g, w.i // 8, sha256(b || x || a), s || b || a from {name}_walk w join {name}_near r on w.l = r.l and w.g = r.g and w.i = r.i
+        ),
+        {name}_ends as (select w.doc_id, w.g, w.x, w.s, u.h from {name}_walk w join {name} u on w.l = u.l and w.g = u.g and w.i = u.i where u.n = 1)"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_merkle_manifest": f"""
+        with recursive fields as (
+            select doc_id, coalesce('=' || lang, '') as g, text, {_CRC32} % 3 = 0 as struck,
+                {_FIELD.format("doc_id")} || {_FIELD.format("source")} || {_FIELD.format("lang")} || {_FIELD.format("n_chars")} as head
+            from documents
+        ),
+        hashed as (
+            select doc_id, g, sha256(head || {_FIELD.format("text")}) as h,
+                case when struck then sha256(head || {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) end as t
+            from fields
+        ),
+        docs as (
+            select doc_id, g, h, coalesce(t, h) as x, '' as s, row_number() over (partition by g order by doc_id nulls first, h) - 1 as i, count(*) over (partition by g) as n
+            from hashed
+        ),
+        docs_starts as (select doc_id, g, i, x, s from docs),
+        {_levels("up", "docs")},
+        langs as (select 'all' as g, g as lang, h, row_number() over (order by g) - 1 as i, count(*) over () as n from up where n = 1),
+        langs_starts as (select doc_id, langs.g, langs.i, e.x, e.s from up_ends e join langs on e.g = langs.lang),
+        {_levels("top", "langs")}
+        select d.doc_id, d.h as leaf, u.h as subroot, t.h as root, sha256(t.s) as proof_sha256, t.x as folded_root, t.x = t.h as verified
+        from docs d join up_ends u on d.doc_id = u.doc_id join top_ends t on d.doc_id = t.doc_id
+    """,
     "op1_benchmark_decontamination": f"""
         with d as (select doc_id, {_ALNUM.format(_LOWER)} as w from documents),
         b as (select item_id, {_ALNUM.format(_LOWER)} as w from benchmark),
