@@ -100,6 +100,27 @@ def test_upserts_by_day_and_hour(spark, tmp_path):
     assert (a.artifact, a.n_rows, a.t_start, a.t_end) == ("near", 4, at(1), at(3))
 
 
+def test_upserts_keep_the_columns_of_both_sides(spark, tmp_path):
+    stamp = lambda d: landing.stamp(d, "s", "r", dt.datetime(2024, 1, 1, tzinfo=UTC), dt.datetime(2024, 1, 2, tzinfo=UTC), "v")
+    frame = lambda rows, schema: stamp(spark.createDataFrame(rows, schema))
+    writers = {"day": lambda d, p: landing.land(d, p, ["id"], "ts"), "hour": lambda d, p: landing.land_hourly(d, p, F.col("id"))}
+    for part, write in writers.items():
+        path = str(tmp_path / part)
+        write(frame([(1, at(10), "a", 1), (2, at(10, 30), "b", 2), (3, dt.datetime(2024, 1, 7), "c", 3)], "id long, ts timestamp, extra string, n int"), path)
+        write(frame([(1, at(10, 5), 5.0)], "id long, ts timestamp, fresh double"), path)  # lacks two columns, brings one
+        write(frame([(4, at(10, 7), None, 9)], "id long, ts timestamp, extra void, n short"), path)  # one has no type, one is narrower
+        got = {r.id: (r.extra, r.n, r.fresh) for r in spark.read.option("mergeSchema", "true").parquet(path).collect()}
+        assert got == {1: (None, None, 5.0), 2: ("b", 2, None), 3: ("c", 3, None), 4: (None, 9, None)}
+        for bad in ("n string", "n double"):
+            with pytest.raises(ValueError, match="n is stored as int"):
+                write(frame([(5, at(10, 8), None)], f"id long, ts timestamp, {bad}"), path)
+        assert spark.read.option("mergeSchema", "true").parquet(path).count() == 4
+    path = str(tmp_path / "void")
+    writers["day"](frame([(1, at(10), None)], "id long, ts timestamp, later void"), path)
+    writers["day"](frame([(2, at(11), "x")], "id long, ts timestamp, later string"), path)
+    assert {r.id: r.later for r in spark.read.parquet(path).collect()} == {1: None, 2: "x"}
+
+
 def test_raw_artifacts_are_kept_as_they_came(spark, tmp_path):
     one = landing.land_raw(spark, f"file://{tmp_path}", "a.csv", b"x,y\n1,2\n")
     assert landing.land_raw(spark, f"file://{tmp_path}", "a.csv", b"x,y\n1,2\n") == one

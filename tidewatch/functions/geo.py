@@ -86,10 +86,18 @@ def length_from_rcs(dbsm) -> Column:
     return F.pow(F.pow(F.lit(10.0), _c(dbsm) / 10) / 0.08, 1 / 2.4)
 
 
+#: What the error models of gates leave out, metres (fixed value).
+GATE_BUFFER_M = 500.0
+
+
+def cone(r95, sog_kn, dt_s) -> Column:
+    """A 95 % radius, no wider than what a hull of that speed covers since its last report."""
+    return F.least(_c(r95), (2.5 * F.greatest(_c(sog_kn), F.lit(2.0)) + 5) * KNOT * F.greatest(_c(dt_s), F.lit(120.0)))
+
+
 def gate_radius(r95, max_sog_kn, dt_s, sigma_m) -> Column:
     """How far from its predicted place a contact may lie."""
-    reach = (2.5 * F.greatest(_c(max_sog_kn), F.lit(2.0)) + 5) * KNOT * F.greatest(_c(dt_s), F.lit(120.0))
-    return F.least(_c(r95), reach) + 3 * _c(sigma_m) + 500
+    return cone(r95, max_sog_kn, dt_s) + 3 * _c(sigma_m) + GATE_BUFFER_M
 
 
 def association_score(d_m, sigma_m, length_rel=None, visited=None) -> Column:

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 #: Edge in degrees by resolution; the ring of a cell covers at least an edge around any of its points.
 EDGE = {4: 0.4, 5: 0.16, 6: 0.06, 7: 0.024, 8: 0.008, 9: 0.003}
+#: Coarser ones, for things whose extent varies from row to row, and all levels.
+WIDE = {0: 60.0, 1: 12.0, 2: 4.0, 3: 1.2}
+LEVELS = WIDE | EDGE
+#: A degree of latitude in metres on the sphere of `geo`, and the latitude from which longitudes no longer tell distance.
+DEGREE_M, POLAR = 111_194.9, 85.0
 _SHIFT, _ROW = 58, 29
 
 
@@ -19,18 +24,19 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def pack(res: int, row: Column, col: Column) -> Column:
-    return F.shiftleft(F.lit(res).cast("long"), _SHIFT).bitwiseOR(F.shiftleft(row.cast("long"), _ROW)).bitwiseOR(col.cast("long"))
+def pack(res: int | Column, row: Column, col: Column) -> Column:
+    top = F.lit(res) if isinstance(res, int) else res
+    return F.shiftleft(top.cast("long"), _SHIFT).bitwiseOR(F.shiftleft(row.cast("long"), _ROW)).bitwiseOR(col.cast("long"))
 
 
 def cell(lat, lon, res: int) -> Column:
     """Cell id, or null without a position."""
-    return pack(res, F.floor((_c(lat) + 90) / EDGE[res]), F.floor((_c(lon) + 180) / EDGE[res]))
+    return pack(res, F.floor((_c(lat) + 90) / LEVELS[res]), F.floor((_c(lon) + 180) / LEVELS[res]))
 
 
 def cell_sql(lat: str, lon: str, res: int) -> str:
     """`cell` as SQL text."""
-    e = EDGE[res]
+    e = LEVELS[res]
     return f"shiftleft({res}L, {_SHIFT}) | shiftleft(bigint(floor(({lat} + 90) / {e}D)), {_ROW}) | bigint(floor(({lon} + 180) / {e}D))"
 
 
@@ -43,18 +49,62 @@ def col_of(c) -> Column:
 
 
 def centre(c, res: int) -> tuple[Column, Column]:
-    return (row_of(c) + 0.5) * EDGE[res] - 90, (col_of(c) + 0.5) * EDGE[res] - 180
+    return (row_of(c) + 0.5) * LEVELS[res] - 90, (col_of(c) + 0.5) * LEVELS[res] - 180
 
 
 def disk(c, k: int, res: int) -> Column:
     """Array of the cells up to k rows and columns away, the cell itself included; columns wrap at the date line."""
-    wide = round(360 / EDGE[res])
+    wide = round(360 / LEVELS[res])
     around = [pack(res, row_of(c) + i, F.pmod(col_of(c) + j, F.lit(wide))) for i in range(-k, k + 1) for j in range(-k, k + 1)]
     return F.array(*around)
 
 
+def _cover(south, west, north, east, res: int | Column, edge, wide) -> Column:
+    lat = lambda x: F.greatest(F.lit(-90.0), F.least(F.lit(90.0), _c(x)))
+    step = lambda x, off: F.floor((x + off) / edge).cast("long")
+    rows = F.sequence(step(lat(south), 90), step(lat(north), 90))
+    first = step(_c(west), 180)
+    cols = F.sequence(first, F.greatest(first, F.least(step(_c(east), 180), first + wide - 1)))
+    return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: pack(res, r, F.pmod(c, wide)))))
+
+
 def cover_box(south, west, north, east, res: int) -> Column:
-    """Array of the cells that touch a box."""
-    step = lambda x, off: F.floor((_c(x) + off) / EDGE[res]).cast("long")
-    rows, cols = F.sequence(step(south, 90), step(north, 90)), F.sequence(step(west, 180), step(east, 180))
-    return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: pack(res, r, c))))
+    """Array of the cells that touch a box; east may exceed 180 and west be below -180, columns wrap at the date line."""
+    return _cover(south, west, north, east, res, F.lit(LEVELS[res]), F.lit(round(360 / LEVELS[res])).cast("long"))
+
+
+def extent(lat, radius_m) -> tuple[Column, Column]:
+    """Degrees of latitude and of longitude that a circle reaches from its centre; all longitudes if it holds a pole."""
+    high = (_c(radius_m) if isinstance(radius_m, (str, Column)) else F.lit(float(radius_m))) / DEGREE_M * 1.000001
+    top = F.abs(_c(lat)) + high
+    across = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(high)) / F.cos(F.radians(F.least(F.abs(_c(lat)), F.lit(89.999999)))))))
+    return high, F.when(top >= 90, F.lit(180.0)).otherwise(across * 1.000001)
+
+
+def reach(lat, lon, radius_m, res: int) -> Column:
+    """Array of the cells that a circle touches, at any latitude."""
+    high, across = extent(lat, radius_m)
+    return cover_box(_c(lat) - high, _c(lon) - across, _c(lat) + high, _c(lon) + across, res)
+
+
+def level_of(size) -> Column:
+    """The finest level at which a box of so many degrees touches at most three by three cells."""
+    out = F.lit(min(LEVELS))
+    for res in sorted(LEVELS)[1:]:
+        out = F.when(_c(size) <= 2 * LEVELS[res], res).otherwise(out)
+    return out
+
+
+def edge_of(level) -> Column:
+    """A level's edge in degrees."""
+    return F.create_map(*(F.lit(x) for r in LEVELS for x in (r, LEVELS[r])))[_c(level)]
+
+
+def cover_any(south, west, north, east, level, edge) -> Column:
+    """Array of the cells of a level (a column of `level_of`, with its `edge_of`) that touch a box."""
+    return _cover(south, west, north, east, _c(level), _c(edge), F.round(360 / _c(edge)).cast("long"))
+
+
+def levels(lat, lon) -> Column:
+    """Array of a point's cells of all levels: a point in a box shares exactly one with `cover_any` of the box."""
+    return F.array(*(cell(lat, lon, r) for r in sorted(LEVELS)))

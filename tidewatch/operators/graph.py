@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import geo
-from tidewatch.sources.staging import cut
+from tidewatch.sources.staging import cut, dropped
 
 #: Half-lives in days by edge type; others do not decay (fixed values).
 HALF_LIFE_DAYS = {"owned-by": 365.0, "operated-by": 270.0, "flagged-to": 730.0, "docked-at": 2.0}
@@ -127,23 +127,34 @@ def checksum(edges: DataFrame, columns: list[str]) -> DataFrame:
     return edges.agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum(F.shiftrightunsigned(h, 16)).alias("sum"))
 
 
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One step towards stars: every node hangs on the least node near it. edges: scope, u, v with u > v."""
+    near = edges.unionByName(edges.select("scope", F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    least = near.groupBy("scope", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    moved = near.filter("v > u" if large else "true").join(least, ["scope", "u"]).select("scope", F.col("v").alias("u"), F.col("m").alias("v"))
+    if not large:
+        moved = moved.unionByName(least.select("scope", "u", F.col("m").alias("v")))
+    return moved.filter("u > v").distinct()
+
+
 def connected(pairs: DataFrame, scope: str, a: str, b: str) -> DataFrame:
     """(scope, node, label): the least node of each connected component of pairs within a scope. a and b share one space of names.
 
-    Each round takes the least label over the edges and then the label's own label, so a chain halves with every round.
+    Large and small stars in turn: rounds grow with the logarithm of a component, and a node with many edges costs no more than these.
     """
-    edges = cut(pairs.select(scope, F.col(a).alias("a"), F.col(b).alias("b")).distinct())
-    now = edges.select(scope, F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    ends = pairs.select(F.col(scope).alias("scope"), F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    now, shape = cut(ends.filter("u > v").distinct()), None
     while True:
-        of = lambda end, name: now.select(scope, F.col("node").alias(end), F.col("label").alias(name))  # noqa: E731,B023
-        met = edges.join(of("a", "la"), [scope, "a"]).join(of("b", "lb"), [scope, "b"]).withColumn("m", F.least("la", "lb"))
-        least = met.select(scope, F.explode(F.array("a", "b")).alias("node"), "m").groupBy(scope, "node").agg(F.min("m").alias("m"))
-        own = now.select(scope, F.col("node").alias("m"), F.col("label").alias("lm"))
-        following = cut(least.join(own, [scope, "m"], "left").join(now, [scope, "node"]).select(scope, "node", F.least("m", F.coalesce("lm", "m"), "label").alias("label"), F.col("label").alias("before")))
-        still = following.filter("label <> before").isEmpty()
-        now = following.drop("before")
-        if still:
-            return now
+        following = cut(_star(_star(now, True), False))
+        dropped(now)
+        now = following
+        found = now.agg(F.count("*"), F.sum(F.hash("scope", "u", "v").cast("long")), F.bit_xor(F.xxhash64("scope", "u", "v"))).first()
+        if found == shape:
+            break
+        shape = found
+    stars = now.select("scope", F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select("scope", F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    alone = ends.filter("u = v").select("scope", F.col("u").alias("node"), F.col("u").alias("label")).distinct().join(stars.select("scope", "node"), ["scope", "node"], "left_anti")
+    return stars.unionByName(alone).withColumnRenamed("scope", scope)
 
 
 def merged_nodes(assertions: DataFrame) -> DataFrame:

@@ -19,6 +19,23 @@ def within_radius(points: DataFrame, lat: float, lon: float, radius_m: float) ->
     return points.filter(box).withColumn("distance_m", geo.haversine("lat", "lon", lat, lon)).filter(F.col("distance_m") <= radius_m)
 
 
+def near(left: DataFrame, right: DataFrame, radius_m: float, on: tuple = ()) -> DataFrame:
+    """Pairs of rows of left and right (both lat, lon) within a radius and equal in `on`, with distance_m; right's place as _lat, _lon.
+
+    right is spread over the cells that its circle touches, however wide these are at its latitude; a left row has one cell. Beyond
+    85 degrees, where circles touch many columns, both use wide cells.
+    """
+    if not 0 < radius_m <= 100_000:
+        raise ValueError("a radius of up to 100 km")
+    res = next(r for r in sorted(grid.EDGE, reverse=True) if grid.EDGE[r] * grid.DEGREE_M >= radius_m or r == 4)
+    polar = F.abs("lat") > grid.POLAR
+    spread = right.withColumn("_cell", F.explode(F.when(polar, grid.reach("lat", "lon", radius_m, 2)).otherwise(grid.reach("lat", "lon", radius_m, res))))
+    own = F.when(F.abs("lat") > grid.POLAR - 1, F.array(grid.cell("lat", "lon", res), grid.cell("lat", "lon", 2))).otherwise(F.array(grid.cell("lat", "lon", res)))
+    placed = left.withColumn("_cell", F.explode(own))
+    met = placed.join(spread.withColumnRenamed("lat", "_lat").withColumnRenamed("lon", "_lon"), ["_cell", *on])
+    return met.withColumn("distance_m", geo.haversine("lat", "lon", "_lat", "_lon")).filter(F.col("distance_m") <= radius_m).drop("_cell")
+
+
 def nearest_place(points: DataFrame, places: DataFrame, radius_m: float, name: str = "port") -> DataFrame:
     """Each point's nearest place within a radius (null if none), distance_m with it.
 
@@ -26,9 +43,7 @@ def nearest_place(points: DataFrame, places: DataFrame, radius_m: float, name: s
     at most: the points are neither grouped nor joined back.
     """
     res = next(r for r in sorted(grid.EDGE, reverse=True) if grid.EDGE[r] * 111_000 >= radius_m / 2 or r == 4)
-    pad = radius_m / 111_000 * 1.05
-    wide = pad / F.greatest(F.cos(F.radians(F.abs(F.col(f"{name}_lat")) + pad)), F.lit(0.01))
-    covered = places.withColumn("_cell", F.explode(grid.cover_box(F.col(f"{name}_lat") - pad, F.col(f"{name}_lon") - wide, F.col(f"{name}_lat") + pad, F.col(f"{name}_lon") + wide, res)))
+    covered = places.withColumn("_cell", F.explode(grid.reach(f"{name}_lat", f"{name}_lon", radius_m, res)))
     by_cell = covered.groupBy("_cell").agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col(f"{name}_lat").alias("lat"), F.col(f"{name}_lon").alias("lon"))).alias("_places"))
     met = points.withColumn("_cell", grid.cell("lat", "lon", res)).join(F.broadcast(by_cell) if by_cell.count() <= BROADCAST_CELLS else by_cell, "_cell", "left")
     far = F.transform("_places", lambda p: F.struct(geo.haversine("lat", "lon", p["lat"], p["lon"]).alias("d"), p["name"].alias("name")))
@@ -43,7 +58,7 @@ def encounters(grid_points: DataFrame, key: str = "key", step_s: int = 300, radi
     the cells around it; every pair is seen once, whichever of its cells is the lower.
     """
     slow = grid_points.filter(F.col("sog") <= max_sog).withColumn("cell", grid.cell("lat", "lon", res))
-    left = slow.select(*(F.col(c).alias(f"{c}_a") for c in (key, "lat", "lon", "sog")), "t", F.explode(grid.disk("cell", 1, res)).alias("cell"))
+    left = slow.select(*(F.col(c).alias(f"{c}_a") for c in (key, "lat", "lon", "sog")), "t", F.explode(grid.reach("lat", "lon", radius_m, res)).alias("cell"))
     right = slow.select(*(F.col(c).alias(f"{c}_b") for c in (key, "lat", "lon", "sog")), "t", "cell")
     pairs = left.join(right, ["t", "cell"]).filter(F.col(f"{key}_a") < F.col(f"{key}_b"))
     pairs = pairs.withColumn("d", geo.haversine("lat_a", "lon_a", "lat_b", "lon_b")).filter(F.col("d") <= radius_m)

@@ -18,6 +18,37 @@ def _by(keys, *order) -> WindowSpec:
     return Window.partitionBy(*([keys] if isinstance(keys, str) else keys)).orderBy(*order)
 
 
+def numbered(points: DataFrame, key: str = "key", order: tuple = ("t", "point_id"), slice_s: float = 86_400.0) -> DataFrame:
+    """points with `i`, the row's place in its key from 0, and `n`, the key's rows. A key is sorted by slices of time, never as a whole."""
+    sliced = points.withColumn("_s", F.floor(F.col("t") / slice_s))
+    whole, upto = Window.partitionBy(key), Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sliced.groupBy(key, "_s").agg(F.count("*").alias("_k")).select(key, "_s", (F.sum("_k").over(upto) - F.col("_k")).alias("_before"), F.sum("_k").over(whole).alias("n"))
+    own = F.row_number().over(_by([key, "_s"], *order)) - 1
+    return sliced.withColumn("_i", own).join(sizes, [key, "_s"]).withColumn("i", F.col("_before") + F.col("_i")).drop("_s", "_i", "_before")
+
+
+def parts(numbered_: DataFrame, back: int = 0, ahead: int = 0, size: int = 4096) -> DataFrame:
+    """Numbered rows in parts of `size` of their key, each with `back` rows of the part before it and `ahead` of the one after (own = false).
+
+    Windows over (key, part) then see what windows over the key would, and no task holds a whole key.
+    """
+    if max(back, ahead) > size:
+        raise ValueError("a part is longer than what it borrows")
+    at, last = F.floor(F.col("i") / size), F.floor((F.col("n") - 1) / size)
+    lead = F.when((F.col("i") % size >= size - back) & (at < last), F.array(at + 1)).otherwise(F.array().cast("array<bigint>"))
+    lag = F.when((F.col("i") % size < ahead) & (at > 0), F.array(at - 1)).otherwise(F.array().cast("array<bigint>"))
+    spread = numbered_.withColumn("part", F.explode(F.concat(F.array(at), lead, lag)))
+    return spread.withColumn("own", F.col("part") == at)
+
+
+def neighbours(points: DataFrame, values: list[str], key: str = "key", order: tuple = ("t", "point_id"), slice_s: float = 86_400.0) -> DataFrame:
+    """points with `i`, `n`, and `before` and `after`: structs of the values in the key's rows next to it, null at its ends."""
+    row = F.struct(*values)
+    w = _by([key, "part"], "i")
+    cut = parts(numbered(points, key, order, slice_s), back=1, ahead=1)
+    return cut.withColumn("before", F.lag(row).over(w)).withColumn("after", F.lead(row).over(w)).filter("own").drop("part", "own")
+
+
 def deltas(points: DataFrame, key: str = "key", order: tuple = ("t", "point_id")) -> DataFrame:
     """Adds dt (s), turn (degrees) and leg (m) from the row before."""
     w = _by(key, *order)
@@ -155,10 +186,10 @@ def first_visits(visits_: DataFrame, key: str, zone: str, t: str, prior: int = 3
 
 
 def longest_run(rows: DataFrame, key: str, order: list, state: Column) -> DataFrame:
-    """The longest run of consecutive rows in `state`, the earliest of equals: key, n, first position, is_tail."""
+    """The longest run of consecutive rows in `state`, the earliest of equals: key, n, first position, is_tail, and its first and last order[0]."""
     w = _by(key, *order)
     flagged = rows.withColumn("_on", state).withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
     flagged = islands(flagged, key, order, F.lag("_on").over(w) != F.col("_on"))
-    runs = flagged.filter("_on").groupBy(key, "island").agg(F.count("*").alias("n"), F.min("_i").alias("at"), F.max("_i").alias("upto"), F.first("_n").alias("all"))
-    best = runs.groupBy(key).agg(F.max(F.struct("n", (-F.col("at")).alias("k"), "upto", "all")).alias("b"))
-    return best.select(key, F.col("b.n").alias("n"), (-F.col("b.k")).cast("long").alias("first_row"), (F.col("b.upto") == F.col("b.all")).alias("is_tail"))
+    runs = flagged.filter("_on").groupBy(key, "island").agg(F.count("*").alias("n"), F.min("_i").alias("at"), F.max("_i").alias("upto"), F.first("_n").alias("all"), F.min(order[0]).alias("start"), F.max(order[0]).alias("end"))
+    best = runs.groupBy(key).agg(F.max(F.struct("n", (-F.col("at")).alias("k"), "upto", "all", "start", "end")).alias("b"))
+    return best.select(key, F.col("b.n").alias("n"), (-F.col("b.k")).cast("long").alias("first_row"), (F.col("b.upto") == F.col("b.all")).alias("is_tail"), F.col("b.start").alias("start"), F.col("b.end").alias("end"))

@@ -68,25 +68,25 @@ def classify_gaps(gaps: DataFrame, rows: DataFrame, passes: DataFrame, spoofs: D
     gaps: key, point_id, t, lat, lon, receiver, and the same of the other end with `_end`, dt; rows: of `heard`;
     passes: r_start, r_end; spoofs: key, r_start, r_end. Inside a spoofing episode silence is never held intentional.
     """
-    gaps = gaps.withColumn("gap_id", ident.short_id("gap", key, F.bround("t", 0).cast("long")))
+    gaps = gaps.withColumn("_gap", F.concat_ws("/", F.col(key).cast("string"), F.col("point_id").cast("string")))  # the whole key: short ids may meet
     n = F.greatest(F.lit(4), F.least(F.lit(24), F.floor(F.col("dt") / 900).cast("int")))
     f = F.col("i") / (F.col("n") - 1)
     lerp = lambda c: F.col(c) + f * (F.col(f"{c}_end") - F.col(c))
     samples = gaps.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    samples = samples.select("gap_id", "i", lerp("t").alias("t_start"), grid.cell(lerp("lat"), lerp("lon"), res).alias("cell"), F.floor(lerp("t") / 3600).alias("hour"))
-    samples = samples.withColumn("sample", F.concat_ws("/", "gap_id", "i"))
+    samples = samples.select("_gap", "i", lerp("t").alias("t_start"), grid.cell(lerp("lat"), lerp("lon"), res).alias("cell"), F.floor(lerp("t") / 3600).alias("hour"))
+    samples = samples.withColumn("sample", F.concat_ws("/", "_gap", "i"))
     cover = around(samples.select("cell", "hour").distinct(), rows, res)
     in_pass = passes_over(samples.withColumn("t_end", F.col("t_start")), passes, "sample").select("sample", "inside")
     seen = samples.join(cover, ["cell", "hour"]).join(in_pass, "sample", "left")
     now = F.when(F.col("inside"), F.col("p_sat")).otherwise(0.0)
-    seen = seen.groupBy("gap_id").agg(F.avg("p_ter").alias("mean_ter"), F.avg(1 - (1 - F.col("p_ter")) * (1 - now)).alias("mean_any"), F.avg("sat_area").alias("path_sat"))
-    spans = gaps.select("gap_id", key, F.col("t").alias("t_start"), F.col("t_end").alias("t_end"))
-    missed = passes_over(spans, passes, "gap_id").select("gap_id", "n_passes", "covered_s")
-    spoiled = proximity.overlaps(spans, spoofs, key).filter("r_start < t_end and r_end > t_start").select("gap_id").distinct().withColumn("spoof_near", F.lit(True))
-    out = gaps.join(seen, "gap_id").join(missed, "gap_id", "left").join(spoiled, "gap_id", "left").join(F.broadcast(nominal_period(passes)))
+    seen = seen.groupBy("_gap").agg(F.avg("p_ter").alias("mean_ter"), F.avg(1 - (1 - F.col("p_ter")) * (1 - now)).alias("mean_any"), F.avg("sat_area").alias("path_sat"))
+    spans = gaps.select("_gap", key, F.col("t").alias("t_start"), F.col("t_end").alias("t_end"))
+    missed = passes_over(spans, passes, "_gap").select("_gap", "n_passes", "covered_s")
+    spoiled = proximity.overlaps(spans, spoofs, key).filter("r_start < t_end and r_end > t_start").select("_gap").distinct().withColumn("spoof_near", F.lit(True))
+    out = gaps.join(seen, "_gap").join(missed, "_gap", "left").join(spoiled, "_gap", "left").join(F.broadcast(nominal_period(passes)))
     out = out.fillna(0, ["n_passes"]).fillna(0.0, ["covered_s"]).fillna(False, ["spoof_near"])
     out = out.withColumn("sat_cov", F.greatest("path_sat", endpoint_evidence("receiver", "receiver_end"))).withColumn("covered_fraction", F.col("covered_s") / F.col("dt"))
-    return detectors.gap_type(out)
+    return detectors.gap_type(out.drop("_gap").withColumn("gap_id", ident.short_id("gap", key, F.bround("t", 0).cast("long"))))
 
 
 def hearable(contacts: DataFrame, rows: DataFrame, passes: DataFrame, res: int = 4, contact: str = "contact_id") -> DataFrame:
@@ -104,23 +104,24 @@ def hearable(contacts: DataFrame, rows: DataFrame, passes: DataFrame, res: int =
     return out.withColumn("hearable", F.greatest(F.coalesce("p_ter", F.lit(0.0)), F.when(F.coalesce("recent", F.lit(False)), F.coalesce("health", F.lit(0.0))).otherwise(0.0))).drop("cell", "hour", "p_ter", "health", "recent")
 
 
-def near_any(contacts: DataFrame, places: DataFrame, radius_m: float, contact: str = "contact_id", res: int = 6) -> DataFrame:
-    """Distinct ids of contacts with one of places (lat, lon) within a radius (at most an edge of a cell of res); with a column t_hour in both, within the hour."""
-    on = ["cell", *(["t_hour"] if "t_hour" in places.columns else [])]
-    theirs = places.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *on[1:], F.explode(grid.disk(grid.cell("lat", "lon", res), 1, res)).alias("cell"))
-    met = contacts.withColumn("cell", grid.cell("lat", "lon", res)).join(theirs, on)
-    return met.filter(geo.haversine("lat", "lon", "_lat", "_lon") <= radius_m).select(contact).distinct()
+def near_any(contacts: DataFrame, places: DataFrame, radius_m: float, contact: str = "contact_id") -> DataFrame:
+    """Distinct ids of contacts with one of places (lat, lon) within a radius; with a column t_hour in both, within the hour."""
+    on = ("t_hour",) if "t_hour" in places.columns else ()
+    return proximity.near(contacts.select(contact, "lat", "lon", *on), places.select("lat", "lon", *on), radius_m, on).select(contact).distinct()
 
 
-def nearest_track(contacts: DataFrame, tracks: DataFrame, contact: str = "contact_id", res: int = 4) -> DataFrame:
-    """By contact: nearest_m to a track's position (key, lat, lon, t_hour) within the contact's hour, over the cells around.
+#: Beyond it a track says nothing about how alone a contact is, metres.
+NEAR_TRACK_M = 40_000.0
 
-    Tracks in the contact's list `spent` (keys that the assignment used elsewhere) do not count. Beyond the cells around,
-    at least 40 km away, nothing is reported: isolation is full from 2,500 m on.
+
+def nearest_track(contacts: DataFrame, tracks: DataFrame, contact: str = "contact_id") -> DataFrame:
+    """By contact: nearest_m to a track's position (key, lat, lon, t_hour) within the contact's hour and NEAR_TRACK_M.
+
+    Tracks in the contact's list `spent` (keys that the assignment used elsewhere) do not count. Isolation is full from 2,500 m on.
     """
-    theirs = tracks.select("key", "t_hour", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(grid.disk(grid.cell("lat", "lon", res), 1, res)).alias("cell"))
-    met = contacts.withColumn("cell", grid.cell("lat", "lon", res)).join(theirs, ["cell", "t_hour"]).filter(~F.coalesce(F.array_contains("spent", F.col("key")), F.lit(False)))
-    return met.groupBy(contact).agg(F.min(geo.haversine("lat", "lon", "_lat", "_lon")).alias("nearest_m"))
+    met = proximity.near(contacts.select(contact, "lat", "lon", "t_hour", "spent"), tracks.select("key", "lat", "lon", "t_hour"), NEAR_TRACK_M, ("t_hour",))
+    free = met.filter(~F.coalesce(F.array_contains("spent", F.col("key")), F.lit(False)))
+    return free.groupBy(contact).agg(F.min("distance_m").alias("nearest_m"))
 
 
 def judge_contacts(contacts: DataFrame, statics: DataFrame, spoofed: DataFrame, tracks: DataFrame, rows: DataFrame, passes: DataFrame, static_m: float = 500.0, min_looks: int = 1) -> DataFrame:
@@ -131,7 +132,7 @@ def judge_contacts(contacts: DataFrame, statics: DataFrame, spoofed: DataFrame,
     """
     flag = lambda ids, n: ids.withColumn(n, F.lit(True))
     out = hearable(contacts, rows, passes)
-    out = out.join(flag(near_any(contacts, statics, static_m), "static_near"), "contact_id", "left").join(flag(near_any(contacts, spoofed, SPOOF_RADIUS_M, res=4), "spoof_near"), "contact_id", "left")
+    out = out.join(flag(near_any(contacts, statics, static_m), "static_near"), "contact_id", "left").join(flag(near_any(contacts, spoofed, SPOOF_RADIUS_M), "spoof_near"), "contact_id", "left")
     out = out.join(nearest_track(contacts, tracks), "contact_id", "left").fillna(False, ["static_near", "spoof_near"])
     out = out.withColumn("isolated", F.lit(True)).withColumn("min_looks", F.lit(min_looks)).withColumn("dark_score", geo.dark_score("score", "hearable", "length_m", "nearest_m"))
     return detectors.dark_verdict(out)

@@ -160,11 +160,9 @@ def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     select a.point_id as a, b.point_id as b, round({haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) as d from g a join g b on a.h = b.h and a.key < b.key and {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 40000""")
 def proximity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of keys within 40 km in the same eight days, by grid cell and time bucket."""
-    p = positions(spark, sf_dir).withColumn("h", F.floor(F.col("us") / 691_200e6)).withColumn("cell", grid.cell("lat", "lon", 4))
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("point_id", "key", "lat", "lon")]
-    a, b = p.select(*side("a"), "h", F.explode(grid.disk("cell", 1, 4)).alias("cell")), p.select(*side("b"), "h", "cell")
-    j = a.join(b, ["h", "cell"]).filter("key_a < key_b").withColumn("d", geo.haversine("lat_a", "lon_a", "lat_b", "lon_b")).filter("d <= 40000")
-    return j.select(F.col("point_id_a").alias("a"), F.col("point_id_b").alias("b"), F.round("d", 3).alias("d"))
+    p = positions(spark, sf_dir).select(F.col("point_id").alias("a"), F.col("key").alias("key_a"), "lat", "lon", F.floor(F.col("us") / 691_200e6).alias("h"))
+    j = proximity.near(p, p.select(F.col("a").alias("b"), F.col("key_a").alias("key_b"), "lat", "lon", "h"), 40_000, ("h",)).filter("key_a < key_b")
+    return j.select("a", "b", F.round("distance_m", 3).alias("d"))
 
 
 @query()
@@ -283,14 +281,3 @@ def built_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that two hulls use at once."""
     return kernels.duplicate_identities(kernels.tracks_of(kernels.build_tracks(positions(spark, sf_dir))))
-
-
-@query()
-def contact_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contacts of each half-day scene against predicted states, globally assigned."""
-    p = positions(spark, sf_dir).withColumn("scene_id", F.floor(F.col("us") / 43_200e6).cast("string"))
-    contacts = p.filter("kind = 'error'").select("scene_id", F.col("point_id").cast("string").alias("contact_id"), "lat", "lon", grid.cell("lat", "lon", 4).alias("cell"))
-    tracks = p.filter("kind = 'view'").select("scene_id", F.col("key").cast("string").alias("track_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(grid.disk(grid.cell("lat", "lon", 4), 1, 4)).alias("cell"))
-    near = contacts.join(tracks, ["scene_id", "cell"]).withColumn("d", geo.haversine("lat", "lon", "lat2", "lon2")).filter("d <= 40000")
-    scored = near.groupBy("scene_id", "contact_id", "track_id").agg(F.max(geo.association_score("d", 12_000.0) + 9.0).alias("score"))
-    return kernels.associate(scored, contacts)

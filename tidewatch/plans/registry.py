@@ -19,4 +19,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tidewatch.plans import behaviour, movement, places, records, serving, texts  # noqa: E402,F401
+from tidewatch.plans import behaviour, motion, movement, places, records, serving, texts  # noqa: E402,F401

@@ -396,7 +396,7 @@ def silent_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = p.filter("kind = 'error'").select("key", F.col("t").alias("r_start"), F.col("t").alias("r_end"), "lat", "lon")
     track = proximity.overlaps(e.select("point_id", "key", "t_start", "t_end"), s.select("key", "r_start", "r_end"), "key").select("point_id").distinct().withColumn("by_track", F.lit(True))
     cells = lambda d: d.withColumn("cell", grid.cell("lat", "lon", 4))
-    spread = cells(e.select("point_id", "lat", "lon", (F.col("a") - 43_200).alias("t_start"), (F.col("a") + 43_200).alias("t_end"))).withColumn("cell", F.explode(grid.disk("cell", 1, 4)))
+    spread = cells(e.select("point_id", "lat", "lon", (F.col("a") - 43_200).alias("t_start"), (F.col("a") + 43_200).alias("t_end"))).withColumn("cell", F.explode(grid.reach("lat", "lon", 30_000, 4)))
     met = proximity.overlaps(spread, cells(s.select(F.col("lat").alias("slat"), F.col("lon").alias("slon"), "r_start", "r_end", "lat", "lon")).drop("lat", "lon"), "cell")
     place = met.filter(geo.haversine("lat", "lon", "slat", "slon") <= 30_000).select("point_id").distinct().withColumn("by_place", F.lit(True))
     return e.select("point_id").join(track, "point_id", "left").join(place, "point_id", "left").fillna(False, ["by_track", "by_place"])
@@ -416,12 +416,11 @@ def renames_near_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def truth_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth and predictions matched one to one inside a gate, by least total distance."""
     p = positions(spark, sf_dir).withColumn("scene_id", F.floor(F.col("us") / 86_400e6).cast("string"))
-    truth = p.filter("kind = 'signup'").select("scene_id", F.col("point_id").cast("string").alias("contact_id"), "lat", "lon", F.explode(grid.disk(grid.cell("lat", "lon", 4), 1, 4)).alias("cell"))
-    found = p.filter("kind = 'click'").select("scene_id", F.col("point_id").cast("string").alias("track_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), grid.cell("lat", "lon", 4).alias("cell"))
-    near = truth.join(found, ["scene_id", "cell"]).withColumn("d", geo.haversine("lat", "lon", "lat2", "lon2")).filter("d <= 40000")
+    truth = p.filter("kind = 'signup'").select("scene_id", F.col("point_id").cast("string").alias("contact_id"), "lat", "lon")
+    found = p.filter("kind = 'click'").select("scene_id", F.col("point_id").cast("string").alias("track_id"), "lat", "lon")
     # Within the gate any match beats none.
-    scored = near.groupBy("scene_id", "contact_id", "track_id").agg((1000.0 - F.min("d") / 1000).alias("score"))
-    out = kernels.associate(scored, truth.select("scene_id", "contact_id").distinct(), floor=-8.0)
+    scored = proximity.near(truth, found, 40_000, ("scene_id",)).select("scene_id", "contact_id", "track_id", (1000.0 - F.col("distance_m") / 1000).alias("score"))
+    out = kernels.associate(scored, truth.select("scene_id", "contact_id"), floor=-8.0)
     return out.select("scene_id", "contact_id", "track_id", F.round(1_000_000 - F.col("score") * 1000, 3).alias("distance_m"))
 
 

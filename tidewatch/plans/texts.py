@@ -211,21 +211,6 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(last, "subject").select("subject", "action", r6("value").alias("value"), F.when(F.col("action") == "task imaging", F.col("lat").between(5, 20)).otherwise(True).alias("feasible"))
 
 
-@query(f"""{WITH}, r as (select key, cast(floor((us - 1704067200000000) / 43200e6) as bigint) as epoch, kind, point_id from pos), v as (select key, epoch, max(case when kind = 'view' then 1 else 0 end) as heard from r group by key, epoch),
-    n as (select *, row_number() over (partition by key order by epoch desc) as b, count(*) over (partition by key) as n, sum(heard) over (partition by key) as m from v),
-    t as (select key, any_value(n) as n, any_value(m) as m, coalesce(min(b) filter (where heard = 1), any_value(n) + 1) - 1 as tail from n group by key)
-    select key, n as n_epochs, round(m / n, 6) as support, tail::bigint as silent_tail, case when n < 3 then 'transient' when m = 0 then 'dark' when tail >= 3 and m / n >= 0.2 then 'correlated_then_dark' when m / n >= 0.3 then 'correlated' else 'ambiguous' end as status from t""")
-def radar_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Radar tracks by the share of their epochs in which a broadcast explains them, and by the silence at their end."""
-    p = positions(spark, sf_dir).withColumn("epoch", F.floor((F.col("us") - 1704067200000000) / 43_200e6))
-    v = p.groupBy("key", "epoch").agg(F.bool_or(F.col("kind") == "view").alias("heard"))
-    tail = v.groupBy("key").agg(F.count("*").alias("n"), F.count_if("heard").alias("m"), F.max(F.when(F.col("heard"), F.col("epoch"))).alias("last"))
-    quiet = v.join(tail.select("key", "last"), "key").groupBy("key").agg(F.count_if(F.col("last").isNull() | (F.col("epoch") > F.col("last"))).alias("silent_tail"))
-    share = F.col("m") / F.col("n")
-    rules = [(F.col("n") < 3, "transient"), (F.col("m") == 0, "dark"), ((F.col("silent_tail") >= 3) & (share >= 0.2), "correlated_then_dark"), (share >= 0.3, "correlated")]
-    return tail.join(quiet, "key").select("key", F.col("n").alias("n_epochs"), r6(share).alias("support"), "silent_tail", aggregates.when_chain(rules, "ambiguous").alias("status"))
-
-
 def _sql_of(name: str, rule: str) -> str:
     from tidewatch.plans.registry import ORACLES
 

@@ -65,28 +65,84 @@ def merge_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("_i", F.row_number().over(w)).filter("_i = 1").drop("_i", "_seq")
 
 
+#: Types that take the values of narrower ones without loss.
+WIDER = {"long": {"byte", "short", "integer"}, "integer": {"byte", "short"}, "double": {"float", "byte", "short", "integer"}}
+
+
+def united(stored: T.StructType, new: T.StructType) -> T.StructType:
+    """The columns of both, the stored ones first. A column without a type (all null) takes the other side's; a narrower new type is widened, others must agree."""
+    out = {f.name: f.dataType for f in stored}
+    for f in new:
+        held = out.get(f.name, T.NullType())
+        if isinstance(held, T.NullType):
+            out[f.name] = f.dataType
+        elif not (held == f.dataType or isinstance(f.dataType, T.NullType) or f.dataType.typeName() in WIDER.get(held.typeName(), ())):
+            raise ValueError(f"{f.name} is stored as {held.simpleString()}, not {f.dataType.simpleString()}")
+    return T.StructType([T.StructField(n, k) for n, k in out.items()])
+
+
+def conformed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """df with the columns of schema, in its order and types; those that df lacks are null."""
+    return df.select(*((F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def stored_parts(spark: SparkSession, path: str, part: str, values: list[str]) -> tuple[DataFrame | None, T.StructType]:
+    """(the named partitions with the columns of all their files, or None; the table's columns as far as one file and these partitions tell).
+
+    Only the footers of these partitions are merged, so the cost does not grow with the table.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return None, T.StructType([])
+    text = lambda schema: T.StructType([T.StructField(f.name, T.StringType() if f.name == part else f.dataType) for f in schema])
+    try:
+        whole = text(spark.read.parquet(path).schema)
+    except Exception as e:  # noqa: BLE001
+        if "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None, T.StructType([])
+        raise
+    there = [p for p in (f"{path}/{part}={v}" for v in values) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    if not there:
+        return None, whole
+    schema = text(spark.read.option("mergeSchema", "true").option("basePath", path).parquet(*there).schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*there), united(whole, schema)
+
+
+def _upsert(new: DataFrame, path: str, keys: list[str], time: str, part: str, pattern: str) -> DataFrame:
+    spark = new.sparkSession
+    if not new.filter(F.col(time).isNull()).isEmpty():
+        raise ValueError(f"rows without {time}")
+    new = new.withColumn(part, F.date_format(time, pattern))
+    touched = [r[0] for r in new.select(part).distinct().collect()]
+    held, known = stored_parts(spark, path, part, touched)
+    schema = united(known, new.schema)
+    void = [f.name for f in schema if isinstance(f.dataType, T.NullType)]
+    schema = T.StructType([f for f in schema if f.name not in void])  # Parquet stores no untyped column; its type comes with the first value
+    fresh = conformed(new, schema)
+    old = conformed(held, schema) if held is not None else fresh.limit(0)
+    merged = merge_rows(old, fresh, keys)
+    staged = f"{path}.staging-{uuid.uuid4().hex[:12]}"
+    merged.write.partitionBy(part).parquet(staged)
+    typed = T.StructType([f for f in merged.schema if f.name != part] + [T.StructField(part, T.StringType())])
+    ready = spark.read.schema(typed).parquet(staged)
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(part).parquet(path)
+    remove(spark, staged)
+    return spark.read.schema(typed).parquet(path).filter(F.col(part).isin(touched)).groupBy(part).agg(F.count("*").alias("partition_rows"))
+
+
 def land(new: DataFrame, path: str, keys: list[str], time: str) -> DataFrame:
     """Upsert into a table partitioned by day; only touched days are read and rewritten. Returns rows by day.
 
+    The table keeps every column it ever had: one that the new rows lack stays in the rows they do not replace, a new one is null in the
+    old rows, and one that came without a type takes it from the other side. Types that contradict are refused before anything is written.
     Rows without a time have no day and are refused (`valid_positions` tells them apart). Writers stage under names of their
     own, but two that touch one day must not run at once: the later one would not see the earlier one's rows.
     """
-    spark = new.sparkSession
     missing = [c for c in ENVELOPE[:5] if c not in new.columns]
     if missing:
         raise ValueError(f"rows without envelope: {missing}")
-    if not new.filter(F.col(time).isNull()).isEmpty():
-        raise ValueError(f"rows without {time}")
-    new = new.withColumn("day", F.date_format(time, "yyyy-MM-dd"))
-    days = [r.day for r in new.select("day").distinct().collect()]
-    old = read_table(spark, path, new.schema).filter(F.col("day").isin(days))
-    merged = merge_rows(old, new, keys)
-    staged = f"{path}.staging-{uuid.uuid4().hex[:12]}"
-    merged.write.partitionBy("day").parquet(staged)
-    ready = spark.read.schema(merged.schema).parquet(staged)
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day").parquet(path)
-    remove(spark, staged)
-    return spark.read.schema(merged.schema).parquet(path).filter(F.col("day").isin(days)).groupBy("day").agg(F.count("*").alias("partition_rows"))
+    return _upsert(new, path, keys, time, "day", "yyyy-MM-dd")
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -110,20 +166,8 @@ def receipts(rows: DataFrame) -> DataFrame:
 
 
 def land_hourly(new: DataFrame, path: str, key: Column, time: str = "ts") -> DataFrame:
-    """Upsert into a table partitioned by hour, by a key column: for positions `position_key()`, for detections their id."""
-    keyed = new.withColumn("_key", key).withColumn("hour", F.date_format(time, "yyyy-MM-dd'T'HH"))
-    if not keyed.filter(F.col(time).isNull()).isEmpty():
-        raise ValueError(f"rows without {time}")
-    spark = new.sparkSession
-    hours = [r.hour for r in keyed.select("hour").distinct().collect()]
-    old = read_table(spark, path, keyed.schema).filter(F.col("hour").isin(hours))
-    merged = merge_rows(old, keyed, ["_key"])
-    staged = f"{path}.staging-{uuid.uuid4().hex[:12]}"
-    merged.write.partitionBy("hour").parquet(staged)
-    ready = spark.read.schema(merged.schema).parquet(staged)
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("hour").parquet(path)
-    remove(spark, staged)
-    return spark.read.schema(merged.schema).parquet(path).filter(F.col("hour").isin(hours)).groupBy("hour").agg(F.count("*").alias("partition_rows"))
+    """Upsert as `land` into a table partitioned by hour, by a key column: for positions `position_key()`, for detections their id."""
+    return _upsert(new.withColumn("_key", key), path, ["_key"], time, "hour", "yyyy-MM-dd'T'HH")
 
 
 def land_raw(spark: SparkSession, folder: str, name: str, content: bytes) -> str:
