@@ -97,3 +97,17 @@ def test_long_payloads_are_checked_but_not_handed_on(monkeypatch):
         found = list(warc.salvage(io.BytesIO(pack(good) + pack(bad) + pack(good)), largest=1000))
         assert [f and (f["payload"], f["size"], f["digest"]) for f, *_ in found] == [(None, 5000, warc.base32_sha1(body)), None, (None, 5000, warc.base32_sha1(body))]
     assert [g for *_, g in warc.salvage(io.BytesIO(good), header=50)] == ["no header"]
+
+
+def test_a_page_with_a_very_long_url_comes_back(spark):
+    url = "http://a/" + "x" * (2 << 20)
+    pages = spark.createDataFrame([(1, url, "<p>one</p>"), (2, "http://b", "<p>two</p>"), (3, url + "y", "<p>one</p>")], "page_id long, url string, html string")
+    manifest = warc.write(warc.planned(pages), warc.archive_folder(spark))
+    got = {r.record_id: r for r in warc.read(manifest).collect()}
+    assert set(got) == {"1", "2", "3"} and got["1"].uri == url and got["3"].uri == url + "y" and got["3"].refers_to == "1"
+    assert all(r.gap is None for r in got.values())
+
+
+def test_names_of_file_systems(tmp_path):
+    assert warc.located(f"file://{tmp_path}/a")[1] == f"{tmp_path}/a"
+    assert "S3" in type(warc.located("s3a://bucket/a?region=us-east-1")[0]).__name__ and warc.located("s3a://bucket/a?region=us-east-1")[1] == "bucket/a"

@@ -15,7 +15,7 @@ Defined cases: a null html is an empty payload, and equals other empty ones; pag
 id are written without one and read back as null: they revisit the smallest id that has their payload, and
 are responses where none has; a null url is an empty field; rows that repeat an id and payload are responses
 both; a payload of more than `largest` bytes is checked as any other and its size and digest are given, but
-not its bytes; a header of more than `header` bytes is a failed check; an empty table writes no
+not its bytes; a header of more than `header` bytes, and longer than any that was written, is a failed check; an empty table writes no
 archive and gives no rows; further columns are dropped.
 """
 
@@ -40,8 +40,10 @@ CHUNK = 1 << 20
 PIECE = 1 << 14
 #: Bytes of the largest payload that is handed on (a column's value holds at most 2 GB); longer ones are checked only.
 LARGEST = 1 << 30
-#: Bytes of the longest header.
+#: Bytes of the longest header that is expected of archives of unknown origin; those of `write` come with the length of their longest one.
 HEADER = 1 << 20
+#: Schemes of Hadoop's file systems under the names that Arrow knows (fixed values).
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasbs": "abfss"}
 MARKS = (b"\x1f\x8b\x08", b"WARC/1.")
 RECORD = "record_type string, record_id string, uri string, refers_to string, payload binary, payload_digest string, payload_bytes long, archive string, start long, end long, gap string"
 
@@ -50,6 +52,12 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def located(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI, whichever of the usual schemes names it."""
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme.lower(), scheme)}{mark}{rest}")
+
+
 def urn(page_id: str | None) -> str:
     return "<urn:page>" if page_id is None else f"<urn:page:{page_id}>"
 
@@ -210,42 +218,47 @@ def planned(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     payload = F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     groups = (
-        base.filter(F.octet_length("payload") >= least_bytes).select("page_id", F.sha1("payload").alias("sha"))
-        .groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count_if(F.col("page_id").isNull()).alias("nameless"))
-        .filter("first < last or (first is not null and nameless > 0)").select("sha", "first")
+        base.filter(F.octet_length("payload") >= least_bytes).select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size"))
+        .groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count_if(F.col("page_id").isNull()).alias("nameless"))
+        .filter("first < last or (first is not null and nameless > 0)").select("sha", "size", "first")
     )
     groups = materialize(groups, "payloads")
     long = F.octet_length("payload") >= least_bytes
-    joined = base.withColumn("sha", F.sha1("payload")).join(groups, "sha", "left")
+    joined = base.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload")).join(groups, ["sha", "size"], "left")
     return joined.select("page_id", "url", "payload", F.when(long & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 def write(plan: DataFrame, folder: str) -> DataFrame:
-    """Write one archive a task; the manifest (archive, n_records) of what finished tasks wrote."""
+    """Write one archive a task; the manifest (archive, n_records, longest_header) of what finished tasks wrote."""
 
     def run(batches):
-        name, out, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0
+        name, out, n, longest = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0, 0
         for batch in batches:
             for page, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    system, path = fs.FileSystem.from_uri(name)
+                    system, path = located(name)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(path, compression=None)
                 digest, kind = base32_sha1(payload), "response" if first is None else "revisit"
-                out.write(member(record(kind, None if page is None else str(page), "".join((url or "").split()), payload if first is None else b"", digest, len(payload), None if first is None else str(first))))
-                n += 1
+                held = payload if first is None else b""
+                data = record(kind, None if page is None else str(page), "".join((url or "").split()), held, digest, len(payload), None if first is None else str(first))
+                out.write(member(data))
+                n, longest = n + 1, max(longest, len(data) - len(held))
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["archive", "n_records"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([longest], pa.int64())], ["archive", "n_records", "longest_header"])
 
-    return materialize(plan.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive string, n_records long"), "manifest")
+    return materialize(plan.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive string, n_records long, longest_header long"), "manifest")
 
 
 def read(archives: DataFrame, with_payload: bool = True, batch_rows: int = 256, largest: int = LARGEST, header: int = HEADER) -> DataFrame:
-    """Records and gaps of the archives (column `archive`: URIs), as RECORD columns; gap holds the reason for a gap's rows."""
+    """Records and gaps of the archives (column `archive`: URIs), as RECORD columns; gap holds the reason for a gap's rows.
+
+    Where the archives come with a column longest_header, as in a manifest of `write`, headers of that length are read as well.
+    """
 
-    def rows(name: str) -> Iterator[tuple]:
-        system, path = fs.FileSystem.from_uri(name)
+    def rows(name: str, header: int) -> Iterator[tuple]:
+        system, path = located(name)
         with system.open_input_file(path) as stream:
             for f, start, end, gap in salvage(stream, largest if with_payload else -1, header):
                 if f is None:
@@ -261,8 +274,8 @@ def read(archives: DataFrame, with_payload: bool = True, batch_rows: int = 256,
         held = []
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                for row in rows(name):
+            for name, most in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for row in rows(name, most):
                     held.append(row)
                     if len(held) == batch_rows:
                         yield pack()
@@ -270,7 +283,8 @@ def read(archives: DataFrame, with_payload: bool = True, batch_rows: int = 256,
         if held:
             yield pack()
 
-    files = archives.select("archive")
+    longest = F.greatest(F.lit(header), F.coalesce("longest_header", F.lit(0))) if "longest_header" in archives.columns else F.lit(header)
+    files = archives.select("archive", longest.cast("long").alias("most"))
     return files.repartition(max(1, files.count()), "archive").mapInArrow(run, RECORD)
 
 
