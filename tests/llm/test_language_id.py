@@ -102,3 +102,40 @@ def test_letters_beyond_the_basic_plane_have_codes_of_their_own():
     keys, _ = li.grams([chr(0x10330) + "a"])
     high = int(keys[0]) & 0xFFFF
     assert 0xD800 <= high < 0xF900 and int(keys[1]) == high << 16 | ord("a")
+
+
+def test_limits_follow_one_rule_at_any_number_of_documents():
+    rng = np.random.default_rng(0)
+    counts = {x: (np.arange(1, 5, dtype=np.uint64), np.ones(4, int)) for x in ("a", "b", "c")}
+
+    def limits(held):
+        model = li.Model.of(["a", "b", "c"], counts)
+        h = np.concatenate([1.5 + rng_a[:held], 1.8 + rng_b])
+        model.calibrate(np.r_[np.zeros(held, int), np.ones(len(rng_b), int)], np.full(len(h), 1000), h)
+        return model.limits
+
+    rng_a, rng_b = rng.normal(0, 0.05, 400), rng.normal(0, 0.05, 400)
+    found = [limits(n) for n in (0, 1, 29, 30, 31, 400)]
+    assert all(1.5 < f[0] < 2.2 and 1.8 < f[1] < 2.3 for f in found)
+    assert abs(found[2][0] - found[3][0]) < 0.01 and abs(found[3][0] - found[4][0]) < 0.01  # no jump at any size
+    assert all(1.6 < f[2] < 2.3 for f in found)  # without own documents: as the others
+    blind = li.Model.of(["a"], counts)
+    blind.calibrate(np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    assert blind.limits[0] == np.log(blind.models[0].symbols)
+
+
+def test_without_a_common_table_the_values_are_the_same(monkeypatch):
+    texts = ["the cat and the dog", "der hund und die katze", "zzz", None]
+    counts = {x: np.unique(li.grams([t])[0], return_counts=True) for x, t in (("en", texts[0]), ("de", texts[1]))}
+    with_table = li.Model.of(["de", "en"], counts).cross_entropies(texts)
+    monkeypatch.setattr(li, "TABLE_CELLS", 1)
+    alone = li.Model.of(["de", "en"], counts)
+    assert alone.logs.shape[0] == 0
+    assert all(np.allclose(a, b) for a, b in zip(with_table, alone.cross_entropies(texts), strict=True))
+
+
+def test_columns_of_the_user_stay_under_a_prefix(spark):
+    docs = spark.createDataFrame([(1, "the cat", 0.5, "mine")], "doc_id long, text string, score double, lang_pred string")
+    model = li.fit(spark.createDataFrame([(i, "the cat and the dog " * 9, "en") for i in range(20)], "doc_id long, text string, lang string"))
+    (row,) = li.identify(docs, model, prefix="_").collect()
+    assert (row.score, row.lang_pred, row["_lang_pred"]) == (0.5, "mine", "en")

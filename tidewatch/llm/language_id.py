@@ -3,8 +3,9 @@
 One model of 4-grams for each language, its tables being sorted arrays of hashes;
 a document gets the language of the lowest cross-entropy a character. It is
 rejected if even that is worse than a calibrated limit: a high quantile of held-back labelled documents, with a
-margin, and more for short texts, whose cross-entropy spreads more; where a language has too few held-back
-documents, the entropy of guessing characters blindly.
+margin, and more for short texts, whose cross-entropy spreads more. The fewer held-back documents a language has, the more
+its limit follows the spread of all languages' documents around their means (POOLED documents weigh as much as the own
+ones); with none at all it is the entropy of guessing characters blindly.
 
 The classifier is fitted on at most FIT_ROWS whole labelled documents of each
 language and FIT_CHARS characters of them, those with the least hashes of id and text (copies of a row teach once);
@@ -14,7 +15,8 @@ Letters are their code points; those beyond U+FFFF share 8,448 codes that no let
 
 Defined cases: null texts and texts without a letter are `und`, with score 0, and
 rejected; with nothing to learn from every document is `und`; rows with a null
-label teach nothing; an empty table gives no rows; further columns are dropped.
+label teach nothing; an empty table gives no rows. Further columns are kept; the four added ones replace columns of their names, unless a
+`prefix` names them otherwise.
 """
 
 from __future__ import annotations
@@ -42,9 +44,12 @@ QUANTILE = 0.999
 MARGIN = 0.25
 #: Least addition for a text of n characters, nats times the root of n: a number or a key among few words is no other language.
 SPREAD = 8.0
-#: Held-back documents of LONG characters that a limit needs.
-LEAST_HELD, LONG = 30, 200
+#: Characters from which a text's cross-entropy counts as it is, and how many own documents the spread of all languages weighs.
+LONG, POOLED = 200, 30
+#: More labels than that are no languages.
 MAX_LANGUAGES = 1000
+#: Up to so many grams times languages have their logarithms in one table (8 bytes each); beyond it each language looks up its own arrays. The results are the same.
+TABLE_CELLS = 25_000_000
 UNDETERMINED = "und"
 _letters: list[np.ndarray] = []
 
@@ -155,11 +160,34 @@ class Model:
     def of(languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         models = [KneserNey(*counts[x]) for x in languages]
         keys = np.unique(np.concatenate([counts[x][0] for x in languages])) if languages else np.zeros(0, U64)
+        if len(keys) * len(languages) > TABLE_CELLS:
+            keys = keys[:0]
         known = SortedHashes(keys)
         keys = keys[known.order]
         logs = np.stack([np.log(m.probability(keys)) for m in models], axis=1) if models else np.zeros((0, 0))
         return Model(languages, models, known, logs, np.full(len(languages), np.inf), np.zeros(len(languages)))
 
+    def calibrate(self, best: np.ndarray, n: np.ndarray, h: np.ndarray) -> None:
+        """Sets the limits from held-back documents: best language, characters and nats a character of each.
+
+        One rule for any number of them: the own quantile, drawn towards the own mean plus the common quantile of deviations.
+        """
+        short = SPREAD / np.sqrt(np.minimum(np.maximum(n, 1), LONG)) - SPREAD / np.sqrt(LONG)
+        level = h - short  # what a text of LONG characters would have
+        own = [np.flatnonzero((best == k) & (n >= 20)) for k in range(len(self.models))]
+        means = np.array([level[i].mean() if len(i) else np.nan for i in own])
+        if np.isnan(means).all():
+            self.limits = np.array([np.log(m.symbols) for m in self.models])
+            return
+        apart = np.quantile(np.concatenate([level[i] - means[k] for k, i in enumerate(own)]), QUANTILE)
+        for k, i in enumerate(own):
+            mean = means[k] if len(i) else np.nanmean(means)
+            quantile = np.quantile(level[i], QUANTILE) if len(i) else 0.0
+            self.limits[k] = (len(i) * quantile + POOLED * (mean + apart)) / (len(i) + POOLED) + MARGIN
+            brief = i[n[i] < LONG]
+            over = (h[brief] - self.limits[k]) * np.sqrt(n[brief])
+            self.spreads[k] = max([SPREAD, *([np.quantile(over, QUANTILE)] if len(over) else [])])
+
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(characters a row, nats a character by row and language)."""
         keys, first = grams(texts)
@@ -232,23 +260,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             yield pa.RecordBatch.from_arrays([pa.array(h.argmin(axis=1)), pa.array(n), pa.array(h.min(axis=1))], ["lang", "n", "h"])
 
     t = sample.filter(held_back).select("lang", "text").mapInArrow(measure, "lang long, n long, h double").toArrow()
-    best, n, h = (t[c].to_numpy() for c in ("lang", "n", "h"))
-    for k, m in enumerate(model.models):
-        own, length = h[(best == k) & (n >= 20)], n[(best == k) & (n >= 20)]
-        long = own[length >= LONG]
-        if len(long) < LEAST_HELD:
-            model.limits[k] = max([np.log(m.symbols), *([np.quantile(own, QUANTILE)] if len(own) else [])])
-            continue
-        model.limits[k] = np.quantile(long, QUANTILE) + MARGIN
-        over = ((own - model.limits[k]) * np.sqrt(length))[length < LONG]
-        model.spreads[k] = max([SPREAD, *([np.quantile(over, QUANTILE)] if len(over) else [])])
+    model.calibrate(*(t[c].to_numpy() for c in ("lang", "n", "h")))
     return model
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs' columns with lang_pred, score (posterior at equal priors), cross_entropy (nats a character), rejected."""
+def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
+    """docs' columns with lang_pred, score (posterior at equal priors), cross_entropy (nats a character), rejected; `prefix` stands before their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["lang_pred", "score", "cross_entropy", "rejected"]
+    names = [prefix + c for c in ("lang_pred", "score", "cross_entropy", "rejected")]
 
     def run(batches):
         m: Model = shared.value
