@@ -5,7 +5,8 @@ returns how many words the mix takes of each remaining document.
 
 Every decision holds for a row, named by its id and text: of rows that share an id, only those go that a
 stage rejects, and rows equal in id and text stay or go together. Rows with a null id pass the near-duplicate and
-substring stages untouched and are judged by the others; an empty table gives no rows.
+substring stages untouched and are judged by the others; an empty table gives no rows. Further columns pass through all stages
+but the last unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from tidewatch.llm.common import ROW, materialize, table, without_rows
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that every model rejects go."""
-    model = language_id.fit(docs)
-    return language_id.identify(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    model, prefix = language_id.fit(docs), "_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return language_id.identify(docs, model, prefix=prefix).filter(~F.col(f"{prefix}rejected")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
