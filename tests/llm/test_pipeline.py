@@ -76,3 +76,18 @@ def test_rows_that_share_an_id_are_judged_each_by_itself(spark, tmp_path):
     assert near.columns == df.columns and texts(near) == [r for r in all_of_them if r not in gone]
     clean = stages["decontamination"](spark, df, str(tmp_path))
     assert clean.columns == df.columns and texts(clean) == [r for r in all_of_them if r[1] != bad]
+
+
+def test_columns_of_the_user_pass_unchanged(spark, tmp_path):
+    docs, items = rows(40)
+    names = ["score", "lang_pred", "rejected", "cross_entropy", "_rejected", "kept", "start", "words", "component_id"]
+    full = [(i, t, "en", "s0", len(t), *(f"{c}{i}" for c in names)) for i, t, *_ in docs if t]
+    df = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == df.columns
+        found = now.collect()
+        assert len(found) > 35 and all(r[c] == f"{c}{r.doc_id}" for r in found for c in names)
+        now = spark.createDataFrame(found, df.schema)
