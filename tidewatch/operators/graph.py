@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import geo
+from tidewatch.operators import proximity
 from tidewatch.sources.staging import cut, dropped
 
 #: Half-lives in days by edge type; others do not decay (fixed values).
@@ -104,12 +105,31 @@ def sanctioned_counterparts(meetings: DataFrame, ownership: DataFrame, sanctions
     return hit.filter(F.col("score") >= least).select("subject", "counterpart", "entity", "t", "hops", "path", "score")
 
 
+def valid_at(asked: DataFrame, held: DataFrame, key: str, value: str, bucket_s: float = 30 * 86_400.0) -> DataFrame:
+    """Distinct asked (key, t) with the value that held then: of the intervals that contain t the latest observed; null without any.
+
+    held: key, t_start, t_end (exclusive, null if open), observed_at, value. Both sides meet by slot of time, so a key's intervals do not all
+    meet all its times; of equally observed values the greatest stands.
+    """
+    ask = asked.select(key, "t").distinct()
+    last = ask.agg(F.max("t")).first()[0]
+    end = F.least(F.coalesce("t_end", F.lit(last)), F.lit(last))
+    spans = held.select(key, F.col("t_start").alias("r_start"), end.alias("r_end"), F.col("t_end").alias("_until"), "observed_at", value).filter("r_start <= r_end")
+    points = ask.withColumn("t_start", F.col("t")).withColumn("t_end", F.col("t"))
+    met = proximity.overlaps(points, spans, key, bucket_s).filter("_until is null or t < _until")
+    best = met.groupBy(key, "t").agg(F.max(F.struct("observed_at", value)).alias("b")).select(key, "t", F.col(f"b.{value}").alias(value))
+    return ask.join(best, [key, "t"], "left")
+
+
 def identity_at(keys: DataFrame, identified: DataFrame) -> DataFrame:
     """keys (mmsi, t) with the hull that the identity stood for then: latest observed of the valid; else a provisional one."""
-    valid = keys.join(identified.select("mmsi", "hull", "t_start", "t_end", "observed_at"), "mmsi", "left")
-    inside = (F.col("t_start") <= F.col("t")) & (F.col("t_end").isNull() | (F.col("t") < F.col("t_end")))
-    best = valid.groupBy("mmsi", "t").agg(F.max(F.when(inside, F.struct("observed_at", "hull"))).alias("b"))
-    return best.select("mmsi", "t", F.coalesce(F.col("b.hull"), F.concat(F.lit("vessel:mmsi:"), F.col("mmsi"))).alias("hull"), F.col("b").isNull().alias("provisional"))
+    best = valid_at(keys, identified, "mmsi", "hull")
+    return best.select("mmsi", "t", F.coalesce("hull", F.concat(F.lit("vessel:mmsi:"), F.col("mmsi"))).alias("hull"), F.col("hull").isNull().alias("provisional"))
+
+
+def mmsi_at(keys: DataFrame, identified: DataFrame) -> DataFrame:
+    """keys (hull, t) with the identity that the hull used then: latest observed of the valid; null if none is known."""
+    return valid_at(keys, identified, "hull", "mmsi")
 
 
 def pending(events: DataFrame, processed: DataFrame) -> DataFrame:

@@ -246,7 +246,7 @@ def majority_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b as (select *, row_number() over (partition by key order by n desc, first_row) as k from r) select key, n, first_row, is_tail from b where k = 1""")
 def longest_slow_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest run of each key, the first of equals."""
-    return sequences.longest_run(positions(spark, sf_dir), "key", ["t", "point_id"], F.col("sog") < 12)
+    return sequences.longest_run(positions(spark, sf_dir), "key", ["t", "point_id"], F.col("sog") < 12).select("key", "n", "first_row", "is_tail")
 
 
 @query(f"""{WITH}, s as (select key, t as t_start, t + 40000 + point_id % 7 * 5000 as t_end from pos where kind in ('view', 'error')),

@@ -241,11 +241,11 @@ def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{WITH}, l as (select key, arg_max(lat, t) as lat, arg_max(lon, t) as lon, max(ts) as ts from pos group by key) select c_custkey as subject, coalesce(c_name, 'vessel ' || c_custkey) as name, round(lat, 6) as lat, round(lon, 6) as lon, ts, c_custkey % 4 = 0 as synthetic
-    from customer left join l on c_custkey = key where c_custkey <= 300""")
+    from customer left join l on c_custkey = key""")
 def subject_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q4: name, last position and origin of subjects."""
     last = sequences.latest(positions(spark, sf_dir), ["key"], F.desc("t"), F.desc("point_id")).select(F.col("key").alias("subject"), r6("lat").alias("lat"), r6("lon").alias("lon"), "ts")
-    c = table(spark, sf_dir, "customer").filter("c_custkey <= 300").select(F.col("c_custkey").alias("subject"), F.coalesce("c_name", F.concat(F.lit("vessel "), "c_custkey")).alias("name"), (F.col("c_custkey") % 4 == 0).alias("synthetic"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"), F.coalesce("c_name", F.concat(F.lit("vessel "), "c_custkey")).alias("name"), (F.col("c_custkey") % 4 == 0).alias("synthetic"))
     return c.join(last, "subject", "left").select("subject", "name", "lat", "lon", "ts", "synthetic")
 
 
@@ -377,14 +377,14 @@ def hull_of_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.identity_at(k, i)
 
 
-@query(f"""with {_IDENT}, h as (select distinct hull, k.t from i, (select distinct t from k where t < 830000000) k), b as (select h.hull, h.t, arg_max(mmsi, (observed_at, mmsi)) as mmsi from h join i on h.hull = i.hull and t_start <= h.t and (t_end is null or h.t < t_end) group by h.hull, h.t)
-    select hull, t, mmsi from b""")
+@query(f"""with {_IDENT}, h as (select distinct 'hull' || (event_id % 97) as hull, 820454400.0::double + event_id * 10000 as t from events),
+    b as (select h.hull, h.t, arg_max(mmsi, (observed_at, mmsi)) as mmsi from h join i on h.hull = i.hull and t_start <= h.t and (t_end is null or h.t < t_end) group by h.hull, h.t)
+    select h.hull, h.t, mmsi from h left join b on h.hull = b.hull and h.t = b.t""")
 def identity_of_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity that a hull used at a time, the latest observed of the valid."""
-    i, k = _identified(spark, sf_dir)
-    times = k.filter("t < 830000000").select("t").distinct()
-    valid = i.join(times, (F.col("t_start") <= F.col("t")) & (F.col("t_end").isNull() | (F.col("t") < F.col("t_end"))))
-    return valid.groupBy("hull", "t").agg(F.max(F.struct("observed_at", "mmsi")).alias("b")).select("hull", "t", F.col("b.mmsi").alias("mmsi"))
+    i, _ = _identified(spark, sf_dir)
+    asked = table(spark, sf_dir, "events").select(F.concat(F.lit("hull"), F.col("event_id") % 97).alias("hull"), (F.lit(820454400.0) + F.col("event_id") * 10000).alias("t"))
+    return graph.mmsi_at(asked, i)
 
 
 @query(f"""{WITH}, e as (select point_id, key, t as a, t + 20000 as b, lat, lon from pos where kind = 'purchase'), s as (select key, t, lat, lon from pos where kind = 'error')
@@ -443,14 +443,14 @@ def _sanctions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "entity string, t_start double, t_end double, confidence double")
 
 
-@query(f"""with recursive {_OWNED}, m as (select 's' || l_suppkey as subject, 'c' || (l_orderkey % 1500 + 1) as cp, epoch(l_shipdate) as t, 0.5 + l_linenumber / 10.0 as mc from lineitem where l_linenumber = 1),
+@query(f"""with recursive {_OWNED}, m as (select 's' || l_suppkey as subject, 'c' || (l_orderkey % 1500 + 1) as cp, epoch(l_shipdate) as t, 0.5 + l_linenumber / 10.0 as mc from lineitem),
     h as (select subject, cp, entity, t, hops, least(mc, c, sc) as score from m join walk on start = cp join san on entity = "end" where s0 <= t and (s1 is null or s1 > t))
     select subject, cp as counterpart, entity, t, hops, round(score, 6) as score from h where score >= 0.3 group by all""")
 def sanctioned_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meetings with vessels whose owner was sanctioned at the time, by the weakest link of the chain."""
     from tidewatch.plans.records import _ownership
 
-    m = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(
+    m = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("s"), "l_suppkey").alias("subject"), F.concat(F.lit("c"), F.col("l_orderkey") % 1500 + 1).alias("counterpart"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1e6).alias("t"), (0.5 + F.col("l_linenumber") / 10).alias("confidence")
     )
     found = graph.sanctioned_counterparts(m, _ownership(spark, sf_dir), _sanctions(spark))
@@ -482,23 +482,24 @@ def merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with e as (select l_suppkey as src, l_partkey as dst, l_orderkey * 10 + l_linenumber as seen from lineitem), n as (select src, dst, max(seen) as seen, count(*) as n from e group by src, dst)
-    select src, dst, seen + 1 as observed_at, seen + 1 as t_end, n from n where src % 10 = 0""")
+    select src, dst, seen + 1 as observed_at, seen + 1 as t_end, n from n""")
 def closed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges closed by a further assertion, on top of their latest."""
     li = table(spark, sf_dir, "lineitem")
     e = li.select(F.lit("supplies").alias("edge_type"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit(0).cast("long").alias("t_start"), F.lit(None).cast("long").alias("t_end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("observed_at"))
-    ends = e.filter("src % 10 = 0").groupBy("edge_type", "src", "dst").agg((F.max("observed_at") + 1).alias("observed_at"), F.count("*").alias("n")).withColumn("t_end", F.col("observed_at"))
+    ends = e.groupBy("edge_type", "src", "dst").agg((F.max("observed_at") + 1).alias("observed_at"), F.count("*").alias("n")).withColumn("t_end", F.col("observed_at"))
     all_of_them = e.unionByName(graph.closed(e, ends))
     now = graph.latest_assertions(all_of_them).filter("t_end is not null")
     return now.join(ends.select("src", "dst", "n"), ["src", "dst"]).select("src", "dst", "observed_at", "t_end", "n")
 
 
-@query("""with q as (select distinct user_id || ':' || event_type as k from events where event_id < 4000), f as (select event_id, user_id || ':' || event_type as k, row_number() over (partition by user_id || ':' || event_type order by ts, event_id) as i from events where event_id >= 3000)
+@query("""with q as (select distinct user_id || ':' || event_type || ':' || date_trunc('day', ts)::date as k from events where hour(ts) < 12),
+    f as (select event_id, user_id || ':' || event_type || ':' || date_trunc('day', ts)::date as k, row_number() over (partition by user_id || ':' || event_type || ':' || date_trunc('day', ts)::date order by ts, event_id) as i from events where hour(ts) >= 8)
     select event_id, k as event_key from f where i = 1 and k not in (select k from q)""")
 def event_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events emitted once a key, less those that the queue holds."""
-    e = table(spark, sf_dir, "events").select("event_id", F.concat_ws(":", "user_id", "event_type").alias("event_key"), F.col("ts").alias("at"))
-    return graph.emitted_once(e.filter("event_id < 4000").select("event_key").distinct(), e.filter("event_id >= 3000")).select("event_id", "event_key")
+    """Events emitted once a key and day, less those that the morning's queue holds."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat_ws(":", "user_id", "event_type", F.to_date("ts").cast("string")).alias("event_key"), F.col("ts").alias("at"))
+    return graph.emitted_once(e.filter(F.hour("at") < 12).select("event_key").distinct(), e.filter(F.hour("at") >= 8)).select("event_id", "event_key")
 
 
 @query("""with v as (select 'identified-as' as edge_type, 'vessel:' || c_custkey as src, 'id:name:' || c_name as dst from customer union all select 'flagged-to', 'vessel:' || c_custkey, 'flag:' || n_name from customer join nation on c_nationkey = n_nationkey
