@@ -203,6 +203,29 @@ def test_registries(spark):
     assert (r.mmsi, r.sog, r.cog, r.heading) == (419000001, None, None, None)
 
 
+UN_LIST = """<?xml version="1.0"?><CONSOLIDATED_LIST xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><INDIVIDUALS>
+<INDIVIDUAL><DATAID>1</DATAID><FIRST_NAME> Some </FIRST_NAME><SECOND_NAME>Body</SECOND_NAME><THIRD_NAME/><UN_LIST_TYPE>X</UN_LIST_TYPE><COMMENTS1>owner of a ship</COMMENTS1></INDIVIDUAL></INDIVIDUALS>
+<ENTITIES><ENTITY><DATAID>2</DATAID><FIRST_NAME>M/V Sea Star</FIRST_NAME><REFERENCE_NUMBER>R.2</REFERENCE_NUMBER><LISTED_ON>2018-03-30</LISTED_ON><COMMENTS1>Vessel, IMO number: 9074729.</COMMENTS1>
+<ENTITY_ALIAS><QUALITY>a.k.a.</QUALITY><ALIAS_NAME>Other</ALIAS_NAME></ENTITY_ALIAS></ENTITY><ENTITY><DATAID>3</DATAID></ENTITY></ENTITIES></CONSOLIDATED_LIST>"""
+EU_LIST = """<?xml version="1.0"?><export xmlns="http://eu.example/export"><sanctionEntity logicalId="13" euReferenceNumber="EU.1"><regulation programme="" numberTitle="T 1"/><regulation programme="P2"/>
+<nameAlias wholeName="" firstName="" lastName="x"/><nameAlias wholeName="Ship Ocean Pearl" firstName="n"/><birthdate/><identification number="IMO 9074729"/><identification number="2"/></sanctionEntity>
+<sanctionEntity euReferenceNumber="EU.2"><nameAlias firstName="Only"/><birthdate birthdate="1970-01-01"/><identification number="7"/></sanctionEntity></export>"""
+
+
+def test_three_registries_through_one_table(spark, tmp_path):
+    (tmp_path / "un.xml").write_text(UN_LIST)
+    (tmp_path / "eu.xml").write_text(EU_LIST)
+    un, eu = feeds.un_registry(spark, str(tmp_path / "un.xml")), feeds.eu_registry(spark, str(tmp_path / "eu.xml"))
+    assert sorted((r.data_id, r.name, r.entity_kind, r.reference_number, r.listed_on) for r in un.collect()) == [
+        ("1", "Some Body", "individual", None, None), ("2", "M/V Sea Star", "entity", "R.2", "2018-03-30"), ("3", None, "entity", None, None),
+    ]
+    assert sorted(map(tuple, eu.collect())) == [("13", "Ship Ocean Pearl", "T 1", "IMO 9074729"), ("EU.2", "Only", None, "1970-01-01")]
+    lines = spark.createDataFrame([('36,"OCEAN PEARL","vessel","P",-0-,"VTAB","Tanker",-0-,-0-,"Iran",-0-,"Vessel; IMO 9074729"',)], "line string")
+    got = {(r.registry, r.ent): (r.imo, r.call_sign, r.name) for r in feeds.all_designations(feeds.ofac(lines), un, eu).collect()}
+    assert got[("ofac", "36")][1:] == ("VTAB", "OCEAN PEARL") and got[("un", "2")][2] == "SEA STAR" and ("un", "1") not in got
+    assert {str(got[k][0]) for k in (("ofac", "36"), ("un", "2"), ("eu", "13"))} == {"9074729"} and got[("eu", "EU.2")] == (None, None, None)
+
+
 def test_streams(spark, tmp_path):
     schema = "mmsi long, ts timestamp, key string, kind string, sog double, acquired_at timestamp, ingested_at timestamp, source_id string, source_ref string, pipeline_version string"
 

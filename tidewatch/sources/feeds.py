@@ -6,7 +6,7 @@ used is left out or comes back as rejects, and nothing raises.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, grid, ident
@@ -147,6 +147,60 @@ def designations(rows: DataFrame, registry: str, name: str = "name", text: str =
     return rows.select(F.lit(registry).alias("registry"), F.col(ent).alias("ent"), ident.extract_imo(text).alias("imo"), sign.alias("call_sign"), F.when(vessel, ident.normalise_name(name)).alias("name"))
 
 
+#: Elements and attributes of the two consolidated lists (fixed values).
+UN_FIELDS = ("DATAID", "FIRST_NAME", "SECOND_NAME", "THIRD_NAME", "FOURTH_NAME", "UN_LIST_TYPE", "REFERENCE_NUMBER", "LISTED_ON", "COMMENTS1")
+EU_SCHEMA = (
+    "_logicalId string, _euReferenceNumber string, nameAlias array<struct<_wholeName:string,_firstName:string>>, regulation array<struct<_programme:string,_numberTitle:string>>, "
+    "birthdate array<struct<_birthdate:string>>, identification array<struct<_number:string>>"
+)
+
+
+def _present(text) -> Column:
+    """A text without its outer blanks; null for nothing."""
+    bare = F.trim(text)
+    return F.when(bare != "", bare)
+
+
+def un_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the United Nations' list (XML): data_id, name, entity_kind (individual or entity), list_type, reference_number, listed_on, comments.
+
+    Spark splits the file at its rows, so that one large file is read by many tasks.
+    """
+    rows = None
+    for kind in ("INDIVIDUAL", "ENTITY"):
+        found = spark.read.format("xml").option("rowTag", kind).option("ignoreNamespace", "true").schema(", ".join(f"{f} string" for f in UN_FIELDS)).load(path)
+        found = found.withColumn("entity_kind", F.lit(kind.lower()))
+        rows = found if rows is None else rows.unionByName(found)
+    name = _present(F.concat_ws(" ", *(_present(F.col(f"{n}_NAME")) for n in ("FIRST", "SECOND", "THIRD", "FOURTH"))))
+    plain = {"UN_LIST_TYPE": "list_type", "REFERENCE_NUMBER": "reference_number", "LISTED_ON": "listed_on", "COMMENTS1": "comments"}
+    return rows.select(_present(F.col("DATAID")).alias("data_id"), name.alias("name"), "entity_kind", *(_present(F.col(c)).alias(n) for c, n in plain.items()))
+
+
+def eu_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the European Union's list (XML, namespaces ignored): logical_id, name, programme, identifier.
+
+    Of several aliases, regulations, dates or documents the first that says something counts; a date of birth comes before a document's number.
+    """
+    rows = spark.read.format("xml").option("rowTag", "sanctionEntity").option("ignoreNamespace", "true").schema(EU_SCHEMA).load(path)
+    either = lambda a, b=None: (lambda x: _present(x[a]) if b is None else F.coalesce(_present(x[a]), _present(x[b])))
+    first = lambda listed, pick: F.get(F.filter(F.transform(listed, pick), lambda x: x.isNotNull()), F.lit(0))
+    return rows.select(
+        F.coalesce(_present(F.col("_logicalId")), _present(F.col("_euReferenceNumber"))).alias("logical_id"), first("nameAlias", either("_wholeName", "_firstName")).alias("name"),
+        first("regulation", either("_programme", "_numberTitle")).alias("programme"),
+        F.coalesce(first("birthdate", either("_birthdate")), first("identification", either("_number"))).alias("identifier"),
+    )
+
+
+def all_designations(ofac_rows: DataFrame, un_rows: DataFrame, eu_rows: DataFrame) -> DataFrame:
+    """The three lists as one table for matching; of the United Nations' only entities, since no person is a hull."""
+    un = un_rows.filter("entity_kind = 'entity'")
+    return (
+        designations(ofac_rows, "ofac", call_sign="call_sign")
+        .unionByName(designations(un, "un", text="comments", ent="data_id"))
+        .unionByName(designations(eu_rows, "eu", text="identifier", ent="logical_id"))
+    )
+
+
 def any_imo(text) -> Column:
     """Distinct checksum-valid numbers of seven digits anywhere in a text."""
     return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"(?<![0-9])([0-9]{7})(?![0-9])"), F.lit(1)), ident.imo_valid)))
