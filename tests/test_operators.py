@@ -128,3 +128,33 @@ def test_same_results_at_any_partition_count(spark):
         got = sequences.state_runs(lane(spark, rows).repartition(n), F.col("sog") < 10).collect()
         seen.add(tuple(sorted(map(tuple, got))))
     assert len(seen) == 1
+
+
+def test_scenes_go_forward_only(spark):
+    from tidewatch.operators import catalog
+
+    steps = {
+        "a": "cataloged raw raw cataloged calibrated detected failed", "b": "cataloged failed failed raw failed calibrated", "c": "detected raw", "d": "unknown failed", "e": "unknown",
+    }
+    rows = [(s, x, k, k, f"{s}{k}" if x == "raw" else None) for s, line in steps.items() for k, x in enumerate(line.split())]
+    ledger = spark.createDataFrame(rows, "scene_id string, status string, at int, seq int, uri string")
+    taken = {}
+    for r in sorted(catalog.accepted(ledger).collect(), key=lambda r: r.seq):
+        taken.setdefault(r.scene_id, []).append(r.status)
+    assert taken == {"a": ["cataloged", "raw", "calibrated", "detected"], "b": ["cataloged", "failed", "raw", "failed", "calibrated"], "c": ["detected"], "d": ["failed"]}
+    assert {r.scene_id: (r.status, r.uri) for r in catalog.current(ledger).collect()} == {"a": ("detected", "a1"), "b": ("calibrated", "b3"), "c": ("detected", None), "d": ("failed", None)}
+    twice = catalog.current(ledger.unionByName(ledger.withColumn("seq", F.col("seq") + 100).withColumn("at", F.col("at") + 100)))
+    assert {r.scene_id: r.status for r in twice.collect()} == {"a": "detected", "b": "failed", "c": "detected", "d": "failed"}
+    assert {r.status: r.n for r in catalog.state_counts(catalog.current(ledger)).collect()} == {"detected": 2, "calibrated": 1, "failed": 1}
+
+
+def test_pages_of_a_scene_catalogue(spark):
+    import json as js
+
+    from tidewatch.operators import catalog
+
+    one = {"Id": "1", "Name": "S1", "ContentDate": {"Start": "2024-01-05T01:02:03.000Z"}, "Footprint": "geography'SRID=4326;POLYGON ((1 2, 3 2, 3 4, 1 2))'", "Attributes": [{"Name": "orbitDirection", "Value": "ASC"}, {"Name": "relativeOrbitNumber", "Value": "34"}]}
+    lines = [js.dumps({"value": [one, {"Id": "2", "Name": "S2"}, {"Name": "no id"}]}), js.dumps({"value": [one]}), "broken"]
+    got = {r.scene_id: r for r in catalog.scene_pages(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
+    assert set(got) == {"1", "2"} and got["1"].footprint == "POLYGON ((1 2, 3 2, 3 4, 1 2))" and (got["1"].orbit_direction, got["1"].relative_orbit) == ("ASC", 34)
+    assert got["2"].footprint is None and got["2"].sensed_at is None
