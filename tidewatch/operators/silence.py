@@ -41,9 +41,12 @@ def _few(passes: DataFrame) -> DataFrame:
     return F.broadcast(passes) if passes.count() <= BROADCAST_PASSES else passes
 
 
-def passes_over(intervals: DataFrame, passes: DataFrame, row: str) -> DataFrame:
-    """By row id: n_passes (whole ones inside t_start to t_end), covered_s, and inside (t_start lies in one)."""
-    found = proximity.overlaps(intervals.select(row, "t_start", "t_end", F.lit(1).alias("_k")), _few(passes).select(F.lit(1).alias("_k"), "r_start", "r_end"), "_k")
+def passes_over(intervals: DataFrame, passes: DataFrame, row: str, slot_s: float = 3600.0) -> DataFrame:
+    """By row id: n_passes (whole ones inside t_start to t_end), covered_s, and inside (t_start lies in one).
+
+    Passes belong to no key, so slots of time are all that deals the rows out: short ones for instants, longer ones for long intervals.
+    """
+    found = proximity.overlaps(intervals.select(row, "t_start", "t_end", F.lit(1).alias("_k")), _few(passes).select(F.lit(1).alias("_k"), "r_start", "r_end"), "_k", slot_s)
     whole = (F.col("r_start") >= F.col("t_start")) & (F.col("r_end") <= F.col("t_end"))
     common = F.least("t_end", "r_end") - F.greatest("t_start", "r_start")
     return found.groupBy(row).agg(F.count_if(whole).alias("n_passes"), F.sum(common).alias("covered_s"), F.bool_or(F.col("t_start").between(F.col("r_start"), F.col("r_end"))).alias("inside"))
@@ -76,7 +79,7 @@ def classify_gaps(gaps: DataFrame, rows: DataFrame, passes: DataFrame, spoofs: D
     samples = samples.select("_gap", "i", lerp("t").alias("t_start"), grid.cell(lerp("lat"), lerp("lon"), res).alias("cell"), F.floor(lerp("t") / 3600).alias("hour"))
     samples = samples.withColumn("sample", F.concat_ws("/", "_gap", "i"))
     cover = around(samples.select("cell", "hour").distinct(), rows, res)
-    in_pass = passes_over(samples.withColumn("t_end", F.col("t_start")), passes, "sample").select("sample", "inside")
+    in_pass = passes_over(samples.withColumn("t_end", F.col("t_start")), passes, "sample", 900.0).select("sample", "inside")
     seen = samples.join(cover, ["cell", "hour"]).join(in_pass, "sample", "left")
     now = F.when(F.col("inside"), F.col("p_sat")).otherwise(0.0)
     seen = seen.groupBy("_gap").agg(F.avg("p_ter").alias("mean_ter"), F.avg(1 - (1 - F.col("p_ter")) * (1 - now)).alias("mean_any"), F.avg("sat_area").alias("path_sat"))
