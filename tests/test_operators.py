@@ -58,14 +58,6 @@ def test_association_is_global_with_a_floor(spark):
     assert got["c1"][0] == "t2" and got["c2"][0] == "t1" and got["c3"] == (None, "unmatched") == got["c4"]
 
 
-def test_cfar_finds_blobs_in_clutter():
-    rng = np.random.default_rng(1)
-    image = rng.exponential(1.0, (128, 128)).astype(np.float32)
-    image[60:63, 70:73] += 200
-    found = kernels.cfar(image)
-    assert [(round(r), round(c), n) for r, c, n, _ in found if n >= 9] == [(61, 71, 9)] and len(found) == 1
-
-
 def test_encounter_crosses_a_cell_edge(spark):
     rows = [(k, 300 * i, a, 65.0, 1.0) for i in range(6) for k, a in (("b", 15.0479), ("a", 15.0481))]
     (e,) = proximity.encounters(lane(spark, rows)).collect()
