@@ -122,10 +122,8 @@ def decayed(base, age_days, half_life_days) -> Column:
     return F.when(life.isNull(), _c(base)).otherwise(_c(base) * F.pow(F.lit(0.5), F.greatest(_c(age_days), F.lit(0.0)) / life))
 
 
-def ring_contains(lat, lon, ring: Column) -> Column:
-    """Even-odd test of a point in a ring (array of struct(lat, lon), closed); points on an edge count as inside."""
-    y, x = _c(lat), _c(lon)
-    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+def _held(y: Column, x: Column, edges: Column) -> Column:
+    """Even-odd test against closed lines' edges; points on an edge count as inside."""
 
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -137,3 +135,17 @@ def ring_contains(lat, lon, ring: Column) -> Column:
         return (F.abs(cross) < 1e-12) & y.between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"])) & x.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"]))
 
     return F.exists(edges, on) | (F.size(F.filter(edges, crosses)) % 2 == 1)
+
+
+def _ring_edges(ring: Column) -> Column:
+    return F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def ring_contains(lat, lon, ring: Column) -> Column:
+    """Even-odd test of a point in a ring (array of struct(lat, lon), closed); points on an edge count as inside."""
+    return _held(_c(lat), _c(lon), _ring_edges(ring))
+
+
+def rings_contain(lat, lon, rings: Column) -> Column:
+    """The same over several rings at once: separate parts add, rings within a part are its holes."""
+    return _held(_c(lat), _c(lon), F.flatten(F.transform(rings, _ring_edges)))

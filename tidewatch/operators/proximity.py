@@ -74,10 +74,11 @@ def encounters(grid_points: DataFrame, key: str = "key", step_s: int = 300, radi
 
 
 def in_zones(points: DataFrame, zones: DataFrame, res: int = 5) -> DataFrame:
-    """(point columns, zone_id) for each zone that covers a point. zones: zone_id, ring array<struct<lat, lon>>, kind polygon."""
-    lats, lons = F.col("ring.lat"), F.col("ring.lon")
-    covered = zones.withColumn("cell", F.explode(grid.cover_box(F.array_min(lats), F.array_min(lons), F.array_max(lats), F.array_max(lons), res)))
-    return points.withColumn("cell", grid.cell("lat", "lon", res)).join(covered, "cell").filter(geo.ring_contains("lat", "lon", F.col("ring"))).drop("cell", "ring")
+    """(point columns, zone_id) for each zone that covers a point. zones: zone_id and rings (parts and holes), or one ring of struct(lat, lon)."""
+    shape = zones.drop("ring") if "rings" in zones.columns else zones.withColumn("rings", F.array("ring")).drop("ring")
+    lats, lons = (F.flatten(F.transform("rings", lambda r: r[c])) for c in ("lat", "lon"))
+    covered = shape.withColumn("cell", F.explode(grid.cover_box(F.array_min(lats), F.array_min(lons), F.array_max(lats), F.array_max(lons), res)))
+    return points.withColumn("cell", grid.cell("lat", "lon", res)).join(covered, "cell").filter(geo.rings_contain("lat", "lon", F.col("rings"))).drop("cell", "rings")
 
 
 def overlaps(left: DataFrame, right: DataFrame, key: str, bucket_s: float = 86_400.0) -> DataFrame:

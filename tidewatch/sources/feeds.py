@@ -219,16 +219,21 @@ ZONE_KINDS = {"eez": "eez", "territorial sea": "territorial_sea", "12nm": "terri
 
 
 def zones(lines: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
-    """(zones with ring, kind and cells' box, rejects) from one feature of GeoJSON a line; coordinates must be degrees."""
+    """(zones with kind, rings and the first ring, rejects) from one feature of GeoJSON a line; coordinates must be degrees.
+
+    rings holds all parts of a multipolygon and all holes, for `geo.rings_contain`.
+    """
     f = lines.select(F.from_json(line, GEOJSON).alias("f")).select("f.*")
-    outer = F.get(F.from_json("geometry.coordinates", "array<array<array<double>>>"), F.lit(0))
-    ring = F.transform(outer, lambda p: F.struct(F.get(p, F.lit(1)).alias("lat"), F.get(p, F.lit(0)).alias("lon")))
+    parts = F.when(F.col("geometry.type") == "Polygon", F.from_json("geometry.coordinates", "array<array<array<double>>>"))
+    parts = parts.when(F.col("geometry.type") == "MultiPolygon", F.flatten(F.from_json("geometry.coordinates", "array<array<array<array<double>>>>")))
+    rings = F.transform(parts, lambda r: F.transform(r, lambda p: F.struct(F.get(p, F.lit(1)).alias("lat"), F.get(p, F.lit(0)).alias("lon"))))
     said = F.lower(F.concat_ws(" ", F.map_values("properties")))
     kind = F.coalesce(*(F.when(said.contains(w), k) for w, k in ZONE_KINDS.items()))
-    z = f.select(F.col("properties")["name"].alias("name"), kind.alias("kind"), F.when(F.col("geometry.type") == "Polygon", ring).alias("ring"))
+    z = f.select(F.col("properties")["name"].alias("name"), kind.alias("kind"), F.get(rings, F.lit(0)).alias("ring"), rings.alias("rings"))
     z = z.withColumn("zone_id", ident.short_id("zone", "name", "kind"))
-    metres = F.exists("ring", lambda p: (F.abs(p["lat"]) > 90) | (F.abs(p["lon"]) > 180))
-    reason = F.when(F.col("ring").isNull() | (F.size("ring") < 4), "no polygon").when(metres, "not in degrees").when(F.col("kind").isNull(), "unknown kind")
+    metres = F.exists(F.flatten("rings"), lambda p: (F.abs(p["lat"]) > 90) | (F.abs(p["lon"]) > 180))
+    broken = F.exists("rings", lambda r: r.isNull() | (F.size(r) < 4) | F.exists(r, lambda p: p["lat"].isNull() | p["lon"].isNull()))
+    reason = F.when(F.col("ring").isNull() | broken, "no polygon").when(metres, "not in degrees").when(F.col("kind").isNull(), "unknown kind")
     z = z.withColumn("reject_reason", reason)
     return z.filter("reject_reason is null").drop("reject_reason"), z.filter("reject_reason is not null")
 
