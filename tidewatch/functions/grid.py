@@ -40,6 +40,11 @@ def cell_sql(lat: str, lon: str, res: int) -> str:
     return f"shiftleft({res}L, {_SHIFT}) | shiftleft(bigint(floor(({lat} + 90) / {e}D)), {_ROW}) | bigint(floor(({lon} + 180) / {e}D))"
 
 
+def corner(row: Column, col: Column, direction: Column) -> Column:
+    """Id of one of four directions from a corner of cells, in order of row and column."""
+    return F.shiftleft(row.cast("long"), 33).bitwiseOR(F.shiftleft(col.cast("long"), 2)).bitwiseOR(direction.cast("long"))
+
+
 def row_of(c) -> Column:
     return F.shiftright(_c(c), _ROW).bitwiseAND(F.lit((1 << _ROW) - 1))
 

@@ -43,7 +43,7 @@ def runs(edges: DataFrame, shape: str = "shape") -> DataFrame:
         shape, F.when(F.col("level"), F.col("line")).otherwise(first).alias("y"), F.when(F.col("level"), first).otherwise(F.col("line")).alias("x"),
         F.when(F.col("level"), F.col("line")).otherwise(last).alias("y_end"), F.when(F.col("level"), last).otherwise(F.col("line")).alias("x_end"), "direction",
     )
-    return placed.withColumn("id", F.shiftleft("y", 33).bitwiseOR(F.shiftleft("x", 2)).bitwiseOR(F.col("direction").cast("long")))
+    return placed.withColumn("id", grid.corner(F.col("y"), F.col("x"), F.col("direction")))
 
 
 def rings(cells: DataFrame, shape: str = "shape") -> DataFrame:
