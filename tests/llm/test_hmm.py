@@ -146,3 +146,51 @@ def test_scores_against_a_plain_model(spark):
         for s in symbols[1:]:
             a = (a @ model.move) * model.emit[s]
         assert math.isclose(got[i], math.log10(a.sum()) + within, rel_tol=2e-4, abs_tol=1e-4)
+
+
+def test_long_texts_train_as_whole_ones(spark):
+    rng = np.random.default_rng(6)
+    true = small_model(n=12, states=3, seed=2)
+    texts = []
+    for n in (600, 256, 257, 2000, 5, 1):
+        state, text = rng.choice(3, p=true.start), []
+        for _ in range(n):
+            text.append(rng.choice(12, p=true.emit[:, state]))
+            state = rng.choice(3, p=true.move[state])
+        texts.append(np.array(text, np.uint16))
+    model, prior = small_model(n=12, states=3, seed=3), np.full(12, 0.01)
+    model.move = model.move * 0.2 + np.eye(3) * 0.8
+    got = hmm.baum_welch(spark.createDataFrame([(t.tobytes(),) for t in texts], "symbols binary"), model, prior)
+    # The plain recursion over whole texts, scaled at each step so that no probability vanishes.
+    k, start, move, emit = 3, np.full(3, 0.1), np.full((3, 3), 0.1), np.repeat(prior[:, None], 3, axis=1)
+    for seq in texts:
+        a, scale, b = [], [], [np.ones(k)]
+        for t, s in enumerate(seq):
+            x = (model.start if t == 0 else a[-1] @ model.move) * model.emit[s]
+            scale.append(x.sum())
+            a.append(x / x.sum())
+        for t in range(len(seq) - 1, 0, -1):
+            b.append(model.move @ (model.emit[seq[t]] * b[-1]) / scale[t])
+        b.reverse()
+        start += a[0] * b[0]
+        for t, s in enumerate(seq):
+            emit[s] += a[t] * b[t]
+            if t:
+                move += a[t - 1][:, None] * model.move * (model.emit[s] * b[t])[None, :] / scale[t]
+    assert np.allclose(got.start, start / start.sum(), atol=1e-5)
+    assert np.allclose(got.move, move / move.sum(axis=1, keepdims=True), atol=1e-5)
+    assert np.allclose(got.emit, emit / emit.sum(axis=0), atol=1e-5)
+
+
+def test_long_texts_are_scored_in_double_precision(spark):
+    model = small_model(n=12, states=3, seed=4)
+    text = np.random.default_rng(1).integers(0, 12, 50_000).astype(np.uint16)
+    row = (text.tobytes(), 1, False, 0, len(text), 0, 0.0, 0.0)
+    schema = "symbols binary, doc_id long, held_out boolean, rid long, n_tokens long, known long, base double, within double"
+    (got,) = hmm.likelihoods(spark.createDataFrame([row], schema), model).collect()
+    state, log = None, 0.0
+    for t, s in enumerate(text):
+        state = (model.start if t == 0 else state @ model.move) * model.emit[s]
+        log += math.log10(state.sum())
+        state = state / state.sum()
+    assert math.isclose(got.hmm, log, rel_tol=1e-11)

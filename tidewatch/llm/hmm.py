@@ -8,7 +8,8 @@ of transitions and emissions across partitions; only those sums (states x symbol
 fixed size) reach the driver. Scores are exact: the scaled forward recursion over each
 whole document, and a join of its rarer tokens with the count table.
 
-For training, documents are cut into pieces of PIECE tokens; all pieces are used.
+For training, documents are cut into pieces of PIECE tokens, each read with CONTEXT tokens before and after it that are not
+counted: every token, and every step to a token, counts once, in its context, and only a document's first token as a start.
 
 Defined cases: null and empty texts are the end token alone; a null id falls into the fold of the empty
 text; repeated rows count and are scored each; with no training text every token is
@@ -32,6 +33,8 @@ ROUNDS = 4
 VOCABULARY = 60_000
 CLASSES = 256
 PIECE = 256
+#: Tokens around a piece from which its states are judged; what lies farther has no weight to speak of.
+CONTEXT = 32
 #: Tokens of a group of sequences that run side by side.
 GROUP = 1 << 18
 ADD = 0.1
@@ -167,17 +170,17 @@ class Hmm:
         move = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1))
         return Hmm(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-    def forward(self, symbols: np.ndarray, lengths: np.ndarray, keep: bool = False):
+    def forward(self, symbols: np.ndarray, lengths: np.ndarray, keep: bool = False, number: type = np.float32):
         """(log probability of each sequence, alphas, scales). symbols: time x sequence, longest sequence first."""
         steps, width = symbols.shape
         logs, state = np.zeros(width), None
-        alphas = np.zeros((steps, width, len(self.start)), np.float32) if keep else None
-        scales = np.ones((steps, width), np.float32) if keep else None
-        emit, move = self.emit.astype(np.float32), self.move.astype(np.float32)
+        alphas = np.zeros((steps, width, len(self.start)), number) if keep else None
+        scales = np.ones((steps, width), number) if keep else None
+        emit, move = self.emit.astype(number), self.move.astype(number)
         live = np.searchsorted(-lengths, -np.arange(steps), "left")
         for t in range(steps):
             k = live[t]
-            state = (self.start.astype(np.float32) if t == 0 else state[:k] @ move) * emit[symbols[t, :k]]
+            state = (self.start.astype(number) if t == 0 else state[:k] @ move) * emit[symbols[t, :k]]
             scale = state.sum(axis=1)
             state /= scale[:, None]
             logs[:k] += np.log(scale)
@@ -185,9 +188,14 @@ class Hmm:
                 alphas[t, :k], scales[t, :k] = state, scale
         return logs, alphas, scales
 
-    def expected(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, transitions, and emissions (symbols x states)."""
+    def expected(self, symbols: np.ndarray, lengths: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts, transitions, and emissions (symbols x states).
+
+        Of each sequence only the tokens from first to before last count, with the steps to them; a start only where it begins a text.
+        """
         steps, width = symbols.shape
+        time = np.arange(steps)[:, None]
+        used = (time >= (0 if first is None else first)) & (time < (lengths if last is None else last))
         _, alphas, scales = self.forward(symbols, lengths, keep=True)
         emit, back = self.emit.astype(np.float32), np.ascontiguousarray(self.move.T.astype(np.float32))
         live = np.searchsorted(-lengths, -np.arange(steps), "left")
@@ -196,14 +204,23 @@ class Hmm:
         for t in range(steps - 2, -1, -1):
             k = live[t + 1]
             ahead = emit[symbols[t + 1, :k]] * beta[:k] / scales[t + 1, :k, None]
-            moves += alphas[t, :k].T @ ahead
+            moves += alphas[t, :k].T @ (ahead * used[t + 1, :k, None])
             alphas[t + 1, :k] *= beta[:k]
             beta[:k] = ahead @ back
         alphas[0] *= beta
-        used = np.arange(steps)[:, None] < lengths[None, :]
         gamma, seen = alphas[used], symbols[used]
         emitted = np.stack([np.bincount(seen, gamma[:, s], len(self.emit)) for s in range(len(self.start))], axis=1)
-        return alphas[0].sum(axis=0), moves * self.move, emitted
+        starts = alphas[0] if begins is None else alphas[0][begins]
+        return starts.sum(axis=0), moves * self.move, emitted
+
+
+def pieces_of(symbols: np.ndarray) -> list[tuple[np.ndarray, int, int, bool]]:
+    """(tokens with their context, first and last that count, whether the text begins here) of each piece of a text."""
+    out = []
+    for at in range(0, len(symbols), PIECE):
+        low, end = max(0, at - CONTEXT), min(len(symbols), at + PIECE)
+        out.append((symbols[low : end + CONTEXT], at - low, end - low, at == 0))
+    return out
 
 
 def groups(sequences: list[np.ndarray], most: int = GROUP):
@@ -233,10 +250,10 @@ def baum_welch(symbols: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
         for batch in batches:
             pieces = []
             for raw in batch.column(0).to_pylist():
-                s = np.frombuffer(raw, kind)
-                pieces += [s[i : i + PIECE] for i in range(0, len(s), PIECE)]
-            for _, matrix, lengths in groups(pieces):
-                a, b, c = m.expected(matrix, lengths)
+                pieces += pieces_of(np.frombuffer(raw, kind))
+            first, last, begins = (np.array([p[i] for p in pieces], t) for i, t in ((1, int), (2, int), (3, bool)))
+            for part, matrix, lengths in groups([p[0] for p in pieces]):
+                a, b, c = m.expected(matrix, lengths, first[part], last[part], begins[part])
                 starts, moves, emitted = starts + a, moves + b, emitted + c
         some = np.flatnonzero(emitted.any(axis=1))
         keys = np.concatenate([[-1], -2 - np.arange(states), some])
@@ -266,7 +283,7 @@ def likelihoods(table: DataFrame, model: Hmm) -> DataFrame:
             sequences = [np.frombuffer(raw, kind) for raw in batch.column(0).to_pylist()]
             logs = np.zeros(len(sequences))
             for places, matrix, lengths in groups(sequences):
-                logs[places] = m.forward(matrix, lengths)[0]
+                logs[places] = m.forward(matrix, lengths, number=np.float64)[0]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(logs / np.log(10))], [*batch.schema.names[1:], "hmm"])
 
     picked = table.select("symbols", "doc_id", "held_out", "rid", "n_tokens", "known", "base", "within")
