@@ -165,13 +165,6 @@ def proximity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("a", "b", F.round("distance_m", 3).alias("d"))
 
 
-@query()
-def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of consecutive close steps on the resampled grid."""
-    g = sequences.resample(positions(spark, sf_dir), step_s=3600)
-    return proximity.encounters(g, step_s=3600, radius_m=40_000, max_sog=20, res=4, least_samples=2)
-
-
 _ZONES = [("box", [(10, 62), (10, 70), (16, 70), (16, 62), (10, 62)]), ("tri", [(18, 64), (24, 64), (18, 76), (18, 64)])]
 
 

@@ -239,16 +239,6 @@ def corpus_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
 
 
-@query("""with f as (select c_custkey as id, c_nationkey % 7 = 0 as a, c_acctbal < 0 as b, c_mktsegment = 'BUILDING' as c from customer), g as (select o_custkey as id, count(*) as n from orders group by 1)
-    select f.id, (400 * a::int + 200 * b::int + 100 * c::int)::bigint as priority, coalesce(n, 0) as events from f left join g on f.id = g.id where a or b or c order by priority desc, events desc, f.id limit 50""")
-def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings by additive weights, then by events."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 7 == 0).alias("a"), (F.col("c_acctbal") < 0).alias("b"), (F.col("c_mktsegment") == "BUILDING").alias("c"))
-    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("events"))
-    score = sum((F.when(F.col(k), w).otherwise(0) for k, w in (("a", 400), ("b", 200), ("c", 100))), F.lit(0)).cast("long")
-    return c.filter("a or b or c").join(n, "id", "left").select("id", score.alias("priority"), F.coalesce("events", F.lit(0)).alias("events")).orderBy(F.desc("priority"), F.desc("events"), "id").limit(50)
-
-
 @query("""select c_custkey as id, 'vessel:' || c_name as label from customer where contains(lower(c_name || ' ' || c_mktsegment), 'building') and c_acctbal >= 1000 order by c_custkey limit 25 offset 10""")
 def vessel_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5, K6: filtered list, one page."""

@@ -19,4 +19,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tidewatch.plans import behaviour, motion, movement, outlines, places, rasters, records, serving, texts  # noqa: E402,F401
+from tidewatch.plans import behaviour, conduct, motion, movement, outlines, places, rasters, records, serving, texts, interest  # noqa: E402,F401

@@ -134,39 +134,6 @@ def station_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("point_id", near.alias("s")).select("point_id", "s.station", F.round("s.km", 3).alias("km"), (F.col("s.km") <= 4.12 * (30.0**0.5 + 15.0**0.5)).alias("in_vhf"))
 
 
-_ZONE = (12.0, 63.0, 20.0, 71.0)
-
-
-@query(f"""{WITH}, f as (select *, sog < 10 as on_, lag(sog < 10) over o as was from pos window o as (partition by key order by t, point_id)), i as (select *, sum(case when was is null or was <> on_ then 1 else 0 end) over (partition by key order by t, point_id rows unbounded preceding) as island from f),
-    r as (select key, min(t) as t0, max(t) - min(t) as s, avg(lat) as lat, avg(lon) as lon from i where on_ group by key, island having max(t) - min(t) >= 5400),
-    z as (select key, t0, s, 1 - greatest(abs(lat - 16) / 4, abs(lon - 67) / 4) as depth from r where lat between 12 and 20 and lon between 63 and 71),
-    c as (select key::varchar as subject, t0, 0.5 + 0.3 * depth + 0.1 * least(s / 3600 / 6, 1.0) as score from z) select subject, round(t0, 3) as t, round(score + 1e-9, 5) as score from c where score >= 0.6""")
-def loitering_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slow runs of ninety minutes inside a sensitive area, weighed by how deep inside and how long."""
-    runs = sequences.state_runs(positions(spark, sf_dir), F.col("sog") < 10, least_s=5400).filter(geo.in_box("lat", "lon", *(_ZONE[0], _ZONE[2], _ZONE[1], _ZONE[3])))
-    depth = 1 - F.greatest(F.abs(F.col("lat") - 16) / 4, F.abs(F.col("lon") - 67) / 4)
-    rows = runs.withColumn("depth", depth).withColumn("hours", F.col("duration_s") / 3600)
-    rows = rows.select(F.lit("loitering_sensitive").alias("rule"), F.col("key").cast("string").alias("subject"), F.col("t_start").alias("t"), detectors.loitering_score("depth", "hours").alias("score"))
-    return detectors.alerts(rows).select("subject", F.round("t", 3).alias("t"), F.round(F.col("score") + 1e-9, 5).alias("score"))
-
-
-_NEAR_PORT = " or ".join(f"{haversine_sql('lat', 'lon', str(a), str(o))} <= 150000" for _, a, o in PORTS)
-
-
-@query(f"""{WITH}, e as (select point_id, key, t, lat, lon, least(1.0, sog / 20) as c from pos where kind = 'purchase' and not ({_NEAR_PORT})), s as (select key, t from pos where kind = 'error'),
-    x as (select e.*, exists (select 1 from s where s.key = e.key and s.t between e.t - 3600 and e.t + 23600) as party, lat between 10 and 16 and lon between 62 and 70 as foot from e),
-    d as (select point_id, least(1.0, 0.35 + 0.35 * c + 0.25 * party::int + 0.1 * foot::int) as score from x) select point_id::varchar as subject, round(score, 6) as score from d where score >= 0.5""")
-def rendezvous_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encounters outside waiting areas, with whether a silent party or an image's footprint adds to them."""
-    p = positions(spark, sf_dir)
-    e = proximity.nearest_place(p.filter("kind = 'purchase'"), ports(spark), 150_000).filter("port is null").withColumn("t_start", F.col("t") - 3600).withColumn("t_end", F.col("t") + 23_600)
-    s = p.filter("kind = 'error'").select("key", F.col("t").alias("r_start"), F.col("t").alias("r_end"))
-    party = proximity.overlaps(e.select("point_id", "key", "t_start", "t_end"), s, "key").select("point_id").distinct().withColumn("party", F.lit(True))
-    e = e.join(party, "point_id", "left").fillna(False, ["party"]).withColumn("c", F.least(F.lit(1.0), F.col("sog") / 20)).withColumn("foot", geo.in_box("lat", "lon", 10, 16, 62, 70))
-    rows = e.select(F.lit("dark_rendezvous").alias("rule"), F.col("point_id").cast("string").alias("subject"), "t", detectors.rendezvous_score("c", "party", "foot").alias("score"))
-    return detectors.alerts(rows).select("subject", r6("score").alias("score"))
-
-
 @query(f"""{WITH}, w as (select *, lag(t) over o as t0, lag(lat) over o as la, lag(lon) over o as lo from pos window o as (partition by key order by t, point_id)), j as (select key, t, {haversine_sql('la', 'lo', 'lat', 'lon')} / 1000 as km, t - t0 as dt from w where t0 is not null),
     s as (select key::varchar as subject, t, case when dt < 3600 then least(1.0, 0.55 + km / 2000) else 0.55 end as score, km from j where km * 1000 / greatest(dt, 1) / 0.514444 > 60) select subject, round(t, 3) as t, round(score, 6) as score from s where score >= 0.55""")
 def spoofing_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,51 +142,3 @@ def spoofing_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.filter(F.col("leg") / F.greatest("dt", F.lit(1.0)) / geo.KNOT > geo.MAX_SPEED_KN).withColumn("event", F.when(F.col("dt") < 3600, "DUPLICATE_MMSI").otherwise("JUMP"))
     rows = d.select(F.lit("ais_spoofing").alias("rule"), F.col("key").cast("string").alias("subject"), "t", detectors.spoofing_score("event", "km").alias("score"))
     return detectors.alerts(rows).select("subject", F.round("t", 3).alias("t"), r6("score").alias("score"))
-
-
-@query(f"""{WITH}, f as (select key as subject, kind, least(0.95, sog / 21) as c, point_id from pos where kind in ('error', 'purchase', 'signup')), o as (select subject, kind, c, row_number() over (partition by subject, kind order by c desc) as i from f),
-    m as (select subject, kind, least(0.99, 1 - exp(sum(ln(1 - c)) filter (where i <= 3))) * case kind when 'error' then 0.5 when 'purchase' then 0.3 else 0.2 end as strength from o group by subject, kind),
-    s as (select subject, 1 - exp(sum(ln(1 - strength))) as score, count(*) as n, arg_max(kind, (strength, kind)) as lead from m group by subject)
-    select subject, round(score, 6) as score, n, lead, case when score < 0.25 then 'below 0.25' when n < 2 then 'one kind of factor' end as suppressed, case when score >= 0.25 and n >= 2 then row_number() over (partition by score >= 0.25 and n >= 2 order by score desc, subject) end as rank from s""")
-def subjects_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Factors of several sources merged by kind, scored by noisy-OR, suppressed with a reason or ranked."""
-    w = F.create_map(*[F.lit(x) for kv in {"error": 0.5, "purchase": 0.3, "signup": 0.2}.items() for x in kv])
-    f = positions(spark, sf_dir).filter("kind in ('error', 'purchase', 'signup')").select(F.col("key").alias("subject"), "kind", F.least(F.lit(0.95), F.col("sog") / 21).alias("c"))
-    m = aggregates.merged_repeats(f, ["subject", "kind"], "c").withColumn("strength", F.col("confidence") * F.element_at(w, F.col("kind")))
-    s = m.groupBy("subject").agg((1 - F.exp(F.sum(F.log1p(-F.col("strength"))))).alias("score"), F.count("*").alias("n"), F.max(F.struct("strength", "kind"))["kind"].alias("lead"))
-    s = s.withColumn("suppressed", F.when(F.col("score") < 0.25, "below 0.25").when(F.col("n") < 2, "one kind of factor"))
-    # Ranks over blocks of scores: a block's place is the number of subjects in higher blocks.
-    s = s.withColumn("_b", F.when(F.col("suppressed").isNull(), F.floor(F.col("score") * 1000)))
-    blocks = s.filter("_b is not null").groupBy("_b").agg(F.count("*").alias("_k")).withColumn("_up", F.coalesce(F.sum("_k").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = s.join(F.broadcast(blocks.select("_b", "_up")), "_b", "left").withColumn("rank", F.when(F.col("_b").isNotNull(), F.col("_up") + F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("score"), "subject"))))
-    return out.select("subject", r6("score").alias("score"), "n", "lead", "suppressed", "rank")
-
-
-_ACTIONS = {"error": ("task imaging", 0.8), "purchase": ("check registry", 0.6), "signup": ("check registry", 0.4), "view": ("watch", 0.3)}
-_ACTIONS_SQL = "act(kind, action, gain) as (values " + ", ".join(f"('{k}', '{a}', {g}::double)" for k, (a, g) in _ACTIONS.items()) + ")"
-
-
-@query(f"""{WITH}, {_ACTIONS_SQL}, l as (select key, arg_max(lat, t) as lat, arg_max(lon, t) as lon from pos group by key), r as (select pos.key as subject, action, max(gain * sog / 20) as value from pos join act on pos.kind = act.kind where sog > 12 group by all)
-    select subject, action, round(value, 6) as value, case when action = 'task imaging' then l.lat between 5 and 20 else true end as feasible from r join l on r.subject = l.key""")
-def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What could be done about each subject's factors, the best value of each action, and whether it is feasible there."""
-    p = positions(spark, sf_dir)
-    kinds = F.create_map(*[x for k, (a, g) in _ACTIONS.items() for x in (F.lit(k), F.struct(F.lit(a).alias("action"), F.lit(g).alias("gain")))])
-    act = p.filter("sog > 12").withColumn("a", F.element_at(kinds, F.col("kind"))).filter("a is not null")
-    best = act.groupBy(F.col("key").alias("subject"), F.col("a.action").alias("action")).agg(F.max(F.col("a.gain") * F.col("sog") / 20).alias("value"))
-    last = sequences.latest(p, ["key"], F.desc("t"), F.desc("point_id")).select(F.col("key").alias("subject"), "lat")
-    return best.join(last, "subject").select("subject", "action", r6("value").alias("value"), F.when(F.col("action") == "task imaging", F.col("lat").between(5, 20)).otherwise(True).alias("feasible"))
-
-
-def _sql_of(name: str, rule: str) -> str:
-    from tidewatch.plans.registry import ORACLES
-
-    return f"select '{rule}' as rule, count(*) as n, round(sum(score), 3) as total from ({ORACLES[name]})"
-
-
-@query(" union all ".join(_sql_of(n, r) for n, r in (("loitering_alerts", "loitering_sensitive"), ("rendezvous_alerts", "dark_rendezvous"), ("spoofing_alerts", "ais_spoofing"))))
-def detector_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of three detectors in one table, by rule."""
-    named = lambda d, rule: d.select(F.lit(rule).alias("rule"), "score")
-    found = named(loitering_alerts(spark, sf_dir), "loitering_sensitive").unionByName(named(rendezvous_alerts(spark, sf_dir), "dark_rendezvous")).unionByName(named(spoofing_alerts(spark, sf_dir), "ais_spoofing"))
-    return found.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"))
