@@ -184,7 +184,7 @@ def steps(scored_: DataFrame, last: DataFrame, stations: DataFrame, most_m: floa
     out = by.join(at, "subject", "left").withColumn("feasible", limit.isNull() | F.coalesce(F.col("_km") <= limit, F.lit(False)))
     out = out.withColumn("priority", F.floor(F.round(base + 40 * F.col("points"), 9)).cast("int") - F.when(F.col("feasible"), 0).otherwise(INFEASIBLE))
     place = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("priority"), "action"))
-    return out.select("subject", "action", "priority", "n_because", "lead", "feasible", place.alias("rank"))
+    return out.select("subject", "action", "priority", "n_because", "lead", "feasible", place.cast("long").alias("rank"))
 
 
 def findings(vessels: DataFrame, matches: DataFrame, gaps: DataFrame, events: DataFrame, looks: DataFrame) -> DataFrame:

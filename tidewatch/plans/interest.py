@@ -136,7 +136,7 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {_MATCHES}, {_GAPS}, {POSITIONS_SQL}, fm as (select mt.*, 'N' || ent % 60 as lname, (ent % 25)::varchar as lflag, 'N' || c_custkey % 70 as name, c_nationkey::varchar as flag from mt left join customer on subject = 'c' || c_custkey where is_finding),
     sg as (select subject, count(distinct registry) > 1 as a, bool_or(tier = 'imo') as b, coalesce(bool_or(lname <> name), false) as c, coalesce(bool_or(lflag <> flag), false) as d from fm group by subject),
-    ga as (select subject, bool_or(assessed) as s, count_if(assessed)::bigint as n_gaps from gp group by subject), ev as (select 'c' || key as subject, count(*) as n_events, count_if(kind = 'view')::bigint as n_looks, min(point_id % 3) filter (where kind = 'view') as best_tier from pos group by key),
+    ga as (select subject, bool_or(assessed) as s, count_if(assessed)::bigint as n_gaps from gp group by subject), ev as (select 'c' || key as subject, count(*) as n_events, count_if(kind = 'view')::bigint as n_looks, min(point_id % 3) filter (where kind = 'view')::bigint as best_tier from pos group by key),
     jn as (select coalesce(sg.subject, ga.subject) as subject, coalesce(s, false) as s, coalesce(a, false) as a, coalesce(b, false) as b, coalesce(c, false) as c, coalesce(d, false) as d, coalesce(n_gaps, 0) as n_gaps from sg full join ga on sg.subject = ga.subject),
     pr as (select subject, 1000 * s::int + 400 * a::int + 200 * b::int + 100 * c::int + 50 * d::int as priority, n_gaps,
         concat_ws(',', case when s then 'intentional_silence' end, case when a then 'multi_registry' end, case when b then 'imo_match' end, case when c then 'name_disagreement' end, case when d then 'flag_disagreement' end) as basis from jn)
