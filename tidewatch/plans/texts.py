@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidewatch.functions import geo, grid, ident
-from tidewatch.operators import aggregates, detectors, proximity, sequences
+from tidewatch.functions import geo, ident
+from tidewatch.operators import detectors, sequences
 from tidewatch.plans.registry import query
 from tidewatch.sources import feeds, landing
-from tidewatch.sources.bindings import PORTS, PORTS_SQL, POSITIONS_SQL, cell_sql, haversine_sql, ports, positions, table
+from tidewatch.sources.bindings import PORTS, PORTS_SQL, POSITIONS_SQL, cell_sql, haversine_sql, positions, table
 
 r6 = lambda c: F.round(c, 6)
 WITH = f"with {POSITIONS_SQL}"
