@@ -113,6 +113,12 @@ def test_alert_ids_and_thresholds(spark):
     assert spark.range(1).select(detectors.contradictions(F.array(F.lit(0.9), F.lit(0.95), F.lit(0.5)))).first()[0] == 0.97
 
 
+def test_alerts_of_one_second_are_told_apart(spark):
+    rows = spark.createDataFrame([("ais_spoofing", "v", 1.4, 0.6, 1), ("ais_spoofing", "v", 1.4, 0.6, 2), ("ais_spoofing", "v", 0.6, 0.9, 3)], "rule string, subject string, t double, score double, point_id long")
+    out = detectors.alerts(rows, apart=("point_id",)).collect()
+    assert sorted(r.point_id for r in out) == [1, 2, 3] and len({r.alert_id for r in out}) == 3
+
+
 def test_same_results_at_any_partition_count(spark):
     rows = [(str(i % 5), i * 400, 15 + i % 3, 65 + i % 4, i % 20) for i in range(200)]
     seen = set()

@@ -20,15 +20,18 @@ THRESHOLDS = {
 }
 
 
-def alerts(*found: DataFrame) -> DataFrame:
-    """All detectors' rows (rule, subject, t, score, evidence) as alerts above their thresholds, one a rule, subject and second: the highest, then the earliest."""
+def alerts(*found: DataFrame, apart: tuple = ()) -> DataFrame:
+    """All detectors' rows (rule, subject, t, score, evidence) as alerts above their thresholds, one a rule, subject and second: the highest, then the earliest.
+
+    apart: further columns that tell alerts of one second apart; they are part of the id.
+    """
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
     bar = F.create_map(*[F.lit(x) for kv in THRESHOLDS.items() for x in kv])
     kept = rows.filter(F.col("score") >= F.element_at(bar, F.col("rule")))
     named = kept.withColumn("_t", F.bround("t", 0).cast("long"))
-    first = Window.partitionBy("rule", "subject", "_t").orderBy(F.desc("score"), "t")  # the whole key: short ids of different alerts may meet
+    first = Window.partitionBy("rule", "subject", "_t", *apart).orderBy(F.desc("score"), "t")  # the whole key: short ids of different alerts may meet
     best = named.withColumn("_i", F.row_number().over(first)).filter("_i = 1")
-    return best.withColumn("alert_id", ident.short_id("alr", "rule", "subject", "_t")).drop("_t", "_i")
+    return best.withColumn("alert_id", ident.short_id("alr", "rule", "subject", "_t", *apart)).drop("_t", "_i")
 
 
 def spoofing_score(kind, separation_km) -> Column:
