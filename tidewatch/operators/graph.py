@@ -7,7 +7,7 @@ reads take the latest assertion of an edge as of a time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,20 +105,53 @@ def sanctioned_counterparts(meetings: DataFrame, ownership: DataFrame, sanctions
     return hit.filter(F.col("score") >= least).select("subject", "counterpart", "entity", "t", "hops", "path", "score")
 
 
-def valid_at(asked: DataFrame, held: DataFrame, key: str, value: str, bucket_s: float = 30 * 86_400.0) -> DataFrame:
+#: Slots of time by level: each is as long as this many of the level below.
+RADIX = 4
+
+
+def _slots_within(lo: Column, hi: Column, levels: int) -> Column:
+    """Array of (level, node): the fewest slots that together are the finest slots from lo up to, not including, hi."""
+    start = lambda k: F.floor((lo + RADIX**k - 1) / RADIX**k)
+    end = lambda k: F.floor(hi / RADIX**k)
+    run = lambda k, a, z: F.when(z > a, F.transform(F.sequence(a, z - 1), lambda x: F.struct(F.lit(k).alias("level"), x.alias("node")))).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
+    out = []
+    for k in range(levels):
+        a, z = start(k), end(k)
+        if k == levels - 1:
+            out.append(run(k, a, z))
+            continue
+        above = start(k + 1) < end(k + 1)
+        out += [run(k, a, F.when(above, RADIX * start(k + 1)).otherwise(z)), run(k, F.when(above, RADIX * end(k + 1)).otherwise(z), z)]
+    return F.concat(*out)
+
+
+def valid_at(asked: DataFrame, held: DataFrame, key: str, value: str) -> DataFrame:
     """Distinct asked (key, t) with the value that held then: of the intervals that contain t the latest observed; null without any.
 
-    held: key, t_start, t_end (exclusive, null if open), observed_at, value. Both sides meet by slot of time, so a key's intervals do not all
-    meet all its times; of equally observed values the greatest stands.
+    held: key, t_start, t_end (exclusive, null if open), observed_at, value; of equally observed values the greatest stands. An interval is cut in
+    slots of several lengths, of which it fills a few, and only the best of each slot is kept; a time lies in one slot of each length. Times
+    are tested one by one only against intervals that begin or end in their own finest slot, so long intervals and times do not multiply.
     """
-    ask = asked.select(key, "t").distinct()
-    last = ask.agg(F.max("t")).first()[0]
-    end = F.least(F.coalesce("t_end", F.lit(last)), F.lit(last))
-    spans = held.select(key, F.col("t_start").alias("r_start"), end.alias("r_end"), F.col("t_end").alias("_until"), "observed_at", value).filter("r_start <= r_end")
-    points = ask.withColumn("t_start", F.col("t")).withColumn("t_end", F.col("t"))
-    met = proximity.overlaps(points, spans, key, bucket_s).filter("_until is null or t < _until")
-    best = met.groupBy(key, "t").agg(F.max(F.struct("observed_at", value)).alias("b")).select(key, "t", F.col(f"b.{value}").alias(value))
-    return ask.join(best, [key, "t"], "left")
+    ask = cut(asked.select(key, "t").distinct())
+    n, first, last = ask.agg(F.count("t"), F.min("t"), F.max("t")).first()
+    first, last = float(first or 0.0), float(last or 0.0)
+    width = max(4 * (last - first) / max(n, 1), 1.0)
+    slots = int((last - first) / width) + 2
+    levels = next(k for k in range(1, 64) if RADIX**k >= slots)
+    slot = lambda t: F.floor((F.col(t) - first) / width)
+    live = held.filter((F.col("t_start") <= last) & (F.col("t_end").isNull() | (F.col("t_end") > first)))
+    spans = live.groupBy(key, "t_start", "t_end").agg(F.max(F.struct("observed_at", value)).alias("b"))
+    spans = spans.withColumn("_a", F.when(F.col("t_start") < first, -1).otherwise(slot("t_start"))).withColumn("_z", F.when(F.col("t_end").isNull() | (F.col("t_end") > last), slots).otherwise(slot("t_end")))
+    spans = cut(spans)
+    filled = spans.select(key, F.explode(_slots_within(F.col("_a") + 1, F.col("_z"), levels)).alias("s"), "b").groupBy(key, "s.level", "s.node").agg(F.max("b").alias("b"))
+    places = ask.select(key, slot("t").alias("slot")).distinct().select(key, "slot", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("slot") / RADIX**k).alias("node")) for k in range(levels)))).alias("s"))
+    whole = places.select(key, "slot", "s.level", "s.node").join(filled, [key, "level", "node"]).groupBy(key, "slot").agg(F.max("b").alias("_whole"))
+    edges = spans.select(key, "t_start", "t_end", "b", F.explode(F.array_distinct(F.array("_a", "_z"))).alias("slot"))
+    placed = ask.withColumn("slot", slot("t"))
+    within = placed.join(edges, [key, "slot"]).filter((F.col("t_start") <= F.col("t")) & (F.col("t_end").isNull() | (F.col("t") < F.col("t_end"))))
+    part = within.groupBy(key, "t").agg(F.max("b").alias("_part"))
+    best = placed.join(whole, [key, "slot"], "left").join(part, [key, "t"], "left")
+    return best.select(key, "t", F.greatest("_whole", "_part")[value].alias(value))
 
 
 def identity_at(keys: DataFrame, identified: DataFrame) -> DataFrame:
