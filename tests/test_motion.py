@@ -252,3 +252,20 @@ def test_a_box_and_a_point_in_it_share_one_cell(spark):
     df = df.withColumn("edge", grid.edge_of("level")).withColumn("cells", grid.cover_any("s", "w", "n", "e", "level", "edge"))
     got = df.select(F.size(F.array_intersect("cells", grid.levels("lat", "lon"))).alias("k"), F.size("cells").alias("m")).collect()
     assert all(r.k == 1 and r.m <= 9 for r in got)
+
+
+def test_coverage_counts_each_key_once_and_shuffles_counts(spark):
+    from tidewatch.functions import grid
+    from tidewatch.operators import silence
+
+    at = lambda r, c: (4 << 58) | (r << 29) | c
+    heard = [(at(250, 899), 23, "ter", 1), (at(250, 0), 24, "ter", 1), (at(251, 0), 24, "sat", 2), (at(251, 0), 26, "sat", 3), (at(250, 1), 25, "sat", 1)]
+    rows = spark.createDataFrame(heard, "cell long, hour long, rx string, key long")
+    wanted = spark.createDataFrame([(at(250, 0), 24), (at(250, 0), 29), (at(10, 10), 24)], "cell long, hour long")
+    out = silence.around(wanted, rows)
+    got = {(r.cell, r.hour): (round(r.p_ter, 9), round(r.p_sat, 9), round(r.sat_area, 9)) for r in out.collect()}
+    full = lambda n: 1 - 2.718281828459045**-n
+    assert got == {(at(250, 0), 24): (round(full(2) / 2, 9), round(full(2), 9), round(full(3), 9)), (at(250, 0), 29): (0.0, 0.0, round(full(1), 9)), (at(10, 10), 24): (0.0, 0.0, 0.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(-3, 3" not in plan and "_d#" not in plan  # receipts are not spread over 63 places and hours
+    assert grid.EDGE[4] == 0.4

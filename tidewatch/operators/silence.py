@@ -13,6 +13,8 @@ from tidewatch.operators import detectors, proximity
 BROADCAST_PASSES = 100_000
 #: Area in which a compromised identity spoils a contact, metres (fixed value).
 SPOOF_RADIUS_M = 25_000.0
+#: Hours of the slots in which a key's receipts are counted; fewer than 32.
+SLOT_H = 24
 
 
 def heard(points: DataFrame, key: str = "key", receiver: str = "receiver", res: int = 4) -> DataFrame:
@@ -26,12 +28,31 @@ def around(wanted: DataFrame, rows: DataFrame, res: int = 4) -> DataFrame:
 
     p_ter: share of all keys heard within an hour that a land station heard; p_sat: keys that a satellite
     heard; both saturate with their number. sat_area: satellite receipts of three hours each way.
+
+    A key's receipts of a day are brought together first, so each of its places counts once where it lies; what is then shuffled are counts by
+    place and hour, not every receipt once for all 63 places and hours around it.
     """
-    spread = wanted.select("cell", "hour", F.explode(grid.disk("cell", 1, res)).alias("_c"), F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("_d"))
-    near = spread.join(rows.select(F.col("cell").alias("_c"), F.col("hour").alias("_h"), "rx", "key"), "_c").filter(F.col("_h") == F.col("hour") + F.col("_d"))
-    close = F.abs("_d") <= 1
-    by_key = near.groupBy("cell", "hour", "key").agg(F.bool_or(close & (F.col("rx") == "ter")).alias("ter"), F.bool_or(close & (F.col("rx") == "sat")).alias("sat"), F.count_if(F.col("rx") == "sat").alias("area"))
-    n = by_key.groupBy("cell", "hour").agg(F.count_if("ter").alias("ter"), F.count_if("sat").alias("sat"), F.count_if(F.col("ter") | F.col("sat")).alias("any"), F.sum("area").alias("area"))
+    kind = F.when(F.col("rx") == "ter", 1).when(F.col("rx") == "sat", 2)
+    days = F.array_distinct(F.array(F.floor((F.col("hour") - 1) / SLOT_H), F.floor((F.col("hour") + 1) / SLOT_H)))
+    known = rows.filter(kind.isNotNull())
+    dealt = known.select("key", "cell", "hour", kind.alias("kind"), F.explode(days).alias("_b")).repartition("key", "_b")
+    dealt = dealt.select("key", "_b", "kind", grid.row_of("cell").alias("_y"), grid.col_of("cell").alias("_x"), (F.col("hour") - F.col("_b") * SLOT_H).alias("_h"))
+    wide = F.lit(round(360 / grid.LEVELS[res]))
+    # A place around a receipt as one number: row, column, hour of the slot and kind (0: any); plain arithmetic, which Spark compiles.
+    place = lambda y, x, h, k: F.when(F.col("_h").between(-h, SLOT_H - 1 - h), (((F.col("_y") + y) * 131_072 + F.pmod(F.col("_x") + x, wide)) * 32 + F.col("_h") + h) * 4 + k)
+    places = F.array(*(place(y, x, h, k) for y in (-1, 0, 1) for x in (-1, 0, 1) for h in (-1, 0, 1) for k in (F.lit(0), F.col("kind"))))
+    near = dealt.select("key", "_b", places.alias("_r")).groupBy("key", "_b").agg(F.collect_list("_r").alias("_r"))
+    each = near.select("_b", F.explode(F.array_distinct(F.flatten("_r"))).alias("_x")).filter("_x is not null")
+    of = lambda k: F.count_if(F.col("_x") % 4 == k)
+    counted = each.groupBy("_b", F.floor(F.col("_x") / 4).alias("_p")).agg(of(1).alias("ter"), of(2).alias("sat"), of(0).alias("any"))
+    spot = F.floor(F.col("_p") / 32)
+    keys = counted.select(
+        grid.pack(res, F.floor(spot / 131_072), spot % 131_072).alias("cell"), (F.col("_b") * SLOT_H + F.col("_p") % 32).alias("hour"), "ter", "sat", "any", F.lit(0).cast("long").alias("area")
+    )
+    receipts = known.filter("rx = 'sat'").groupBy("cell", "hour").agg(F.count("*").alias("area"))
+    zero = F.lit(0).cast("long")
+    area = receipts.select(F.explode(grid.disk("cell", 1, res)).alias("cell"), "hour", "area").select("cell", F.explode(F.sequence(F.col("hour") - 3, F.col("hour") + 3)).alias("hour"), zero.alias("ter"), zero.alias("sat"), zero.alias("any"), "area")
+    n = keys.unionByName(area).groupBy("cell", "hour").agg(*(F.sum(c).alias(c) for c in ("ter", "sat", "any", "area")))
     full = lambda c: 1 - F.exp(-F.col(c).cast("double"))
     shares = n.select("cell", "hour", F.when(F.col("any") > 0, F.col("ter") / F.col("any") * full("any")).otherwise(0.0).alias("p_ter"), full("sat").alias("p_sat"), full("area").alias("sat_area"))
     return wanted.join(shares, ["cell", "hour"], "left").fillna(0.0, ["p_ter", "p_sat", "sat_area"])
@@ -52,6 +73,12 @@ def passes_over(intervals: DataFrame, passes: DataFrame, row: str, slot_s: float
     return found.groupBy(row).agg(F.count_if(whole).alias("n_passes"), F.sum(common).alias("covered_s"), F.bool_or(F.col("t_start").between(F.col("r_start"), F.col("r_end"))).alias("inside"))
 
 
+def _passes_by_slot(passes: DataFrame, slot_s: float = 900.0) -> DataFrame:
+    """One row a slot of time with its passes, so that an instant meets one row at most."""
+    slots = passes.select("r_start", "r_end", F.explode(F.sequence(F.floor(F.col("r_start") / slot_s), F.floor(F.col("r_end") / slot_s))).alias("_slot"))
+    return slots.groupBy("_slot").agg(F.collect_list(F.struct("r_start", "r_end")).alias("_passes"))
+
+
 def nominal_period(passes: DataFrame) -> DataFrame:
     """One row, period_s: the (upper) median spacing of pass starts, 0 without two. The schedule is the bound of this sort."""
     w = Window.orderBy("r_start")
@@ -77,11 +104,10 @@ def classify_gaps(gaps: DataFrame, rows: DataFrame, passes: DataFrame, spoofs: D
     lerp = lambda c: F.col(c) + f * (F.col(f"{c}_end") - F.col(c))
     samples = gaps.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     samples = samples.select("_gap", "i", lerp("t").alias("t_start"), grid.cell(lerp("lat"), lerp("lon"), res).alias("cell"), F.floor(lerp("t") / 3600).alias("hour"))
-    samples = samples.withColumn("sample", F.concat_ws("/", "_gap", "i"))
     cover = around(samples.select("cell", "hour").distinct(), rows, res)
-    in_pass = passes_over(samples.withColumn("t_end", F.col("t_start")), passes, "sample", 900.0).select("sample", "inside")
-    seen = samples.join(cover, ["cell", "hour"]).join(in_pass, "sample", "left")
-    now = F.when(F.col("inside"), F.col("p_sat")).otherwise(0.0)
+    by_slot = _passes_by_slot(passes)
+    seen = samples.withColumn("_slot", F.floor(F.col("t_start") / 900.0)).join(cover, ["cell", "hour"]).join(_few(by_slot), "_slot", "left")
+    now = F.when(F.exists("_passes", lambda p: F.col("t_start").between(p["r_start"], p["r_end"])), F.col("p_sat")).otherwise(0.0)
     seen = seen.groupBy("_gap").agg(F.avg("p_ter").alias("mean_ter"), F.avg(1 - (1 - F.col("p_ter")) * (1 - now)).alias("mean_any"), F.avg("sat_area").alias("path_sat"))
     spans = gaps.select("_gap", key, F.col("t").alias("t_start"), F.col("t_end").alias("t_end"))
     missed = passes_over(spans, passes, "_gap").select("_gap", "n_passes", "covered_s")
