@@ -18,6 +18,8 @@ from tidewatch.functions import geo
 TOP_KN, WHOLE, CORNERS, LEAST_M = 20.0, 0.9999, 180, 1.0
 SQUARE = 5.0
 TIERS = ("confirmed", "partial", "unknown", "none")
+#: Scenes by day and square that are broadcast, so that silences stay where they are; more are joined by a shuffle.
+BROADCAST_SQUARES = 100_000
 
 
 def disc(x: float, y: float, radius: float) -> np.ndarray:
@@ -121,10 +123,12 @@ def candidates(gaps: DataFrame, scenes: DataFrame) -> DataFrame:
     days = F.explode(F.sequence(F.floor(F.col("t_start") / 86_400), F.floor(F.col("t_end") / 86_400)))
     lats, lons = F.col("ring.lat"), F.col("ring.lon")
     looked = scenes.withColumn("_box2", _squares(F.array_min(lats), F.array_min(lons), F.array_max(lats), F.array_max(lons))).withColumn("_day", F.floor(F.col("t_scene") / 86_400))
-    placed = boxed.filter("_box is not null").withColumn("_day", days).withColumn("_sq", F.explode("_box")).join(looked.withColumn("_sq", F.explode("_box2")), ["_day", "_sq"])
+    squares = looked.withColumn("_sq", F.explode("_box2"))
+    few = squares.count() <= BROADCAST_SQUARES
+    placed = boxed.filter("_box is not null").withColumn("_day", days).withColumn("_sq", F.explode("_box")).join(F.broadcast(squares) if few else squares, ["_day", "_sq"])
     # A pair that shares several squares is taken in the first.
     placed = placed.filter(F.col("_sq") == F.array_min(F.array_intersect("_box", "_box2")))
-    lost = boxed.filter("_box is null").withColumn("_day", days).withColumn("_sq", F.lit(None).cast("long")).join(looked, "_day")
+    lost = boxed.filter("_box is null").withColumn("_day", days).withColumn("_sq", F.lit(None).cast("long")).join(F.broadcast(looked) if few else looked, "_day")
     return placed.unionByName(lost).filter(F.col("t_scene").between(F.col("t_start"), F.col("t_end"))).drop("_day", "_sq", "_box", "_box2")
 
 
@@ -148,7 +152,9 @@ def opportunities(gaps: DataFrame, scenes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
 
     picked = pairs.select(F.col("gap_id").cast("string").alias("gap_id"), F.col("scene_id").cast("string").alias("scene_id"), "t_start", "t_end", "t_scene", "off_lat", "off_lon", "on_lat", "on_lon", "ring")
-    found = picked.mapInArrow(run, RESULT)
+    # By pair and in a fixed number of parts: a day or square with many silences is no single task's, and small rows with much work are not put together.
+    parts = int(gaps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = picked.repartition(parts, "gap_id", "scene_id").mapInArrow(run, RESULT)
     every = gaps.select(F.col("gap_id").cast("string").alias("gap_id"))
     return every.join(found, "gap_id", "left").fillna({"scene_id": "", "tier": "none", "basis": "evaluated"})
 
