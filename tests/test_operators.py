@@ -65,6 +65,37 @@ def test_encounter_crosses_a_cell_edge(spark):
     assert proximity.encounters(lane(spark, [(k, 300 * i, 15.0, 65.0, 9.0) for i in range(6) for k in "ab"])).count() == 0
 
 
+def test_encounters_are_those_of_all_pairs_and_join_no_pairs_of_a_step(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(24):
+        here, n = rng.integers(0, 3), int(rng.integers(22, 31))
+        lat, lon = ((15.0, 65.0), (62.0, 179.999), (89.97, 0.0))[here]
+        wide = (0.003, 0.006, 90.0)[here]
+        for i in rng.choice(31, n, replace=False) - 4:
+            o = lon + (k % 3 + rng.random()) * wide / 2
+            rows.append((f"k{k}", 300 * int(i), lat + rng.random() * 0.003, (o + 180) % 360 - 180, rng.choice((1.0, 1.0, 1.0, 9.0))))
+    rows += [(k, 300 * i, 15.0, 65.0 + a, 1.0) for i in range(40) for k, a in (("y", 1.0), ("z", 1.001))]
+    points = lane(spark, rows)
+    found = proximity.encounters(points)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    at = {(k, t): (a, o) for k, t, a, o, s in rows if s <= 2}
+    keys, want = sorted({k for k, _ in at}), {}
+    for a, b in itertools.combinations(keys, 2):
+        run = []
+        for t in range(-1500, 300 * 42, 300):
+            p, q = at.get((a, t)), at.get((b, t))
+            d = proximity._distance(*np.radians([*p, *q])) if p and q else np.inf
+            if d <= 500:
+                run.append((t, d))
+            else:
+                if len(run) >= 3:
+                    want[a, b, run[0][0]] = (run[-1][0], len(run), round(float(min(d for _, d in run)), 3))
+                run = []
+    got = {(r.key_a, r.key_b, r.t_start): (r.t_end, r.n, round(r.min_distance_m, 3)) for r in found.collect()}
+    assert got == want and want["y", "z", 0][1] == 40 and len({a for a, _, _ in want}) > 6
+
+
 def test_visits_merge_and_censor(spark):
     inside = [0, 600, 1200, 5000, 5600, 20_000]
     rows = [("1", t, 1, 1, 3) for t in inside] + [("1", 3000, 50, 50, 3), ("1", 9000, 50, 50, 3)]
