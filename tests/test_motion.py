@@ -269,3 +269,15 @@ def test_coverage_counts_each_key_once_and_shuffles_counts(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(sequence(-3, 3" not in plan and "_d#" not in plan  # receipts are not spread over 63 places and hours
     assert grid.EDGE[4] == 0.4
+
+
+def test_cells_stay_as_narrow_as_the_circle_towards_the_pole(spark):
+    rng = random.Random(12)
+    rows = [(i, i % 5, rng.uniform(59.5, 90.0), rng.choice((179.0, -181.0)) + 2 * rng.random()) for i in range(400)]
+    rows = [(i, k, a, (o + 180) % 360 - 180) for i, k, a, o in rows]
+    p = spark.createDataFrame(rows, "i long, k long, lat double, lon double")
+    cells = p.select(F.size(grid.fitted_reach("lat", "lon", 10_000.0, 0.09)).alias("n"), grid.fitted("lat", "lon", 0.09).alias("own"), grid.fitted_reach("lat", "lon", 10_000.0, 0.09).alias("all"))
+    assert cells.agg(F.max("n"), F.bool_and(F.array_contains("all", F.col("own")))).first() == (cells.agg(F.max("n")).first()[0], True) and cells.agg(F.avg("n")).first()[0] < 14
+    got = proximity.near(p, p.select(F.col("i").alias("j"), F.col("k").alias("l"), "lat", "lon"), 10_000, (), "k < l")
+    want = {(i, j): d for i, k, a, o in rows for j, m, b, q in rows if k < m and (d := haversine(a, o, b, q)) <= 10_000}
+    assert {(r.i, r.j): round(r.distance_m, 3) for r in got.collect()} == {x: round(d, 3) for x, d in want.items()} and len(want) > 100
