@@ -124,6 +124,15 @@ def test_sanctioned_counterpart_as_of_the_meeting(spark):
     assert (a.subject, a.hops, a.path, a.score) == ("v1", 2, ["v2", "o1", "o2"], 0.7)
 
 
+def test_meetings_are_not_grouped_by_the_few_sanctioned(spark):
+    meet = spark.range(1000).select(F.concat(F.lit("v"), "id").alias("subject"), F.concat(F.lit("w"), F.col("id") % 50).alias("counterpart"), F.lit(10.0).alias("t"), F.lit(0.9).alias("confidence"))
+    own = spark.range(50).select(F.concat(F.lit("w"), "id").alias("src"), F.concat(F.lit("o"), F.col("id") % 2).alias("dst"), F.lit(0.8).alias("confidence"))
+    sanc = spark.createDataFrame([("o1", 5.0, None, 0.95), ("o0", 5.0, None, 0.2)], "entity string, t_start double, t_end double, confidence double")
+    found = graph.sanctioned_counterparts(meet, own, sanc)
+    assert "hashpartitioning(entity" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 500 and found.select("entity", "score").distinct().collect() == [("o1", 0.8)]
+
+
 def test_identity_at_a_time(spark):
     keys = spark.createDataFrame([("1", 5.0), ("1", 50.0), ("2", 5.0)], "mmsi string, t double")
     known = spark.createDataFrame([("1", "h1", 0.0, 10.0, 1.0), ("1", "h2", 0.0, 10.0, 2.0)], "mmsi string, hull string, t_start double, t_end double, observed_at double")

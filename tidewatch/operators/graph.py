@@ -19,6 +19,8 @@ from tidewatch.sources.staging import cut, dropped
 HALF_LIFE_DAYS = {"owned-by": 365.0, "operated-by": 270.0, "flagged-to": 730.0, "docked-at": 2.0}
 #: Types through which a neighbourhood expands.
 EXPANDS = ("vessel", "organization", "person")
+#: Chains to listed entities that are broadcast; more are joined by a shuffle of the meetings on their counterpart.
+BROADCAST_CHAINS = 100_000
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame, ontology: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +102,10 @@ def sanctioned_counterparts(meetings: DataFrame, ownership: DataFrame, sanctions
     """
     parties = meetings.select(F.col("counterpart").alias("id")).distinct()
     owned = chains(ownership, parties, hops).select(F.col("start").alias("counterpart"), F.col("end").alias("entity"), "hops", "path", F.col("confidence").alias("chain_confidence"))
-    hit = meetings.join(owned, "counterpart").join(sanctions.select("entity", F.col("t_start").alias("_f"), F.col("t_end").alias("_u"), F.col("confidence").alias("_c")), "entity")
+    listed = owned.join(sanctions.select("entity", F.col("t_start").alias("_f"), F.col("t_end").alias("_u"), F.col("confidence").alias("_c")), "entity")
+    # Chains that end at a listed entity come first: meetings are never grouped by entity, of which there are few.
+    listed = cut(listed.filter(F.coalesce(F.least("chain_confidence", "_c") >= least, F.lit(True))))
+    hit = meetings.join(F.broadcast(listed) if listed.count() <= BROADCAST_CHAINS else listed, "counterpart")
     hit = hit.filter((F.col("_f") <= F.col("t")) & (F.col("_u").isNull() | (F.col("_u") > F.col("t")))).withColumn("score", F.least("confidence", "chain_confidence", "_c"))
     return hit.filter(F.col("score") >= least).select("subject", "counterpart", "entity", "t", "hops", "path", "score")
 
