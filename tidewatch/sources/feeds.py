@@ -46,7 +46,8 @@ def visit_structure(pv: Column, hours: Column) -> dict[str, Column]:
 
 def events(lines: DataFrame, kind: str, line: str = "line") -> DataFrame:
     """Events of one kind (`encounters`, `loitering`, `port_visits`, `gaps`) from JSON text; without an id or start, or outside the area, they are left out."""
-    e = lines.select(F.from_json(line, EVENT).alias("e")).select("e.*")
+    # A generator's column is not pushed into the filter, so each text is parsed once, not once for every field that is asked for.
+    e = lines.select(F.explode(F.array(F.from_json(line, EVENT))).alias("e")).select("e.*")
     number = lambda c: c.try_cast("double")
     start, end = F.coalesce(instant("start"), instant("startDate")), F.coalesce(instant("end"), instant("endDate"))
     own = F.col("port_visit.durationHrs") if kind == "port_visits" else F.coalesce("gap.durationHrs", "gap.durationHours") if kind == "gaps" else F.lit(None).cast("string")
