@@ -103,3 +103,12 @@ def test_distances_circles_and_texts(spark):
     texts = spark.createDataFrame([(c.w,), ("POLYGON ((1 2, x 3, 4 5, 1 2))",), ("POINT (1 2)",), (None,)], "w string")
     back = [r.r for r in texts.select(areas.ring_of("w").alias("r")).collect()]
     assert len(back[0]) == 65 and abs(back[0][3].lat - c.c[3].lat) < 1e-6 and back[1:] == [None] * 3
+
+
+def test_lanes_are_measured_only_under_way(spark):
+    ring = F.array(*(F.struct(F.lit(a).alias("lat"), F.lit(o).alias("lon")) for a, o in ((14.0, 66.0), (14.0, 70.0), (16.0, 70.0), (16.0, 66.0), (14.0, 66.0))))
+    lane = F.when(F.col("sog") < 6, F.raise_error(F.lit("measured at rest")).cast("array<struct<lat double, lon double>>")).otherwise(ring)
+    rows = [("a", i, 3600.0 * i, 20.0, 60.0, 1.0 if i == 3 else 8.0) for i in range(10)]
+    p = spark.createDataFrame(rows, "key string, point_id long, t double, lat double, lon double, sog double")
+    (r,) = areas.lane_deviation(p, [lane]).collect()
+    assert (r.subject, r.t, r.duration_min) == ("a", 14_400.0, 300.0)

@@ -107,7 +107,7 @@ def longest_sustained(points: DataFrame, condition: Column, least_s: float, valu
 def lane_deviation(points: DataFrame, lanes: list[Column], least_km: float = 60.0, least_min: float = 180.0, least_sog: float = 6.0, key: str = "key") -> DataFrame:
     """Keys under way, far from every lane, for long: rule, subject, t, score, distance_km, duration_min. lanes: rings, few."""
     km = F.least(*(distance_m("lat", "lon", r) for r in lanes), F.lit(float("inf"))) / 1000
-    rows = points.withColumn("_km", km)
+    rows = points.withColumn("_km", F.explode(F.array(F.when(F.col("sog") >= least_sog, km))))  # once a row, and only under way
     run = longest_sustained(rows, (F.col("sog") >= least_sog) & (F.col("_km") >= least_km), least_min * 60, F.col("_km"), key)
     minutes = F.col("duration_s") / 60
     score = F.least(F.lit(1.0), 0.5 + 0.15 * F.least(F.col("value") / least_km, F.lit(2.0)) + 0.1 * F.least(minutes / (2 * least_min), F.lit(1.0)))
