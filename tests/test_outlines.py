@@ -122,3 +122,13 @@ def test_a_corridor_holds_its_width_along_a_bent_line(spark):
     got = {r.point_id: r.distance_m for r in outlines.in_corridors(spark.createDataFrame([*points, (9999, None, 1.0)], "point_id long, lat double, lon double").withColumn("extra", F.lit("x")), lanes).collect()}
     wanted = {i: d for i, lat, lon in points if (d := distance(lat, lon)) <= 15_000}
     assert got.keys() == wanted.keys() and len(wanted) > 60 and all(abs(got[i] - wanted[i]) < 0.01 for i in wanted)
+
+
+def test_zones_are_dealt_out_before_they_are_spread_over_cells(spark):
+    box = lambda s, w, h: [{"lat": a, "lon": o} for a, o in ((s, w), (s, w + h), (s + h, w + h), (s + h, w), (s, w))]
+    zones = spark.createDataFrame([("n", box(5.0, 60.0, 1.0))] * 3 + [("n", box(5.5, 60.5, 1.0))], "nation string, ring array<struct<lat double, lon double>>").coalesce(1)
+    held = outlines.cells_inside(zones, 5)
+    assert held.rdd.getNumPartitions() == outlines.PARTS
+    cells = {(r.row, r.col) for r in held.collect()}
+    (m,) = outlines.measures(outlines.united(zones, "nation", 5), "nation").collect()
+    assert m.area == len(cells) > 60

@@ -22,6 +22,8 @@ from tidewatch.sources.staging import cut, dropped
 EAST, NORTH, WEST, SOUTH = range(4)
 #: Pieces of a leg, in degrees, so that a long slanting leg covers the cells near it only.
 PIECE_DEG = 0.2
+#: Tasks that zones are dealt to.
+PARTS = 96
 
 
 def boundary(cells: DataFrame, shape: str = "shape") -> DataFrame:
@@ -95,7 +97,8 @@ def cells_inside(zones: DataFrame, res: int) -> DataFrame:
     """zones' columns with row and col of every cell of a level whose centre a zone holds. zones: rings, or ring."""
     shape = zones if "rings" in zones.columns else zones.withColumn("rings", F.array("ring"))
     lats, lons = (F.flatten(F.transform("rings", lambda r: r[c])) for c in ("lat", "lon"))
-    near = shape.filter("rings is not null").withColumn("cell", F.explode(grid.cover_box(F.array_min(lats), F.array_min(lons), F.array_max(lats), F.array_max(lons), res)))
+    # Few bytes of zones are many cells, so they are dealt out before they are spread.
+    near = shape.filter("rings is not null").repartition(PARTS).withColumn("cell", F.explode(grid.cover_box(F.array_min(lats), F.array_min(lons), F.array_max(lats), F.array_max(lons), res)))
     lat, lon = grid.centre("cell", res)
     held = near.withColumns({"_lat": lat, "_lon": lon}).filter(geo.rings_contain("_lat", "_lon", F.col("rings")))
     return held.withColumns({"row": grid.row_of("cell"), "col": grid.col_of("cell")}).drop("cell", "_lat", "_lon", "rings", "ring")
@@ -103,7 +106,8 @@ def cells_inside(zones: DataFrame, res: int) -> DataFrame:
 
 def united(zones: DataFrame, by: str, res: int) -> DataFrame:
     """`rings` of the union of each group's zones, as exact as the level's cells."""
-    return rings(cells_inside(zones, res).select(by, "row", "col"), by)
+    shape = zones.select(by, "rings" if "rings" in zones.columns else F.array("ring").alias("rings"))
+    return rings(cells_inside(shape.distinct(), res).select(by, "row", "col"), by)
 
 
 def legs(paths: DataFrame) -> DataFrame:
