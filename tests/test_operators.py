@@ -51,6 +51,21 @@ def test_assignment_against_all_permutations():
         assert len(set(got)) == n and np.isclose(cost[np.arange(n), got].sum(), best)
 
 
+def test_assignment_over_pairs_costs_as_little_as_that_of_a_table():
+    rng = np.random.default_rng(4)
+    for n, m, share in ((1, 1, 1.0), (5, 3, 0.7), (30, 30, 0.2), (60, 40, 0.1), (80, 90, 0.05)):
+        for _ in range(20):
+            cost = rng.normal(size=(n, m)) * 5
+            there = rng.random((n, m)) < share
+            table = np.full((n, m + n), 1e6)
+            table[:, :m][there], table[np.arange(n), m + np.arange(n)] = cost[there], 3.0
+            rows, cols = np.nonzero(there)
+            got, paid = kernels.assign_sparse(n, m, rows, cols, cost[there], 3.0)
+            real = got[got < m]
+            assert len(set(real)) == len(real) and all(there[i, j] and paid[i] == cost[i, j] if j < m else paid[i] == 3.0 for i, j in enumerate(got))
+            assert np.isclose(paid.sum(), table[np.arange(n), kernels.assign(table)].sum())
+
+
 def test_association_is_global_with_a_floor(spark):
     cand = spark.createDataFrame([("s", "c1", "t1", 0.0), ("s", "c1", "t2", -1.0), ("s", "c2", "t1", -0.5), ("s", "c3", "t2", -9.0)], "scene_id string, contact_id string, track_id string, score double")
     contacts = spark.createDataFrame([("s", c) for c in ("c1", "c2", "c3", "c4")], "scene_id string, contact_id string")
