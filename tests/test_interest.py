@@ -186,8 +186,8 @@ def test_meetings_of_a_crowd_are_one_row_a_subject_and_start(spark, monkeypatch)
     g = spark.createDataFrame([(k, i * 300, *v) for (k, i), v in track.items()], "key long, t long, lat double, lon double, sog double")
     s = spark.createDataFrame(silent, "key long, t double")
     assert len(want) > 300 and {v[2] for v in want.values()} == {True, False} and max(v[1] for v in want.values()) > 12
-    for steps in (5, 48):
-        met = proximity.encounters(g, steps=steps, marks=conduct.silences(s))
+    for steps, ahead in ((5, 0), (7, 3), (48, 8)):
+        met = proximity.encounters(g, steps=steps, ahead=ahead, marks=conduct.silences(s))
         got = {(r.key_a, r.key_b, r.t_start): r for r in met.collect()}
         assert set(got) == set(want)
         for k, r in got.items():
