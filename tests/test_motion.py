@@ -281,3 +281,22 @@ def test_cells_stay_as_narrow_as_the_circle_towards_the_pole(spark):
     got = proximity.near(p, p.select(F.col("i").alias("j"), F.col("k").alias("l"), "lat", "lon"), 10_000, (), "k < l")
     want = {(i, j): d for i, k, a, o in rows for j, m, b, q in rows if k < m and (d := haversine(a, o, b, q)) <= 10_000}
     assert {(r.i, r.j): round(r.distance_m, 3) for r in got.collect()} == {x: round(d, 3) for x, d in want.items()} and len(want) > 100
+
+
+def test_scores_are_found_where_contacts_and_gates_meet(spark):
+    rng = random.Random(5)
+    where = lambda r: (r.uniform(10, 10.4), r.uniform(179.8, 180.2))
+    fixes = [(k, i, *f) for k, fs in some_tracks(rng, 30, where).items() for i, f in enumerate(fs)]
+    contacts = [(f"s{i % 5}", f"c{i}", rng.uniform(-3000, 90_000), y, (x + 180) % 360 - 180, rng.choice([None, 90.0]), rng.choice([None, 50.0, 60.0]), rng.choice([None, 0.4])) for i in range(200) for y, x in [where(rng)]]
+    contacts += [("s", f"on{i}", f[2], f[3], f[4], 40.0, None, None) for i, f in enumerate(fixes)]
+    c, f = spark.createDataFrame(contacts, CONTACTS), spark.createDataFrame(fixes, FIXES)
+    lengths = spark.createDataFrame([(f"k{k}", 50.0 + k) for k in range(0, 30, 2)], "track_id string, length double")
+    pairs = fusion.scored(fusion.gated(c, f), f, lengths).cache()
+    want = {(r.contact_id, r.track_id): r.score for r in pairs.collect()}
+    got = fusion.candidates(c, f, lengths).collect()
+    assert len(want) > 300 and len(got) == len(want) and all(math.isclose(r.score, want[r.contact_id, r.track_id], rel_tol=1e-9, abs_tol=1e-9) for r in got)
+    for floor in (-8.0, -2.0):
+        best = {r.contact_id: r.track_id for r in fusion.best_candidates(pairs, floor).collect()}
+        assert best and {r.contact_id: r.track_id for r in fusion.best_of(c, f, lengths, floor).collect()} == best
+    plan = fusion.best_of(c, f, lengths)._jdf.queryExecution().optimizedPlan().toString()
+    assert "distance_m" not in plan  # no pair leaves the task that finds it
