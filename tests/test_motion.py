@@ -300,3 +300,24 @@ def test_scores_are_found_where_contacts_and_gates_meet(spark):
         assert best and {r.contact_id: r.track_id for r in fusion.best_of(c, f, lengths, floor).collect()} == best
     plan = fusion.best_of(c, f, lengths)._jdf.queryExecution().optimizedPlan().toString()
     assert "distance_m" not in plan  # no pair leaves the task that finds it
+
+
+def test_census_spreads_broadcasters_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "CENSUS_SPAN", 10)
+    rng = random.Random(6)
+    place = lambda: (rng.choice([9.99, 10.0, 10.02, 10.03]), rng.choice([179.99, -179.99, -179.97]))
+    rows = [(f"r{i}", rng.randrange(-30, 30), 0.0, *place(), rng.choice([None, None, f"b{rng.randrange(9)}"])) for i in range(150)]
+    heard = [(f"b{rng.randrange(9)}", rng.randrange(-35, 35), *place()) for _ in range(120)]
+    row = lambda lat, lon: (math.floor((lat + 90) / 0.024), math.floor((lon + 180) / 0.024))
+    beside = lambda p, q: abs(p[0] - q[0]) <= 1 and (p[1] - q[1]) % 15_000 in (0, 1, 14_999)
+    want = {}
+    for name, e, _, lat, lon, track in rows:
+        if track is None:
+            here = row(lat, lon)
+            near = {k for k, h, a, o in heard if abs(h - e) <= 4 and beside(here, row(a, o))} - {k for _, h, _, a, o, k in rows if k and abs(h - e) <= 4 and beside(here, row(a, o))}
+            want[name] = (len({n for n, h, _, a, o, k in rows if k is None and h == e and beside(here, row(a, o))}), len(near))
+    found = fusion.census(
+        spark.createDataFrame(rows, "radar_id string, epoch long, t double, lat double, lon double, track_id string"),
+        spark.createDataFrame([(k, e * 900.0 + 5, a, o) for k, e, a, o in heard], "track_id string, t double, lat double, lon double"), 0.0,
+    )
+    assert {r.radar_id: (r.n_unexplained, r.n_free) for r in found.collect()} == want and any(n for _, n in want.values())
