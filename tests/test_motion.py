@@ -321,3 +321,16 @@ def test_census_spreads_broadcasters_where_they_are(spark, monkeypatch):
         spark.createDataFrame([(k, e * 900.0 + 5, a, o) for k, e, a, o in heard], "track_id string, t double, lat double, lon double"), 0.0,
     )
     assert {r.radar_id: (r.n_unexplained, r.n_free) for r in found.collect()} == want and any(n for _, n in want.values())
+
+
+def test_few_rows_are_sent_to_many_tiles(spark):
+    rng = random.Random(13)
+    spots = [(0.0, 0.0), (70.0, 180.0), (-89.9, 20.0)]
+    rows = [(i, i % 7, i % 2, max(-90.0, y + rng.uniform(-1, 1)), (x + rng.uniform(-1.5, 1.5) + 180) % 360 - 180) for i in range(600) for y, x in [rng.choice(spots)]]
+    p = spark.createDataFrame(rows, "i long, k long, day long, lat double, lon double")
+    got = proximity.near(p, p.select(F.col("i").alias("j"), F.col("k").alias("l"), "day", "lat", "lon"), 9_000, ("day",), "i % 5 > 0", below=("k", "l")).collect()
+    want = {(i, j): d for i, k, m, a, o in rows for j, l, n, b, q in rows if m == n and k < l and i % 5 and (d := haversine(a, o, b, q)) <= 9_000}  # noqa: E741
+    assert len(got) == len(want) > 200 and all(math.isclose(r.distance_m, want[r.i, r.j], rel_tol=1e-6, abs_tol=1e-3) for r in got)
+    flat = spark.range(2000).select((F.col("id") * 7919 % 20_000 / 1000.0).alias("lat"), (F.col("id") * 104_729 % 18_000 / 1000.0).alias("lon"))
+    size = proximity.TILE * 40_000 / grid.DEGREE_M
+    assert flat.select(F.avg(F.size(grid.fitted_reach("lat", "lon", 40_000.0, size)))).first()[0] < 2
